@@ -67,7 +67,7 @@ def main(argv: list[str]) -> int:
     sf_dir = f"/root/testdata/sf{argv[0]}"
     prefixes = argv[1:]
     spark = local_session(8)
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     bad = 0
     oracles = oracle_sql()
     for name, query in queries().items():
