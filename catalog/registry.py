@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["text_url", "page", "advice"]
+MODULES = ["text_url", "page", "advice", "audit", "corpora"]
 
 
 def _collect(name: str) -> dict:
