@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["text_url", "page", "advice", "audit", "corpora", "measure", "prepare"]
+MODULES = ["text_url", "page", "advice", "audit", "corpora", "measure", "prepare", "learn"]
 
 
 def _collect(name: str) -> dict:

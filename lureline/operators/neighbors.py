@@ -64,12 +64,13 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, id_column: str = "id",
         return df.select(F.col(id_column).cast("bigint").alias("id"), F.col(features).cast("array<double>").alias("features"))
 
     r = plain(refs)
-    chosen = r.orderBy(F.md5(F.col("id").cast("string")), "id").limit(PIVOTS).select("features").collect()
+    need = k + 1 if same_table else k
+    wanted = min(PIVOTS, max(need, refs.count() // block_rows))
+    chosen = r.orderBy(F.md5(F.col("id").cast("string")), "id").limit(wanted).select("features").collect()
     empty = "id bigint, neighbour bigint, distance double, rank int"
     if not chosen:
         return queries.sparkSession.createDataFrame([], empty)
     pivots = np.array([row["features"] for row in chosen], dtype=float)
-    need = k + 1 if same_table else k
     placed_refs = _with_cells(r, pivots, need)
     placed_queries = placed_refs if same_table else _with_cells(plain(queries), pivots, need)
     ref_stats = _cell_stats(placed_refs)
