@@ -18,7 +18,7 @@ from lureline.operators import pages as PG
 from lureline.operators import prep as P
 from lureline.operators import scoring as S
 from lureline.plans import pipelines as PL
-from lureline.shared import new_path
+from lureline.shared import materialise, new_path
 from lureline.sources import sinks as K
 from lureline.streaming import jobs as J
 
@@ -78,7 +78,7 @@ def _forest(spark, sf_dir) -> tuple[M.Trained, DataFrame]:
     """A small forest on the 48 page features; target: the page has more than 50 links."""
     v = PG.feature_vector(I.captured(spark, sf_dir)).select("page_id", "url", "features")
     y = F.when(F.get("features", F.lit(26)) + F.get("features", F.lit(13)) % 3 > 1, 1).otherwise(0)
-    table = v.withColumn("label", y).withColumnRenamed("page_id", "id")
+    table = materialise(v.withColumn("label", y).withColumnRenamed("page_id", "id"), "page-vectors")
     train = table.withColumn("features", array_to_vector(F.col("features").cast("array<double>")))
     return M.fit("random_forest", train, numTrees=10, maxDepth=6), table
 
@@ -299,8 +299,8 @@ BAYES_SQL = (
     "v AS (SELECT vec_id AS id, CASE WHEN label < 3 THEN 1 ELSE 0 END AS y, embedding FROM embeddings), cells AS (SELECT id, "
     "y, abs(CAST(unnest(embedding) AS DOUBLE)) AS x, generate_subscripts(embedding, 1) AS i FROM v), w AS (SELECT y, "
     "count(*) AS n FROM v GROUP BY y), f AS (SELECT y, i, sum(x) AS s FROM cells GROUP BY y, i), th AS (SELECT y, i, "
-    "ln((s + 1) / (sum(s) OVER (PARTITION BY y) + count(*) OVER (PARTITION BY y))) AS t FROM f), pr AS (SELECT y, ln(n / "
-    "sum(n) OVER ()) AS p FROM w), j AS (SELECT c.id, th.y, max(pr.p) + sum(c.x * th.t) AS s FROM cells c JOIN th USING (i) "
+    "ln((s + 1) / (sum(s) OVER (PARTITION BY y) + count(*) OVER (PARTITION BY y))) AS t FROM f), pr AS (SELECT y, ln((n + 1) / "
+    "(sum(n) OVER () + 2)) AS p FROM w), j AS (SELECT c.id, th.y, max(pr.p) + sum(c.x * th.t) AS s FROM cells c JOIN th USING (i) "
     "JOIN pr ON pr.y = th.y GROUP BY c.id, th.y), pp AS (SELECT id, 1 / (1 + exp(max(s) FILTER (y = 0) - max(s) FILTER (y = "
     "1))) AS p FROM j GROUP BY id)"
 )

@@ -94,9 +94,8 @@ def unescape_entities(c: Column) -> Column:
         prefix = F.regexp_extract(body, legacy, 0)
         tail = F.substring(body, F.length(prefix) + 1, F.lit(40))
         valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        named = F.coalesce(
-            F.try_element_at(table, body),
-            F.when(prefix != "", F.concat(F.try_element_at(table, prefix), tail)), r)
+        found = F.transform(F.array(body, prefix), lambda k: F.try_element_at(table, k))
+        named = F.coalesce(F.get(found, F.lit(0)), F.concat(F.get(found, F.lit(1)), tail), r)
         numeric = F.when(valid, _code_point(code)).otherwise("�")
         return F.when(body.startswith("#"), numeric).otherwise(named)
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark import keyword_only
+from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml import classification as C
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -223,8 +223,15 @@ def fit(name: str, train: DataFrame, seed: int = 42, **settings) -> Trained:
     """Fit one catalogue model with balanced class weights."""
     if name == "knn":
         return Trained(name, NeighbourModel(train, settings.get("k", 5)), settings=settings)
-    estimator = build(name, seed, max(train.count(), 1), **settings)
-    return Trained(name, estimator.fit(_ready(train)), settings=settings)
+    # training reads its rows many times; keep them unless the caller already does
+    held = train.storageLevel.useMemory or train.storageLevel.useDisk
+    kept = train if held else train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        estimator = build(name, seed, max(kept.count(), 1), **settings)
+        return Trained(name, estimator.fit(_ready(kept)), settings=settings)
+    finally:
+        if not held:
+            kept.unpersist()
 
 
 def evaluate(trained: Trained, df: DataFrame, split: str) -> DataFrame:

@@ -42,11 +42,24 @@ def has_attribute(tag: Column, name: str) -> Column:
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """Attribute value without quotes and with references decoded; '' when absent or empty."""
+    """Attribute value as written, without quotes; '' when absent or empty."""
     raw = F.regexp_extract(tag, attribute_pattern(name), 1)
     quoted = raw.startswith('"') | raw.startswith("'")
-    value = F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
-    return F.when(F.contains(value, F.lit("&")), T.unescape_entities(value)).otherwise(value)
+    return F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+
+
+def decoded(arrays: list[Column]) -> list[Column]:
+    """The arrays with character references decoded, all by one expression: the table of
+    references is large and should be in a plan once."""
+    def decode(v: Column) -> Column:
+        return F.when(F.contains(v, F.lit("&")), T.unescape_entities(v)).otherwise(v)
+
+    flat = F.transform(F.concat(*arrays), decode)
+    start, out = F.lit(1), []
+    for a in arrays:
+        out.append(F.slice(F.col("_decoded"), start, F.size(a)))
+        start = start + F.size(a)
+    return [flat, *out]
 
 
 def visible_markup(html: Column) -> Column:
@@ -56,10 +69,9 @@ def visible_markup(html: Column) -> Column:
         plain, rf"(?is)(<(script|style)(?:[\s/]{_QUOTED})?>).*?</(?:script|style)\s*>", "$1</$2>")
 
 
-def _targets(elements: Column, name: str, clean: Callable[[Column], Column] | None = None) -> Column:
+def _targets(elements: Column, name: str) -> Column:
     """Values of one attribute over the elements that carry it."""
-    carrying = F.filter(elements, lambda t: has_attribute(t, name))
-    return F.transform(carrying, lambda t: (clean or (lambda x: x))(attribute(t, name)))
+    return F.transform(F.filter(elements, lambda t: has_attribute(t, name)), lambda t: attribute(t, name))
 
 
 def _resolved(targets: Column, base: Column) -> Column:
@@ -90,16 +102,22 @@ def with_page_elements(df: DataFrame, html: str = "html", url: str = "url") -> D
     markup = F.col("_markup")
     out = df.withColumns({"_markup": visible_markup(F.col(html)), "_base": U.netloc(F.col(url)),
                           "_lower": F.lower(html)})
-    out = out.withColumns({
+    icons = F.filter(tags(markup, "link"), lambda t: F.contains(F.lower(attribute(t, "rel")), F.lit("icon")))
+    title = F.regexp_extract("_markup", rf"(?is)<title(?:[\s/]{_QUOTED})?>(.*?)</title", 1)
+    raw = {
         "_hrefs": _targets(tags(markup, "a"), "href"),
         "_srcs": F.concat(
             _targets(tags(markup, "img|script"), "src"),
             _targets(F.filter(tags(markup, "link"), lambda t: F.array_contains(
                 F.split(attribute(t, "rel"), r"\s+"), "stylesheet")), "href")),
-        "_actions": F.transform(tags(markup, "form"), lambda t: T.strip(attribute(t, "action"))),
-        "_icon": F.try_element_at(F.filter(tags(markup, "link"), lambda t: F.contains(
-            F.lower(attribute(t, "rel")), F.lit("icon"))), F.lit(1)),
-    })
+        "_actions": F.transform(tags(markup, "form"), lambda t: attribute(t, "action")),
+        "_icons": F.transform(F.slice(icons, 1, 1), lambda t: attribute(t, "href")),
+        "_titles": F.array(title),
+    }
+    out = out.withColumns(raw)
+    flat, *parts = decoded([F.col(n) for n in raw])
+    out = out.withColumn("_decoded", flat).withColumns(dict(zip(raw, parts)))
+    out = out.withColumn("_actions", F.transform("_actions", T.strip)).drop("_decoded")
     null_href = V.NULL_HREFS
     out = out.withColumns({
         "_nulls": _size(F.col("_hrefs"), lambda h: T.strip(h).isin(null_href)),
@@ -108,7 +126,7 @@ def with_page_elements(df: DataFrame, html: str = "html", url: str = "url") -> D
         "_resources": _resolved(F.filter("_srcs", lambda s: s != ""), base),
         "_posts": _resolved(F.filter("_actions", lambda a: ~a.isin("", "#")
                                      & ~a.startswith("mailto:")), base),
-        "_icon_href": F.coalesce(attribute(F.col("_icon"), "href"), F.lit("")),
+        "_icon_href": F.coalesce(F.get("_icons", F.lit(0)), F.lit("")),
     })
     return out
 
@@ -199,8 +217,7 @@ def has_frame() -> Column:
 
 
 def missing_title() -> Column:
-    title = F.regexp_extract("_markup", rf"(?is)<title(?:[\s/]{_QUOTED})?>(.*?)</title", 1)
-    title = F.when(F.contains(title, F.lit("&")), T.unescape_entities(title)).otherwise(title)
+    title = F.get("_titles", F.lit(0))
     return U.flag(T.strip(title) == "")
 
 

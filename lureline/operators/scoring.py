@@ -12,6 +12,7 @@ from lureline.functions import messages as MSG
 from lureline.functions import risk
 from lureline.operators import models as M
 from lureline.operators import pages as P
+from lureline.shared import once
 
 INDICATORS = "array<struct<name string, importance double>>"
 
@@ -98,7 +99,7 @@ def analyze(df: DataFrame, trained: M.Trained, content: str = "content", content
 
 def chat(df: DataFrame, trained: M.Trained, message: str = "message") -> DataFrame:
     """Routes each message and analyses the ones that carry something to analyse."""
-    routed = df.withColumn("_r", MSG.route(F.col(message)))
+    routed = once(df, {"_r": MSG.route(F.col(message))})
     routed = routed.withColumns({
         "route": F.col("_r.route"), "requires_analysis": F.col("_r.requires_analysis"),
         "extracted_content": F.col("_r.extracted_content"), "content_type": F.col("_r.content_type"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A side with at most this many rows may be broadcast; callers check it, see `lookup_join`.
@@ -62,6 +62,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns that are computed exactly once per row.
+
+    The optimizer merges neighbouring projections and may then repeat an expensive expression for
+    every use. A one-element generator between them keeps the values; it is row local.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def lookup_join(
     big: DataFrame, lookup: DataFrame, key: str, salt_by: str, how: str = "left",
     max_rows: int = BROADCAST_ROWS, salts: int = 64,
