@@ -74,13 +74,22 @@ def ml6_naive_bayes_exact(spark, sf_dir) -> DataFrame:
     return t.score(r).select("id", F.round("probability", 6).alias("probability"), "prediction")
 
 
+_FORESTS: dict[tuple[str, str], tuple[M.Trained, DataFrame]] = {}
+
+
 def _forest(spark, sf_dir) -> tuple[M.Trained, DataFrame]:
-    """A small forest on the 48 page features; target: the page has more than 50 links."""
-    v = PG.feature_vector(I.captured(spark, sf_dir)).select("page_id", "url", "features")
-    y = F.when(F.get("features", F.lit(26)) + F.get("features", F.lit(13)) % 3 > 1, 1).otherwise(0)
-    table = materialise(v.withColumn("label", y).withColumnRenamed("page_id", "id"), "page-vectors")
-    train = table.withColumn("features", array_to_vector(F.col("features").cast("array<double>")))
-    return M.fit("random_forest", train, numTrees=10, maxDepth=6), table
+    """A small forest on the 48 page features, trained once per session and data folder.
+
+    Target: a rule over external links and digits, so that both classes occur.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FORESTS:
+        v = PG.feature_vector(I.captured(spark, sf_dir)).select("page_id", "url", "features")
+        y = F.when(F.get("features", F.lit(26)) + F.get("features", F.lit(13)) % 3 > 1, 1).otherwise(0)
+        table = materialise(v.withColumn("label", y).withColumnRenamed("page_id", "id"), "page-vectors")
+        train = table.withColumn("features", array_to_vector(F.col("features").cast("array<double>")))
+        _FORESTS[key] = M.fit("random_forest", train, numTrees=10, maxDepth=6), table
+    return _FORESTS[key]
 
 
 def srt3_top5_features(spark, sf_dir) -> DataFrame:
