@@ -68,8 +68,8 @@ def bad(h: str) -> str:
 ELEMENTS = (
     f"marked AS (SELECT page_id, url, html, lower(html) AS low, {url_part('url', 2)} AS base, "
     f"lower({url_part('url', 1)}) AS base_scheme, "
-    "regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), "
-    f"'(?is)(<(script|style)(?:[\\s/]{Q})?>).*?</(?:script|style)\\s*>', '\\1</\\2>', 'g') AS markup "
+    "regexp_replace(regexp_replace(html, '(?s)<!--(?:.*?-->|.*\\z)', '', 'g'), "
+    f"'(?is)(<(script|style)(?:[\\s/]{Q})?>)(?:.*?</(?:script|style)\\s*>|.*\\z)', '\\1</\\2>', 'g') AS markup "
     "FROM captured), "
     f"elements AS (SELECT *, {values_sql(tags_sql('a'), 'href')} AS hrefs, "
     f"list_concat({values_sql(tags_sql('img|script'), 'src')}, {values_sql(STYLES, 'href')}) AS srcs, "
@@ -120,12 +120,12 @@ def rt_sql(ratio: str) -> str:
 ICON_SQL = flag_sql("icon <> '' AND icon_host <> '' AND icon_host <> base")
 FRAME_SQL = flag_sql(r"regexp_matches(markup, '(?i)<i?frame[\s/>]')")
 TITLE_SQL = flag_sql(
-    rf"trim(replace(regexp_extract(markup, '(?is)<title(?:[\s/]{Q})?>(.*?)</title', 1), '&nbsp;', ' ')) = ''")
+    rf"trim(replace(regexp_extract(markup, '(?is)<title(?:[\s/]{Q})?>(.*?)(?:</title|\z)', 1), '&nbsp;', ' ')) = ''")
 RIGHT_SQL = flag_sql(TU.any_sql("low", V.RIGHT_CLICK_MARKERS))
 POPUP_SQL = flag_sql("contains(low, 'window.open')")
 STATUS_SQL = flag_sql("contains(low, 'window.status')")
 IMAGES_SQL = flag_sql(
-    rf"len(list_filter(regexp_extract_all(markup, '(?is)<form(?:[\s/]{Q})?>.*?</form\s*>'), lambda f: "
+    rf"len(list_filter(regexp_extract_all(markup, '(?is)<form(?:[\s/]{Q})?>(?:.*?</form\s*>|.*\z)'), lambda f: "
     r"regexp_matches(f, '(?i)<img[\s/>]') AND NOT regexp_matches(f, "
     r"'(?i)<(?:input|textarea|select)[\s/>]'))) > 0")
 MISMATCH_SQL = flag_sql(f"len(hrefs) > 0 AND {MISMATCH} / len(hrefs) > CAST(0.6 AS DOUBLE)")

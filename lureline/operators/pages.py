@@ -1,8 +1,9 @@
 """Page features from captured HTML, row local: tags become arrays, no explode and no shuffle.
 
-Known limits against a full tree parser: a form that is never closed has no body (HT10), and a
-tag with more than 200 quoted attributes is skipped. The bounded tag pattern keeps Java's
-matcher from recursing on hostile pages.
+What is never closed (comment, script, form, title) runs to the end of the page, as in a browser;
+this also keeps the patterns linear on hostile pages. Known limit against a full tree parser: a
+tag with more than 200 quoted attributes is skipped, since an unbounded pattern would recurse in
+Java's matcher.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ _ATTRIBUTE = r"""[^\s"'>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
 
 
 def tag_pattern(names: str) -> str:
-    return rf"(?i)<(?:{names})(?:[\s/]{_QUOTED})?>"
+    # an unfinished tag runs to the end of the page in one step; `tags` drops it
+    return rf"(?i)<(?:{names})(?:[\s/]{_QUOTED}(?:>|\z)|>)"
 
 
 def attribute_pattern(name: str) -> str:
@@ -34,7 +36,8 @@ def attribute_pattern(name: str) -> str:
 
 
 def tags(html: Column, names: str) -> Column:
-    return F.regexp_extract_all(html, F.lit(tag_pattern(names)), F.lit(0))
+    found = F.regexp_extract_all(html, F.lit(tag_pattern(names)), F.lit(0))
+    return F.filter(found, lambda t: t.endswith(">"))
 
 
 def has_attribute(tag: Column, name: str) -> Column:
@@ -64,9 +67,9 @@ def decoded(arrays: list[Column]) -> list[Column]:
 
 def visible_markup(html: Column) -> Column:
     """HTML without comments and without the bodies of scripts and styles."""
-    plain = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+    plain = F.regexp_replace(html, r"(?s)<!--(?:.*?-->|.*\z)", "")
     return F.regexp_replace(
-        plain, rf"(?is)(<(script|style)(?:[\s/]{_QUOTED})?>).*?</(?:script|style)\s*>", "$1</$2>")
+        plain, rf"(?is)(<(script|style)(?:[\s/]{_QUOTED})?>)(?:.*?</(?:script|style)\s*>|.*\z)", "$1</$2>")
 
 
 def _targets(elements: Column, name: str) -> Column:
@@ -103,7 +106,7 @@ def with_page_elements(df: DataFrame, html: str = "html", url: str = "url") -> D
     out = df.withColumns({"_markup": visible_markup(F.col(html)), "_base": U.netloc(F.col(url)),
                           "_lower": F.lower(html)})
     icons = F.filter(tags(markup, "link"), lambda t: F.contains(F.lower(attribute(t, "rel")), F.lit("icon")))
-    title = F.regexp_extract("_markup", rf"(?is)<title(?:[\s/]{_QUOTED})?>(.*?)</title", 1)
+    title = F.regexp_extract("_markup", rf"(?is)<title(?:[\s/]{_QUOTED})?>(.*?)(?:</title|\z)", 1)
     raw = {
         "_hrefs": _targets(tags(markup, "a"), "href"),
         "_srcs": F.concat(
@@ -235,7 +238,7 @@ def fakes_status_bar() -> Column:
 
 def image_only_form() -> Column:
     forms = F.regexp_extract_all(
-        F.col("_markup"), F.lit(rf"(?is)<form(?:[\s/]{_QUOTED})?>.*?</form\s*>"), F.lit(0))
+        F.col("_markup"), F.lit(rf"(?is)<form(?:[\s/]{_QUOTED})?>(?:.*?</form\s*>|.*\z)"), F.lit(0))
     return U.flag(F.exists(forms, lambda f: f.rlike(r"(?i)<img[\s/>]")
                            & ~f.rlike(r"(?i)<(?:input|textarea|select)[\s/>]")))
 
