@@ -9,8 +9,8 @@ FEEDBACK_SCHEMA = "content string, predicted string, actual string, user_comment
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV that keeps quotes, line breaks, blanks and empty strings apart from nulls."""
-    df.write.options(header=True, quote='"', escape='"', quoteAll=False, emptyValue='""',
+    """CSV that keeps quotes, line breaks and blanks; an empty cell reads back as null."""
+    df.write.options(header=True, quote='"', escape='"', quoteAll=False,
                      ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
