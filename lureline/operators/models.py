@@ -316,13 +316,14 @@ def cross_validate(name: str, df: DataFrame, k: int = 5, strategy: str = "strati
 
     Each fold leaves ten numbers on the driver.
     """
-    folds = P.assign_folds(df, id_column, "label", k, seed, strategy)
+    folds = P.assign_folds(df, id_column, "label", k, seed, strategy).persist(StorageLevel.MEMORY_AND_DISK)
     spark, rows = df.sparkSession, []
     for f in range(k):
         train, test = folds.filter(F.col("fold") != f), folds.filter(F.col("fold") == f)
         trained = fit(name, train, seed, **settings)
         for split, part in (("train", train), ("test", test)):
             rows += [(name, f, split, metric, float(v)) for metric, v in _all_scores(trained, part).items() if v is not None]
+    folds.unpersist()
     return spark.createDataFrame(rows, "model string, fold int, split string, metric string, value double")
 
 

@@ -233,7 +233,8 @@ def standardise(df: DataFrame, features: str = "features", fit_on: Column | None
     moments = s.select(F.struct(vector_to_array("s.mean").alias("mean"), scale.alias("scale")).alias("m")).scalar()
     with_moments = df.withColumn("_m", moments)
     centred = F.zip_with(F.col(features).cast("array<double>"), F.col("_m.mean"), lambda x, m: x - m)
-    return with_moments.select(*df.columns, F.zip_with(centred, F.col("_m.scale"), lambda x, d: x / d).alias(out))
+    keep = [c for c in df.columns if c != out]
+    return with_moments.select(*keep, F.zip_with(centred, F.col("_m.scale"), lambda x, d: x / d).alias(out))
 
 
 def standardise_columns(df: DataFrame, columns: list[str], fit_on: Column | None = None) -> DataFrame:
