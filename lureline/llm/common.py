@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lureline.shared import materialise
 
-__all__ = ["documents", "flat_text", "materialise", "narrow", "slices", "table"]
+__all__ = ["documents", "flat_text", "join_on", "materialise", "narrow", "slices", "table"]
 
 # Bytes of text that one step of a task works on; a single longer text is a step of its own.
 SLICE_BYTES = 1 << 20
@@ -31,6 +31,15 @@ def narrow(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[source].alias(name) for name, source in columns.items()])
 
 
+def join_on(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal values, null with null; the right keys are renamed, so common ancestors are no matter."""
+    other = right.select(*[F.col(n).alias(f"_r_{n}") for n in names], *[c for c in right.columns if c not in names])
+    same = F.lit(True)
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"_r_{n}"))
+    return left.join(other, same, how).drop(*[f"_r_{n}" for n in names])
+
+
 def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts in one array and their offsets (one more than texts); null is empty."""
     filled = pc.fill_null(column.cast(pa.large_string()), "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["feistel", "bpe"]
+MODULES = ["feistel", "bpe", "warc", "lang", "line_rules"]
 
 
 def _collect(name: str) -> dict:
