@@ -160,19 +160,18 @@ def mix(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", sou
 
     Rows with one id, source and size share their copies.
     """
-    keys = {"_m_id": F.col(id_column), "_m_source": F.col(source_column), "_m_size": word_count(F.col(text_column))}
-    shared = plan(df, id_column, text_column, source_column).groupBy(
-        F.col("doc_id").alias("_m_id"), F.col("source").alias("_m_source"), F.col("size").alias("_m_size"))
-    shared = shared.agg(F.sum("copies").alias("_m_copies"), F.count(F.lit(1)).alias("_m_rows"))
-    rows = join_on(df.withColumns(keys), shared, list(keys))
-    single = rows.where("_m_rows = 1").withColumn("_m_own", F.col("_m_copies"))
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(text_column)))
-    several = rows.where("_m_rows > 1").withColumn("_m_no", number)
-    own = F.floor(F.col("_m_copies") / F.col("_m_rows"))
-    own = own + (F.col("_m_no") <= F.col("_m_copies") - own * F.col("_m_rows")).cast("bigint")
-    both = single.unionByName(several.withColumn("_m_own", own).drop("_m_no"))
-    repeated = both.withColumn("_m_each", F.explode(F.array_repeat(F.lit(0), F.col("_m_own").cast("int"))))
-    return repeated.select(*df.columns)
+    def key(row_id: str, source: str, size: Column) -> Column:
+        return F.to_json(F.struct(F.col(row_id).alias("i"), F.col(source).alias("s"), size.alias("n"))).alias("_m_key")
+
+    shared = plan(df, id_column, text_column, source_column)
+    shared = shared.groupBy(key("doc_id", "source", F.col("size")).alias("_m_at")).agg(
+        F.sum("copies").alias("_m_copies"), F.count(F.lit(1)).alias("_m_rows"))
+    keyed = df.withColumn("_m_key", key(id_column, source_column, word_count(F.col(text_column))))
+    rows = keyed.join(shared, F.col("_m_key") == F.col("_m_at"))
+    rows = rows.withColumn("_m_no", F.row_number().over(Window.partitionBy("_m_key").orderBy(F.xxhash64(text_column))))
+    each = F.floor(F.col("_m_copies") / F.col("_m_rows"))
+    own = each + (F.col("_m_no") <= F.col("_m_copies") - each * F.col("_m_rows")).cast("bigint")
+    return rows.withColumn("_m_each", F.explode(F.array_repeat(F.lit(0), own.cast("int")))).select(*df.columns)
 
 
 def op7_entropy_mix(spark, sf_dir):

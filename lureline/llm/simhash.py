@@ -15,7 +15,7 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -184,6 +184,22 @@ def grouped(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     return docs.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
+def representatives(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = SHINGLE,
+                    radius: int = RADIUS) -> DataFrame:
+    """The rows of ``df`` that stand for their group, with all their columns: those with the group's smallest id.
+
+    Rows of one id that differ in text stay together; of rows equal in id and text one stays. A group
+    without any id is kept whole. Texts are shuffled once.
+    """
+    name = lambda column: F.coalesce(F.col(column).cast("string"), F.lit("none"))
+    heads = grouped(df, id_column, text_column, width, radius).where("component_id IS NULL OR doc_id = component_id")
+    heads = heads.select(name("doc_id").alias("_s_id")).distinct()
+    rows = df.withColumn("_s_key", name(id_column)).withColumn("_s_text", F.xxhash64(text_column))
+    first = rows.join(heads, F.col("_s_key") == F.col("_s_id"), "left_semi")
+    number = F.row_number().over(Window.partitionBy("_s_key", "_s_text", text_column).orderBy("_s_key"))
+    return first.withColumn("_s_no", number).where("_s_no = 1").select(*df.columns)
+
+
 def hex_digits(column: str) -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 

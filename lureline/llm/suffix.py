@@ -274,11 +274,11 @@ def united(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _keyed(df: DataFrame) -> DataFrame:
     """Adds ``_key``, the same for rows with equal id and text and never null."""
-    return df.select("doc_id", "text", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_key"))
+    return df.select("*", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_key"))
 
 
 def spans(df: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """From columns doc_id and text: the keyed rows dealt out by key, and arrays of spans to remove per key.
+    """From columns doc_id and text, and others: the keyed rows dealt out by key, and arrays of spans to remove per key.
 
     Both uses of the dealt texts read the same columns without a filter in between, so Spark shuffles them
     once. Of an anchor that repeats within a slice only one row per slice goes to the anchor's own
@@ -289,8 +289,9 @@ def spans(df: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     route = F.when(F.col("kind") == OTHER, F.xxhash64("anchor", "_key")).otherwise(F.col("anchor"))
     wanted = held.repartition(route).sortWithinPartitions("anchor").mapInArrow(_repeated, "anchor long, _key long")
     wanted = wanted.groupBy(F.col("_key").alias("_k")).agg(F.collect_set("anchor").alias("anchors"))  # a text's own
+    carried = [F.col(c) for c in df.columns if c not in ("doc_id", "text")]  # to read the very rows of the other use
     joined = dealt.join(wanted, F.col("_key") == F.col("_k"), "left").select(
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("ord"), "_key", "text",
+        *carried, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("ord"), "_key", "text",
         F.coalesce("anchors", F.array().cast("array<bigint>")).alias("anchors"))
     sharded = joined.mapInArrow(_regions(length), REGIONS).repartition("anchor").sortWithinPartitions("anchor")
     found = sharded.mapInArrow(_shards(length), SPANS)
@@ -326,20 +327,53 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [*[c for c in part.schema.names if c != "spans"], *[n for n, _ in CUT]])
 
 
-def deduplicated(df: DataFrame, length: int = LENGTH) -> DataFrame:
-    """n_bytes, n_removed, n_spans and kept_bytes next to doc_id and text, for every row of ``df``.
+def deduplicated(df: DataFrame, length: int = LENGTH, extra: list[str] | None = None) -> DataFrame:
+    """n_bytes, n_removed, n_spans and kept_bytes next to doc_id, text and ``extra`` columns, for every row of ``df``.
 
-    ``df`` has the columns doc_id and text; null texts are empty, null ids come after all others. Rows of
+    ``df`` has the columns doc_id and text, and ``extra`` ones of other names; null texts are empty, null ids come after all others. Rows of
     one id are ordered by a hash of their texts; rows equal in both are one document and get the same
     result, as its first occurrence. Bytes are cut where the spans end, also within a character.
     """
-    dealt, removed = spans(df.select("doc_id", "text"), length)
+    extra = extra or []
+    dealt, removed = spans(df.select("doc_id", "text", *extra), length)
     joined = dealt.join(removed, F.col("_key") == F.col("_k"), "left")
-    rows = joined.select("doc_id", "text", "spans")
-    schema = T.StructType([rows.schema["doc_id"], rows.schema["text"], *[T.StructField(*c) for c in CUT]])
+    rows = joined.select("doc_id", "text", *extra, "spans")
+    schema = T.StructType([*[rows.schema[c] for c in ("doc_id", "text", *extra)], *[T.StructField(*c) for c in CUT]])
     return rows.mapInArrow(_cut, schema)
 
 
+def shortened(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH) -> DataFrame:
+    """``df`` with its texts deduplicated, all columns and their order as before.
+
+    Rows whose whole content repeats earlier, so that no word is left, are dropped; rows that were not
+    touched stay as they are, null texts included. ``n_chars`` is the length of the text again, if there
+    is such a column.
+    """
+    names = {c: f"_c{i}" for i, c in enumerate(df.columns)}
+    rows = df.select(*[F.col(c).alias(a) for c, a in names.items()])
+    rows = rows.withColumn("doc_id", F.col(names[id_column])).withColumn("text", F.col(names[text_column]))
+    extra = [a for c, a in names.items() if c not in (id_column, text_column)]
+    done = deduplicated(rows, length, extra)
+    kept = [T.StructField(x, done.schema[x].dataType) for x in ("doc_id", *extra)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            touched = batch.column("n_removed").to_pylist()
+            texts = [t if not n else b.decode("utf-8", "ignore") for n, t, b in
+                     zip(touched, batch.column("text").to_pylist(), batch.column("kept_bytes").to_pylist())]
+            left = pa.array([not n or bool(t.split()) for n, t in zip(touched, texts)], pa.bool_())
+            out = pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array(texts, pa.string())],
+                                             [*[f.name for f in kept], "text"])
+            yield out.filter(left)
+
+    cut = done.mapInArrow(run, T.StructType([*kept, T.StructField("text", T.StringType())]))
+    back = {id_column: F.col("doc_id"), text_column: F.col("text")}
+    values = {c: back.get(c, F.col(a)) for c, a in names.items()}
+    if "n_chars" in values:
+        values["n_chars"] = F.when(F.col("text").isNull(), values["n_chars"]).otherwise(F.length("text")).cast(df.schema["n_chars"].dataType)
+    return cut.select(*[v.alias(c) for c, v in values.items()])
+
+
 def op8_suffix_dedup(spark, sf_dir):
     done = deduplicated(documents(spark, sf_dir))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
