@@ -154,6 +154,9 @@ PAGE_CASES = [
     '<form action="/x"><img src="a.png"><textarea></textarea></form>'
     '<form action="#"><img src="b.png"></form>',
     '<frame src="f.html"><abbr href="http://no.com"></abbr><formx action="http://no.com">',
+    "<a " + " ".join(f'd{i}="{i}"' for i in range(300)) + ' href="http://many.com/">m</a>',
+    '<script>var a="<!--";</script><a href="http://after.com/">a</a><a title="<!--" href="/b">b</a>',
+    '<style>a{content:"<!--"}</style><a/href="http://slash.com/x">s</a><img/src="http://slash.com/i.png">',
 ]
 PAGE_EDGES = [
     ("http://x.com/", ""),

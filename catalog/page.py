@@ -25,7 +25,7 @@ def tag_re(names: str) -> str:
 
 
 def attr_re(name: str) -> str:
-    return (rf"""(?i)^<[a-z]+(?:\s+{ATTR})*?\s+{name}"""
+    return (rf"""(?i)^<[a-z]+(?:[\s/]+{ATTR})*?[\s/]+{name}"""
             r"""(?:\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]*)|[\s/>])""")
 
 
@@ -68,8 +68,8 @@ def bad(h: str) -> str:
 ELEMENTS = (
     f"marked AS (SELECT page_id, url, html, lower(html) AS low, {url_part('url', 2)} AS base, "
     f"lower({url_part('url', 1)}) AS base_scheme, "
-    "regexp_replace(regexp_replace(html, '(?s)<!--(?:.*?-->|.*\\z)', '', 'g'), "
-    f"'(?is)(<(script|style)(?:[\\s/]{Q})?>)(?:.*?</(?:script|style)\\s*>|.*\\z)', '\\1</\\2>', 'g') AS markup "
+    "regexp_replace(html, '(?is)<!--(?:.*?-->|.*\\z)|"
+    f"(<(?:script|style)(?:[\\s/]{Q})?>)(?:.*?</(?:script|style)\\s*>|.*\\z)|(<[a-z/]{Q}>)', '\\1\\2', 'g') AS markup "
     "FROM captured), "
     f"elements AS (SELECT *, {values_sql(tags_sql('a'), 'href')} AS hrefs, "
     f"list_concat({values_sql(tags_sql('img|script'), 'src')}, {values_sql(STYLES, 'href')}) AS srcs, "

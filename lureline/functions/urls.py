@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lureline import fixed_values as V
 from lureline.functions import text as T
+from lureline.shared import once
 
 # groups: scheme, authority, path, query
 URL_PARTS = (
@@ -149,7 +150,7 @@ def with_url_parts(df: DataFrame, url: str, prefix: str = "_u_") -> DataFrame:
     """Adds the completed URL and its parsed parts once; the features below read them."""
     full = df.withColumn(f"{prefix}full", with_protocol(F.col(url)))
     u = F.col(f"{prefix}full")
-    return full.withColumns({
+    return once(full, {
         f"{prefix}host": netloc(u), f"{prefix}path": path(u), f"{prefix}query": query(u),
     })
 

@@ -1,9 +1,8 @@
 """Page features from captured HTML, row local: tags become arrays, no explode and no shuffle.
 
 What is never closed (comment, script, form, title) runs to the end of the page, as in a browser;
-this also keeps the patterns linear on hostile pages. Known limit against a full tree parser: a
-tag with more than 200 quoted attributes is skipped, since an unbounded pattern would recurse in
-Java's matcher.
+this also keeps the patterns linear on hostile pages. Loops over attributes are possessive: they
+take any number of them without recursion.
 """
 
 from __future__ import annotations
@@ -16,9 +15,14 @@ from pyspark.sql import functions as F
 from lureline import fixed_values as V
 from lureline.functions import text as T
 from lureline.functions import urls as U
+from lureline.shared import once
 
-_QUOTED = r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*){0,200}"""
-_ATTRIBUTE = r"""[^\s"'>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
+_QUOTED = r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+"""
+# one attribute after blanks, slashes or the quote that ends the one before; values come as written
+_ATTRIBUTE = r"""(?:[\s/]++|(?<=["']))[^\s"'>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]*+))?+"""
+# comments go, scripts and styles lose their bodies, other tags are stepped over as they are
+_HIDDEN = (rf"(?is)<!--(?:.*?-->|.*\z)|(<(script|style)(?:[\s/]{_QUOTED})?+>)(?:.*?</(?:script|style)\s*>|.*\z)"
+           rf"|(<[a-z/]{_QUOTED}>)")
 
 
 def tag_pattern(names: str) -> str:
@@ -26,55 +30,45 @@ def tag_pattern(names: str) -> str:
     return rf"(?i)<(?:{names})(?:[\s/]{_QUOTED}(?:>|\z)|>)"
 
 
-def attribute_pattern(name: str) -> str:
-    """Anchored at the tag start and walking over whole attributes, so a look-alike inside
-    another attribute's value is not taken. Group 1 is the raw value."""
-    return (
-        rf"""(?i)^<[a-z]+(?:\s+{_ATTRIBUTE}){{0,200}}?\s+{name}"""
-        r"""(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]*)|[\s/>])"""
-    )
-
-
 def tags(html: Column, names: str) -> Column:
     found = F.regexp_extract_all(html, F.lit(tag_pattern(names)), F.lit(0))
     return F.filter(found, lambda t: t.endswith(">"))
 
 
-def has_attribute(tag: Column, name: str) -> Column:
-    return tag.rlike(attribute_pattern(name))
+def attributes(tag: Column) -> Column:
+    """The attributes of a tag in order, each as written."""
+    return F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(0))
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """Attribute value as written, without quotes; '' when absent or empty."""
-    raw = F.regexp_extract(tag, attribute_pattern(name), 1)
+def named(items: Column, name: str) -> Column:
+    """Value of the first attribute of that name, without quotes; null when absent, '' when it has no value."""
+    item = F.get(F.filter(items, lambda i: i.rlike(rf"(?i)^[\s/]*{name}(?:[\s=]|\z)")), F.lit(0))
+    raw = F.regexp_extract(item, r"(?s)^[^=]*=\s*(.*)$", 1)
     quoted = raw.startswith('"') | raw.startswith("'")
     return F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
 
 
-def decoded(arrays: list[Column]) -> list[Column]:
-    """The arrays with character references decoded, all by one expression: the table of
-    references is large and should be in a plan once."""
+def decoded(arrays: list[Column]) -> Column:
+    """All values with character references decoded, by one expression: the table of references is
+    large and should be in a plan once."""
     def decode(v: Column) -> Column:
         return F.when(F.contains(v, F.lit("&")), T.unescape_entities(v)).otherwise(v)
 
-    flat = F.transform(F.concat(*arrays), decode)
-    start, out = F.lit(1), []
-    for a in arrays:
-        out.append(F.slice(F.col("_decoded"), start, F.size(a)))
-        start = start + F.size(a)
-    return [flat, *out]
+    return F.transform(F.concat(*arrays), decode)
 
 
 def visible_markup(html: Column) -> Column:
-    """HTML without comments and without the bodies of scripts and styles."""
-    plain = F.regexp_replace(html, r"(?s)<!--(?:.*?-->|.*\z)", "")
-    return F.regexp_replace(
-        plain, rf"(?is)(<(script|style)(?:[\s/]{_QUOTED})?>)(?:.*?</(?:script|style)\s*>|.*\z)", "$1</$2>")
+    """HTML without comments and without the bodies of scripts and styles, whichever begins first."""
+    return F.regexp_replace(html, _HIDDEN, "$1$3")
+
+
+def _present(values: Column) -> Column:
+    return F.filter(values, lambda v: v.isNotNull())
 
 
 def _targets(elements: Column, name: str) -> Column:
     """Values of one attribute over the elements that carry it."""
-    return F.transform(F.filter(elements, lambda t: has_attribute(t, name)), lambda t: attribute(t, name))
+    return _present(F.transform(elements, lambda t: named(attributes(t), name)))
 
 
 def _resolved(targets: Column, base: Column) -> Column:
@@ -99,30 +93,43 @@ def _size(array: Column, keep: Callable[[Column], Column]) -> Column:
 def with_page_elements(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """Adds the tag arrays that the feature operators share, each extracted once per page.
 
-    ``_base`` is the page's own authority, after redirects.
+    ``_base`` is the page's own authority, after redirects. Every step keeps its results (`once`), so
+    no page, tag or target is parsed again for each feature that reads it.
     """
     base = F.col("_base")
     markup = F.col("_markup")
-    out = df.withColumns({"_markup": visible_markup(F.col(html)), "_base": U.netloc(F.col(url)),
-                          "_lower": F.lower(html)})
-    icons = F.filter(tags(markup, "link"), lambda t: F.contains(F.lower(attribute(t, "rel")), F.lit("icon")))
-    title = F.regexp_extract("_markup", rf"(?is)<title(?:[\s/]{_QUOTED})?>(.*?)(?:</title|\z)", 1)
-    raw = {
+    out = once(df, {"_markup": visible_markup(F.col(html)), "_base": U.netloc(F.col(url)),
+                    "_base_scheme": U.scheme(F.col(url)), "_lower": F.lower(html)})
+    title = F.regexp_extract("_markup", rf"(?is)<title(?:[\s/]{_QUOTED})?+>(.*?)(?:</title|\z)", 1)
+    link = F.transform(tags(markup, "link"), attributes)
+    out = once(out, {
         "_hrefs": _targets(tags(markup, "a"), "href"),
-        "_srcs": F.concat(
-            _targets(tags(markup, "img|script"), "src"),
-            _targets(F.filter(tags(markup, "link"), lambda t: F.array_contains(
-                F.split(attribute(t, "rel"), r"\s+"), "stylesheet")), "href")),
-        "_actions": F.transform(tags(markup, "form"), lambda t: attribute(t, "action")),
-        "_icons": F.transform(F.slice(icons, 1, 1), lambda t: attribute(t, "href")),
+        "_srcs": _targets(tags(markup, "img|script"), "src"),
+        "_linked": F.transform(link, lambda i: F.struct(
+            F.coalesce(named(i, "rel"), F.lit("")).alias("rel"), named(i, "href").alias("href"))),
+        "_actions": F.transform(tags(markup, "form"), lambda t: F.coalesce(named(attributes(t), "action"), F.lit(""))),
         "_titles": F.array(title),
+    })
+    styles = F.filter("_linked", lambda x: F.array_contains(F.split(x["rel"], r"\s+"), "stylesheet"))
+    icons = F.filter("_linked", lambda x: F.contains(F.lower(x["rel"]), F.lit("icon")))
+    raw = {
+        "_hrefs": F.col("_hrefs"),
+        "_srcs": F.concat("_srcs", _present(F.transform(styles, lambda x: x["href"]))),
+        "_actions": F.col("_actions"),
+        "_icons": F.transform(F.slice(icons, 1, 1), lambda x: F.coalesce(x["href"], F.lit(""))),
+        "_titles": F.col("_titles"),
     }
-    out = out.withColumns(raw)
-    flat, *parts = decoded([F.col(n) for n in raw])
-    out = out.withColumn("_decoded", flat).withColumns(dict(zip(raw, parts)))
-    out = out.withColumn("_actions", F.transform("_actions", T.strip)).drop("_decoded")
+    out = once(out, {"_decoded": decoded(list(raw.values())), "_sizes": F.array(*[F.size(c) for c in raw.values()])})
+    out = out.drop(*raw, "_linked")
+    start, pieces = F.lit(1), {}
+    for k, name in enumerate(raw):
+        size = F.get("_sizes", F.lit(k))
+        pieces[name] = F.slice("_decoded", start, size)
+        start = start + size
+    pieces["_actions"] = F.transform(pieces["_actions"], T.strip)
+    out = once(out, pieces).drop("_decoded", "_sizes")
     null_href = V.NULL_HREFS
-    out = out.withColumns({
+    return once(out, {
         "_nulls": _size(F.col("_hrefs"), lambda h: T.strip(h).isin(null_href)),
         "_links": _resolved(F.filter(F.transform("_hrefs", T.strip),
                                      lambda h: ~h.isin(null_href)), base),
@@ -131,7 +138,6 @@ def with_page_elements(df: DataFrame, html: str = "html", url: str = "url") -> D
                                      & ~a.startswith("mailto:")), base),
         "_icon_href": F.coalesce(F.get("_icons", F.lit(0)), F.lit("")),
     })
-    return out
 
 
 def absolute_url(target: Column, base_url: Column) -> Column:
@@ -238,7 +244,7 @@ def fakes_status_bar() -> Column:
 
 def image_only_form() -> Column:
     forms = F.regexp_extract_all(
-        F.col("_markup"), F.lit(rf"(?is)<form(?:[\s/]{_QUOTED})?>(?:.*?</form\s*>|.*\z)"), F.lit(0))
+        F.col("_markup"), F.lit(rf"(?is)<form(?:[\s/]{_QUOTED})?+>(?:.*?</form\s*>|.*\z)"), F.lit(0))
     return U.flag(F.exists(forms, lambda f: f.rlike(r"(?i)<img[\s/>]")
                            & ~f.rlike(r"(?i)<(?:input|textarea|select)[\s/>]")))
 
@@ -270,9 +276,8 @@ def ratio_rt(ratio: Column) -> Column:
 
 def summarise(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """Adds the link, resource and form summaries."""
-    out = with_page_elements(df, html, url).withColumn("_base_scheme", U.scheme(F.col(url)))
-    return out.withColumns({"links": link_summary(url), "resources": resource_summary(),
-                            "forms": form_summary()})
+    return once(with_page_elements(df, html, url), {
+        "links": link_summary(url), "resources": resource_summary(), "forms": form_summary()})
 
 
 def page_features(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
