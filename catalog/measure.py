@@ -53,7 +53,7 @@ def cv5_confidence_intervals(spark, sf_dir) -> DataFrame:
 def cv6_jn1_paired_tests(spark, sf_dir) -> DataFrame:
     f1 = _fold_scores(spark, sf_dir).filter("metric = 'f1'")
     t = M.paired_tests(f1.filter("model = 'alpha'"), f1.filter("model = 'beta'"))
-    return _rounded(t, ["mean_difference", "t_statistic", "wilcoxon_statistic"], 6)
+    return _rounded(t, ["mean_difference", "t_statistic", "wilcoxon_statistic"], 6).drop("t_p_value", "wilcoxon_p_value")
 
 
 def cv8_fold_distribution(spark, sf_dir) -> DataFrame:
@@ -204,7 +204,7 @@ QUERIES = {f.__name__: f for f in (
     ens1_hard_voting, ens2_weighted_voting, ens5_weight_search, ens5_best_weights, ens7_contributions,
     cv1_win2_folds, cv1_plain_folds)}
 
-T9 = "2.262157::DOUBLE"
+T9 = "2.2621571627409915::DOUBLE"  # 97.5 % point of Student t with 9 degrees of freedom
 SQL = {
     "agg14_binary_metrics": (
         f"WITH {I.LONG_PREDICTIONS}, m AS ({metrics_sql('scored', 'model')}) SELECT model, tn, fp, fn, tp, {r9(*METRIC_SQL)} FROM m"),
@@ -236,10 +236,12 @@ SQL = {
         "metric) WHERE metric = 'f1' AND a.model = 'alpha' AND b.model = 'beta'), t AS (SELECT count(*) AS n, avg(d) AS md, "
         "avg(d) / nullif(stddev_samp(d) / sqrt(count(*)), 0) AS t FROM d), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + "
         "(count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS rk FROM d WHERE d <> 0), w AS (SELECT least(coalesce(sum(rk) "
-        "FILTER (d > 0), 0), coalesce(sum(rk) FILTER (d < 0), 0)) AS w, count(*) AS m FROM r) SELECT n, round(md, 6) AS "
-        f"mean_difference, round(t, 6) AS t_statistic, coalesce(abs(t) > {T9}, false) AS t_significant, round(w, 6) AS "
-        "wilcoxon_statistic, coalesce(w <= CASE m WHEN 6 THEN 0 WHEN 7 THEN 2 WHEN 8 THEN 3 WHEN 9 THEN 5 WHEN 10 THEN 8 "
-        "END, false) AS wilcoxon_significant FROM t, w"),
+        "FILTER (d > 0), 0), coalesce(sum(rk) FILTER (d < 0), 0)) AS w, count(*) AS m, (SELECT coalesce(sum(c * c * c - c), 0) "
+        "FROM (SELECT count(*) AS c FROM d WHERE d <> 0 GROUP BY abs(d))) AS ties FROM r) SELECT n, round(md, 6) AS "
+        f"mean_difference, round(t, 6) AS t_statistic, abs(t) > {T9} AS t_significant, round(w, 6) AS "
+        "wilcoxon_statistic, CASE WHEN m = 0 THEN NULL WHEN ties = 0 THEN w <= CASE m WHEN 6 THEN 0 WHEN 7 THEN 2 WHEN 8 THEN 3 "
+        "WHEN 9 THEN 5 WHEN 10 THEN 8 ELSE -1 END ELSE abs(w - m * (m + 1) / 4) / sqrt(m * (m + 1) * (2 * m + 1) / 24 - "
+        "ties / 48) > 1.959963984540054 END AS wilcoxon_significant FROM t, w"),
     "cv8_fold_distribution": (
         f"WITH {FOLDED} SELECT model, metric, round(min(value), 9) AS min, round(quantile_cont(value, 0.25), 9) AS q1, "
         "round(median(value), 9) AS median, round(quantile_cont(value, 0.75), 9) AS q3, round(max(value), 9) AS max FROM "

@@ -223,18 +223,3 @@ THREAT_STEPS = [
     (0.2, "Minimal Threat"), (0.4, "Low Threat"), (0.6, "Moderate Threat"),
     (0.8, "High Threat"), (None, "Critical Threat"),
 ]
-
-# ---- fixed values: statistics tables ------------------------------------------------------------
-# two-sided 95 % Student t quantile for 1..30 degrees of freedom
-T_975 = [
-    12.706205, 4.302653, 3.182446, 2.776445, 2.570582, 2.446912, 2.364624, 2.306004, 2.262157,
-    2.228139, 2.200985, 2.178813, 2.160369, 2.144787, 2.131450, 2.119905, 2.109816, 2.100922,
-    2.093024, 2.085963, 2.079614, 2.073873, 2.068658, 2.063899, 2.059539, 2.055529, 2.051831,
-    2.048407, 2.045230, 2.042272,
-]
-# two-sided 5 % critical value of the Wilcoxon signed-rank statistic for n = 6..30
-WILCOXON_05 = {
-    6: 0, 7: 2, 8: 3, 9: 5, 10: 8, 11: 10, 12: 13, 13: 17, 14: 21, 15: 25, 16: 29, 17: 34,
-    18: 40, 19: 46, 20: 52, 21: 58, 22: 65, 23: 73, 24: 81, 25: 89, 26: 98, 27: 107, 28: 116,
-    29: 126, 30: 137,
-}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lureline import fixed_values as V
+from lureline.functions import inference
 from lureline.operators.ranking import running_totals
 
 METRICS = ["accuracy", "precision", "recall", "f1"]
@@ -101,24 +101,20 @@ def fold_summary(scores: DataFrame, by: list[str], value: str = "value") -> Data
                                    F.count(value).alias("folds"))
 
 
-def _t_table(df: DataFrame) -> DataFrame:
-    rows = list(enumerate(V.T_975, start=1))
-    return F.broadcast(df.sparkSession.createDataFrame(rows, "df int, t_975 double"))
+def confidence_intervals(scores: DataFrame, by: list[str], value: str = "value", confidence: float = 0.95) -> DataFrame:
+    """t interval of the mean over folds, from the population deviation; null bounds for a single fold."""
+    s = fold_summary(scores, by, value)
+    quantile = inference.t_quantile_of(F.lit(confidence), F.col("folds") - 1)
+    half = quantile * F.col("std") / F.sqrt("folds")
+    return s.select(*by, "mean", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
 
 
-def confidence_intervals(scores: DataFrame, by: list[str], value: str = "value") -> DataFrame:
-    """95 % t interval of the mean over up to 31 folds, from the population deviation."""
-    s = fold_summary(scores, by, value).withColumn("df", (F.col("folds") - 1).cast("int"))
-    half = F.col("t_975") * F.col("std") / F.sqrt("folds")
-    return s.join(_t_table(scores), "df", "left").select(
-        *by, "mean", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
+def paired_tests(first: DataFrame, second: DataFrame, fold: str = "fold", value: str = "value",
+                 significance: float = 0.05) -> DataFrame:
+    """Paired t and Wilcoxon signed-rank tests of two models over the same folds, with p-values.
 
-
-def paired_tests(first: DataFrame, second: DataFrame, fold: str = "fold", value: str = "value") -> DataFrame:
-    """Paired t and Wilcoxon signed-rank statistics of two models over the same folds.
-
-    Significance at 5 % comes from critical values. Zero differences leave the rank test; equal
-    sizes share their mean rank.
+    Zero differences leave the rank test; equal sizes share their mean rank. Where a statistic is
+    unknown (one fold, equal differences, no difference at all) its p-value and verdict are null.
     """
     pairs = first.select(fold, F.col(value).alias("_a")).join(
         second.select(fold, F.col(value).alias("_b")), fold)
@@ -128,21 +124,21 @@ def paired_tests(first: DataFrame, second: DataFrame, fold: str = "fold", value:
     size = F.abs("d")
     nonzero = diffs.filter("d <> 0")
     # one row per fold: the windows below run over a handful of rows
-    ties = Window.partitionBy(size)
-    ranked = nonzero.withColumn("_r", F.rank().over(Window.partitionBy(F.lit(0)).orderBy(size)) +
-                                (F.count("*").over(ties) - 1) / 2)
+    equal = F.count("*").over(Window.partitionBy(size))
+    ranked = nonzero.withColumn("_r", F.rank().over(Window.partitionBy(F.lit(0)).orderBy(size)) + (equal - 1) / 2)
+    ranked = ranked.withColumn("_t", equal * equal - 1)  # summed over the rows of a tie: t^3 - t
     plus = F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("_r"))), F.lit(0.0))
     minus = F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("_r"))), F.lit(0.0))
-    w = ranked.agg(F.struct(F.count("*").alias("n"), F.least(plus, minus).alias("w")).alias("s")).scalar()
-    critical = F.create_map(*[F.lit(x) for pair in V.WILCOXON_05.items() for x in pair])
-    with_w = t_part.select("*", w["w"].alias("wilcoxon_statistic"), w["n"].cast("int").alias("_m"),
-                           (F.col("n") - 1).cast("int").alias("df"))
-    return with_w.join(_t_table(first), "df", "left").select(
-        "n", "mean_difference", "t_statistic",
-        F.coalesce(F.abs("t_statistic") > F.col("t_975"), F.lit(False)).alias("t_significant"),
-        "wilcoxon_statistic",
-        F.coalesce(F.col("wilcoxon_statistic") <= F.try_element_at(critical, F.col("_m")), F.lit(False))
-        .alias("wilcoxon_significant"))
+    w = ranked.agg(F.struct(F.count("*").alias("n"), F.least(plus, minus).alias("w"), F.sum("_t").alias("ties"))
+                   .alias("s")).scalar()
+    both = t_part.withColumn("_w", w)
+    both = both.select("n", "mean_difference", "t_statistic",
+                       inference.t_p_value_of("t_statistic", F.col("n") - 1).alias("t_p_value"),
+                       F.col("_w.w").alias("wilcoxon_statistic"),
+                       inference.signed_rank_p_value_of("_w.w", "_w.n", "_w.ties").alias("wilcoxon_p_value"))
+    return both.select("n", "mean_difference", "t_statistic", "t_p_value",
+                       (F.col("t_p_value") < significance).alias("t_significant"), "wilcoxon_statistic",
+                       "wilcoxon_p_value", (F.col("wilcoxon_p_value") < significance).alias("wilcoxon_significant"))
 
 
 def fold_distribution(scores: DataFrame, by: list[str], value: str = "value") -> DataFrame:

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lureline.functions import inference
 from lureline.operators import corpus as C
 from lureline.operators import ensemble as E
 from lureline.operators import lexicon as L
@@ -185,6 +186,23 @@ def test_paired_tests_with_few_folds(spark):
     assert t.t_significant and t.wilcoxon_statistic == 0 and t.wilcoxon_significant
 
 
+def test_intervals_and_tests_have_no_end(spark):
+    """Values of published tables: t with 30, 39 and 100 degrees of freedom, signed ranks of 10, 20 and 50."""
+    for confidence, df, expected in ((0.95, 30, 2.0423), (0.95, 39, 2.0227), (0.99, 100, 2.6259), (0.9, 1, 6.3138)):
+        assert abs(inference.t_quantile(confidence, df) - expected) < 1e-4
+    assert abs(inference.t_p_value(2.262157, 9) - 0.05) < 1e-6 and inference.t_p_value(None, 9) is None
+    for w, n in ((8, 10), (52, 20), (434, 50)):
+        assert inference.signed_rank_p_value(w, n, 0) <= 0.05 < inference.signed_rank_p_value(w + 1, n, 0)
+    a = spark.createDataFrame([(i, 0.9 + i / 1000) for i in range(40)], "fold int, value double")
+    b = a.withColumn("value", F.col("value") - 0.4 - F.col("fold") / 100000)
+    t = M.paired_tests(a, b).first()
+    assert t.t_significant and t.wilcoxon_significant and t.t_p_value < 1e-6
+    low, high = M.confidence_intervals(a.withColumn("m", F.lit("x")), ["m"], confidence=0.99).select("low", "high").first()
+    assert low < 0.9195 < high
+    one = M.paired_tests(a.filter("fold = 0"), b.filter("fold = 0")).first()
+    assert one.t_significant is None and one.t_p_value is None
+
+
 def test_captured_pages_rules(spark):
     ok = (200, "text/html", bytearray(b"caf\xc3\xa9 \xff!"))
     rows = [("http://a.b", None, *ok), ("a.b", None, *ok), ("http://a.b", None, 404, "text/html", bytearray(b"x")),
