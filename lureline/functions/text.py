@@ -75,6 +75,17 @@ def _entity_tables() -> tuple[dict[str, str], str]:
     return names, "^(?:" + "|".join(legacy) + ")"
 
 
+def _replaced_code_points() -> dict[int, str]:
+    """Numeric references that stand for other characters: those of code page 1252, zero and carriage return."""
+    out = {0: "\ufffd", 13: "\r"}
+    for code in range(0x80, 0xA0):
+        try:
+            out[code] = bytes([code]).decode("cp1252")
+        except UnicodeDecodeError:  # five places of the code page are empty
+            out[code] = chr(code)
+    return out
+
+
 def unescape_entities(c: Column) -> Column:
     """Decode named and numeric character references.
 
@@ -85,18 +96,23 @@ def unescape_entities(c: Column) -> Column:
     table = F.from_json(F.lit(json.dumps(names)), "map<string,string>")  # folded once
     ref = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
+    special = F.create_map(*[F.lit(x) for pair in sorted(_replaced_code_points().items()) for x in pair])
+
     def decode(r: Column) -> Column:
-        body = F.substring(r, 2, 40)
-        dec = F.regexp_extract(body, r"^#0*([0-9]{1,7});?$", 1)
-        hexa = F.regexp_extract(body, r"^#[xX]0*([0-9a-fA-F]{1,6});?$", 1)
-        code = F.when(dec != "", dec.cast("int")).when(
-            hexa != "", F.conv(hexa, 16, 10).cast("int"))
+        body = F.substring(r, F.lit(2), F.length(r))
+        hexadecimal = body.rlike("^#[xX]")
+        digits = F.regexp_extract(body, r"^#[xX]?0*([0-9a-fA-F]*);?$", 1)  # of any length, without leading zeros
+        code = F.when(F.length(digits) > 7, F.lit(0x110000)).otherwise(
+            F.coalesce(F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).try_cast("int"), F.lit(0)))
         prefix = F.regexp_extract(body, legacy, 0)
-        tail = F.substring(body, F.length(prefix) + 1, F.lit(40))
+        tail = F.substring(body, F.length(prefix) + 1, F.length(body))
         valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        dropped = (code.between(1, 8) | (code == 11) | code.between(14, 31) | code.between(127, 159)
+                   | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(0xFFFE) == 0xFFFE))
         found = F.transform(F.array(body, prefix), lambda k: F.try_element_at(table, k))
         named = F.coalesce(F.get(found, F.lit(0)), F.concat(F.get(found, F.lit(1)), tail), r)
-        numeric = F.when(valid, _code_point(code)).otherwise("�")
+        numeric = F.coalesce(F.try_element_at(special, code), F.when(~valid, "\ufffd").when(dropped, "")
+                             .otherwise(_code_point(code)))
         return F.when(body.startswith("#"), numeric).otherwise(named)
 
     pieces = F.split(c, ref, -1)

@@ -17,11 +17,45 @@ from pyspark.sql import functions as F
 
 PIVOTS = 64
 BLOCK_ROWS = 1024
+RELATIVE_SLACK = 1e-9  # far above the rounding of distances that come from differences
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    sq = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.sqrt(np.maximum(sq, 0.0))
+    """Distances from differences, one row of the short ``b`` at a time: nothing cancels far from the origin."""
+    out = np.empty((len(a), len(b)))
+    for j, row in enumerate(b):
+        away = a - row
+        out[:, j] = np.sqrt(np.einsum("ij,ij->i", away, away))
+    return out
+
+
+def _block_top_k(a: np.ndarray, b: np.ndarray, b_ids: np.ndarray, hidden: np.ndarray | None, k: int
+                 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row number in ``a``, id in ``b`` and distance of the k nearest, equal distances by id.
+
+    Squared distances by a matrix product about a common centre choose the candidates; all within its
+    rounding error of the k-th are kept, and differences decide among them.
+    """
+    centre = b.mean(axis=0)
+    x, y = a - centre, b - centre
+    nx, ny = (x * x).sum(1), (y * y).sum(1)
+    error = 8 * np.finfo(float).eps * (a.shape[1] + 2) * (nx + ny.max())
+    near = nx[:, None] + ny[None, :] - 2.0 * (x @ y.T)
+    if hidden is not None:
+        near[hidden] = np.inf
+    last = min(k, len(b)) - 1
+    bound = np.partition(near, last, axis=1)[:, last] + 2 * error
+    parts = []
+    for start in range(0, len(a), 64):  # many equal distances make many candidates
+        rows, columns = np.nonzero((near[start:start + 64] <= bound[start:start + 64, None]) & np.isfinite(near[start:start + 64]))
+        away = a[rows + start] - b[columns]
+        exact = np.sqrt(np.einsum("ij,ij->i", away, away))
+        order = np.lexsort((b_ids[columns], exact, rows))
+        rows, columns, exact = rows[order], columns[order], exact[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        keep = place < k
+        parts.append((rows[keep] + start, b_ids[columns[keep]], exact[keep]))
+    return tuple(np.concatenate(p) for p in zip(*parts))
 
 
 def _with_cells(df: DataFrame, pivots: np.ndarray, need: int) -> DataFrame:
@@ -88,9 +122,8 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, id_column: str = "id",
     cells = F.array(*[F.struct(F.lit(c).alias("cell"), F.lit(ref_chunks[c]).alias("chunks"), F.lit(float(radius)).alias("radius"))
                       for c, (_, radius) in sorted(ref_stats.items())])
     apart = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in between])
-    slack = 1e-9
-    reach = F.filter(cells, lambda c: F.get(F.get(apart, F.col("cell")), c["cell"])
-                     <= F.col("q_radius") + c["radius"] + F.col("q_bound") + F.lit(slack))
+    reach = F.filter(cells, lambda c: F.get(F.get(apart, F.col("cell")), c["cell"]) * (1 - RELATIVE_SLACK)
+                     <= F.col("q_radius") + c["radius"] + F.col("q_bound"))
     visits = query_blocks.withColumn("_c", F.explode(reach)).select(
         "q_ids", "q_vectors", F.col("_c.cell").alias("cell"),
         F.explode(F.sequence(F.lit(0), F.col("_c.chunks") - 1)).alias("chunk"))
@@ -102,18 +135,9 @@ def nearest(queries: DataFrame, refs: DataFrame, k: int, id_column: str = "id",
                 q_ids, r_ids = np.asarray(q_ids), np.asarray(r_ids)
                 a = np.stack(q_vecs).astype(float)
                 b = np.stack(r_vecs).astype(float)
-                d = _distances(a, b)
-                if same_table:
-                    d[q_ids[:, None] == r_ids[None, :]] = np.inf
-                keep = min(k + 4, len(r_ids))
-                idx = np.argpartition(d, keep - 1, axis=1)[:, :keep]
-                exact = np.sqrt(((a[:, None, :] - b[idx]) ** 2).sum(2))
-                exact[~np.isfinite(np.take_along_axis(d, idx, 1))] = np.inf
-                order = np.lexsort((r_ids[idx], exact), axis=1)[:, :k]
-                ids = np.take_along_axis(r_ids[idx], order, 1)
-                dist = np.take_along_axis(exact, order, 1)
-                out = pd.DataFrame({"id": np.repeat(q_ids, ids.shape[1]), "neighbour": ids.ravel(), "distance": dist.ravel()})
-                yield out[np.isfinite(out.distance)]
+                hidden = q_ids[:, None] == r_ids[None, :] if same_table else None
+                rows, ids, distances = _block_top_k(a, b, r_ids, hidden, k)
+                yield pd.DataFrame({"id": q_ids[rows], "neighbour": ids, "distance": distances})
 
     found = meetings.select("q_ids", "q_vectors", "r_ids", "r_vectors").mapInPandas(
         top_k, "id bigint, neighbour bigint, distance double")

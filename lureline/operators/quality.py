@@ -110,8 +110,8 @@ def _pandas_kurtosis(c: Column) -> Column:
     return F.when(n < 4, None).when(F.stddev_pop(c) == 0, 0.0).otherwise(adjusted)
 
 
-def feature_statistics(df: DataFrame, columns: list[str] | None = None, limit: int = 10) -> DataFrame:
-    """(column, mean, std, min, max, median, skew, kurtosis) of the first ``limit`` numeric columns."""
+def feature_statistics(df: DataFrame, columns: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """(column, mean, std, min, max, median, skew, kurtosis) of all numeric columns, or the first ``limit``."""
     columns = (columns or numeric_columns(df))[:limit]
     measures = {
         "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "skew": _pandas_skew,

@@ -62,7 +62,18 @@ def test_attributes_against_html_parser(spark):
 
 
 def test_hostile_page_does_not_end_the_job(spark):
-    wide = "<a " + " ".join(f'x{i}="{i}"' for i in range(3000)) + ' href="http://y.com">z</a>'
+    wide = "<a " + " ".join(f'x{i}="{i}"' for i in range(20_000)) + ' href="http://y.com">z</a>'
     deep = "<form>" * 2000 + "<div " + "a" * 300_000 + ">"
     rows = [("http://x.com", wide), ("http://x.com", deep), ("http://x.com", "<" * 50_000), ("http://x.com", "<!--" * 20_000)]
     assert P.feature_vector(pages(spark, rows)).filter(F.size("features") == 48).count() == 4
+    got = P.summarise(pages(spark, rows)).orderBy("id").select("links.total", "forms.total").collect()
+    assert [tuple(r) for r in got] == [(1, 0), (0, 2000), (0, 0), (0, 0)]
+
+
+def test_comment_marks_in_scripts_and_attributes(spark):
+    cases = [('<script>var a="<!--";</script><a href="/a">x</a>', ["/a"]), ('<a title="<!--" href="/a">x</a><a href="/b">y</a>', ["/a", "/b"]),
+             ('<!-- <script> --><a href="/a">x</a><!-- </script> -->', ["/a"]), ('<a/href="/a">x</a>', ["/a"]),
+             ('<a class="y"href="/a">x</a>', ["/a"]), ("<a href = '/a' HREF=/b>x</a>", ["/a"]), ('<a data-x="q href=/no">x</a>', []),
+             ('<a href="&#' + "0" * 45 + '47;a">x</a>', ["/a"])]
+    got = P.with_page_elements(pages(spark, [("http://x.com", h) for h, _ in cases])).orderBy("id").select("_hrefs").collect()
+    assert [r[0] for r in got] == [e for _, e in cases]

@@ -218,3 +218,12 @@ def test_csv_with_quotes_and_line_breaks(spark, tmp_path):
     back = corpora.read_csv(spark, str(tmp_path / "c"), "text string, label int")
     # an empty cell reads as missing, as it does in spreadsheet tools
     assert {tuple(r) for r in back.collect()} == {("a \"q\", b\nc", 1), (None, 0), (" x ", None)}
+
+
+def test_neighbours_far_from_the_origin_and_on_ties(spark):
+    far = spark.createDataFrame([(i, [1e8 + i * 0.001, 1e8]) for i in range(60)], "id long, features array<double>")
+    query = spark.createDataFrame([(0, [1e8 + 0.0301, 1e8])], "id long, features array<double>")
+    assert [r.neighbour for r in N.nearest(query, far, 3).orderBy("rank").collect()] == [30, 31, 29]
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(1, 1001)], "id long, features array<double>")
+    got = N.nearest(query.withColumn("features", F.array(F.lit(1.0), F.lit(2.0))), same, 5, block_rows=100).orderBy("rank")
+    assert [(r.neighbour, r.distance) for r in got.collect()] == [(i, 0.0) for i in range(1, 6)]
