@@ -102,9 +102,9 @@ def agg6_high_correlations(spark, sf_dir) -> DataFrame:
 
 
 def agg6_wide_correlations(spark, sf_dir) -> DataFrame:
-    """All pairs of 24 embedding dimensions: the exploded-pair way for wide tables."""
+    """All pairs of the 64 embedding dimensions: the exploded-pair way for wide tables."""
     e = I.table(spark, sf_dir, "embeddings")
-    wide = e.select(*[F.col("embedding")[i].alias(f"d{i:02d}") for i in range(24)])
+    wide = e.select(*[F.col("embedding")[i].alias(f"d{i:02d}") for i in range(64)])
     return Q.correlations(wide).select("feature1", "feature2", F.round("correlation", 6).alias("correlation"))
 
 
@@ -230,7 +230,7 @@ SQL = {
     "agg6_high_correlations": f"WITH {MEASURED} SELECT * FROM ({CORR_SQL}) WHERE abs(correlation) > 0.9",
     "agg6_wide_correlations": " UNION ALL ".join(
         f"SELECT 'd{i:02d}' AS feature1, 'd{j:02d}' AS feature2, round(corr(embedding[{i + 1}], embedding[{j + 1}]), 6) "
-        "AS correlation FROM embeddings" for i in range(24) for j in range(i + 1, 24)),
+        "AS correlation FROM embeddings" for i in range(64) for j in range(i + 1, 64)),
     "agg7_flt4_consistency": f"WITH {MEASURED} SELECT * FROM ({CONSISTENCY_SQL}) WHERE n > 0",
     "agg8_flt3_dataset_info": (
         f"WITH {MEASURED} SELECT count(*) AS total_samples, {len(COLUMNS)} AS total_features, {len(NUMERIC)} AS "

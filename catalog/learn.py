@@ -23,14 +23,10 @@ from lureline.sources import sinks as K
 from lureline.streaming import jobs as J
 
 DIMS = 64
-# smaller settings than the library defaults keep a check run short
-QUICK = {
-    "logistic_regression": {"maxIter": 50}, "svm_linear": {"max_iter": 30}, "svm_rbf": {"size": 64, "max_iter": 30},
-    "random_forest": {"numTrees": 20, "maxDepth": 8}, "gradient_boosting": {"maxIter": 10}, "naive_bayes": {},
-    "decision_tree": {"maxDepth": 8}, "dense_net": {"inputs": DIMS, "hidden": (32, 16), "maxIter": 20},
-    "knn": {"k": 5},
-}
-FEW = {n: QUICK[n] for n in ("logistic_regression", "decision_tree", "naive_bayes")}
+# library defaults; the net is told the width of its input
+SETTINGS = {name: {} for name in ("logistic_regression", "svm_linear", "svm_rbf", "random_forest", "gradient_boosting",
+                                  "naive_bayes", "decision_tree", "knn")} | {"dense_net": {"inputs": DIMS}}
+FEW = {n: SETTINGS[n] for n in ("logistic_regression", "decision_tree", "naive_bayes")}
 
 
 def rows(spark, sf_dir) -> DataFrame:
@@ -49,7 +45,7 @@ def parts(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
 def _scores(name: str):
     def query(spark, sf_dir) -> DataFrame:
         train, val, _ = parts(spark, sf_dir)
-        return M.train_model(name, train, val, **QUICK[name]).scores
+        return M.train_model(name, train, val, **SETTINGS[name]).scores
 
     return query
 
@@ -63,7 +59,7 @@ def ml10_train_all_leaderboard(spark, sf_dir) -> DataFrame:
 
 def ml11_predict_probability(spark, sf_dir) -> DataFrame:
     train, _, test = parts(spark, sf_dir)
-    return M.fit("logistic_regression", train, **QUICK["logistic_regression"]).score(test).select(
+    return M.fit("logistic_regression", train, **SETTINGS["logistic_regression"]).score(test).select(
         "id", "probability", "prediction")
 
 
@@ -78,7 +74,7 @@ _FORESTS: dict[tuple[str, str], tuple[M.Trained, DataFrame]] = {}
 
 
 def _forest(spark, sf_dir) -> tuple[M.Trained, DataFrame]:
-    """A small forest on the 48 page features, trained once per session and data folder.
+    """The default forest on the 48 page features, trained once per session and data folder.
 
     Target: a rule over external links and digits, so that both classes occur.
     """
@@ -88,7 +84,7 @@ def _forest(spark, sf_dir) -> tuple[M.Trained, DataFrame]:
         y = F.when(F.get("features", F.lit(26)) + F.get("features", F.lit(13)) % 3 > 1, 1).otherwise(0)
         table = materialise(v.withColumn("label", y).withColumnRenamed("page_id", "id"), "page-vectors")
         train = table.withColumn("features", array_to_vector(F.col("features").cast("array<double>")))
-        _FORESTS[key] = M.fit("random_forest", train, numTrees=10, maxDepth=6), table
+        _FORESTS[key] = M.fit("random_forest", train), table
     return _FORESTS[key]
 
 
@@ -98,13 +94,13 @@ def srt3_top5_features(spark, sf_dir) -> DataFrame:
 
 def srt4_srt5_top20_coefficients(spark, sf_dir) -> DataFrame:
     train, _, _ = parts(spark, sf_dir)
-    t = M.fit("logistic_regression", train, **QUICK["logistic_regression"])
+    t = M.fit("logistic_regression", train, **SETTINGS["logistic_regression"])
     return M.top_features(spark, t, [f"d{i}" for i in range(DIMS)], 20)
 
 
 def cv2_cv3_cross_validate(spark, sf_dir) -> DataFrame:
     train, _, _ = parts(spark, sf_dir)
-    folds, _ = M.cross_validate_all(train, {n: FEW[n] for n in ("naive_bayes", "decision_tree")}, 3)
+    folds, _ = M.cross_validate_all(train, {n: FEW[n] for n in ("naive_bayes", "decision_tree")}, 5)
     return MT.fold_summary(folds, ["model", "split", "metric"])
 
 

@@ -204,7 +204,7 @@ def _responses(spark, sf_dir) -> DataFrame:
 
 
 def src6_captured_responses(spark, sf_dir) -> DataFrame:
-    pages = accepted_pages(_responses(spark, sf_dir), max_size=6000)
+    pages = accepted_pages(_responses(spark, sf_dir))
     return pages.select("page_id", "url", "final_url", F.md5("html").alias("html_md5"),
                         F.length("html").alias("n_chars"))
 
@@ -287,7 +287,7 @@ SQL = {
         f"WITH {I.CAPTURED} SELECT page_id, url, CASE WHEN page_id % 5 = 0 THEN url || '#moved' ELSE url END AS "
         "final_url, md5(html) AS html_md5, length(html) AS n_chars FROM captured WHERE page_id % 7 <> 3 "
         "AND page_id % 11 NOT IN (4, 5) AND octet_length(encode(html)) + CASE WHEN page_id % 6 = 1 THEN 1 "
-        f"ELSE 0 END <= 6000 AND {url_part('url', 1)} <> '' AND {url_part('url', 2)} <> '' AND NOT "
+        f"ELSE 0 END <= 5242880 AND {url_part('url', 1)} <> '' AND {url_part('url', 2)} <> '' AND NOT "
         + bad(url_part("url", 2))),
     "flagship_risk_by_tier": (
         f"WITH {VECTORS}, {TU.TAGGER_PARTS}, tagged AS (SELECT v.*, least({TU.dbl(1.0)}, least(greatest("

@@ -17,7 +17,7 @@ from lureline.operators import prep as P
 from lureline.sources.corpora import available
 
 STOP_WORDS = ["the", "and", "of", "to", "in", "de", "la", "et", "que", "der", "und", "el", "is", "by"]
-TFIDF = {"max_features": 300, "min_df": 5, "max_df": 0.95}
+TFIDF = {"max_features": 5000, "min_df": 5, "max_df": 0.95}
 SEGMENTS = "c_mktsegment"
 
 
@@ -152,12 +152,12 @@ def txt13_misspelled(spark, sf_dir) -> DataFrame:
 
 
 def txt15_token_vocabulary(spark, sf_dir) -> DataFrame:
-    return P.token_vocabulary(I.mails(spark, sf_dir), "doc_id", "text", 500)
+    return P.token_vocabulary(I.mails(spark, sf_dir), "doc_id", "text", 10000)
 
 
 def txt15_token_ids(spark, sf_dir) -> DataFrame:
     m = I.mails(spark, sf_dir)
-    return P.encode_tokens(m, "doc_id", "text", P.token_vocabulary(m, "doc_id", "text", 500), 100)
+    return P.encode_tokens(m, "doc_id", "text", P.token_vocabulary(m, "doc_id", "text", 10000), 500)
 
 
 # ---- SQL ----------------------------------------------------------------------------------------------------
@@ -202,7 +202,7 @@ TOKEN_SQL = (
     f"{I.MAILS}, listed AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '{TOKENS_RE}'), lambda "
     "w: w <> '') AS w FROM mails), placed AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM "
     "listed), freq AS (SELECT word, count(*) AS n, min((doc_id, pos)) AS first FROM placed GROUP BY word ORDER BY n DESC, "
-    "first LIMIT 498), vocabulary AS (SELECT word, row_number() OVER (ORDER BY n DESC, first) + 1 AS word_id FROM freq)"
+    "first LIMIT 9998), vocabulary AS (SELECT word, row_number() OVER (ORDER BY n DESC, first) + 1 AS word_id FROM freq)"
 )
 
 QUERIES = {f.__name__: f for f in (
@@ -281,6 +281,6 @@ SQL = {
     "txt15_token_vocabulary": f"WITH {TOKEN_SQL} SELECT word, word_id FROM vocabulary",
     "txt15_token_ids": (
         f"WITH {TOKEN_SQL}, coded AS (SELECT doc_id, list(coalesce(word_id, 1) ORDER BY pos) AS ids FROM placed LEFT JOIN "
-        "vocabulary USING (word) WHERE pos <= 100 GROUP BY doc_id) SELECT m.doc_id, list_concat(coalesce(ids, []), "
-        "list_transform(range(100 - coalesce(len(ids), 0)), lambda x: 0)) AS tokens FROM mails m LEFT JOIN coded USING (doc_id)"),
+        "vocabulary USING (word) WHERE pos <= 500 GROUP BY doc_id) SELECT m.doc_id, list_concat(coalesce(ids, []), "
+        "list_transform(range(500 - coalesce(len(ids), 0)), lambda x: 0)) AS tokens FROM mails m LEFT JOIN coded USING (doc_id)"),
 }
