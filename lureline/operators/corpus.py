@@ -13,7 +13,6 @@ from lureline.operators.ranking import medians, seeded_hash
 UNIFIED = ["text_combined", "label", "source", "source_no", "row_no"]
 # columns that the fallback does not join into the text
 NO_TEXT = ["label", "urls", "sender", "receiver", "date"]
-_ROW_BITS = 56
 
 
 def subject_and_body(subject: Column, body: Column) -> Column:
@@ -54,18 +53,15 @@ def union(corpora: list[DataFrame | None]) -> DataFrame:
 def keep_first(df: DataFrame) -> DataFrame:
     """One row per text: the first in corpus order, then row order. Null texts are equal.
 
-    A keyed minimum combines on the map side, so a text with a third of all rows reaches the
-    shuffle as one row per task; a ranking window would pull all its copies into one task.
-    Source and row number are packed into one bigint (up to 127 sources, 2^56 rows each) to keep
-    the aggregation hash based.
+    Minima are taken per digest of the text and combine on the map side, so a text with a third of all
+    rows reaches the shuffle as one row per task. Texts then move once, by their place, which no two
+    rows share.
     """
-    key = F.shiftleft(F.col("source_no").cast("bigint"), _ROW_BITS) + F.col("row_no")
-    first = df.withColumn("_key", key).groupBy("text_combined").agg(
-        F.min_by("label", "_key").alias("label"), F.min_by("source", "_key").alias("source"),
-        F.min("_key").alias("_key"))
-    return first.select(
-        "text_combined", "label", "source", F.shiftright("_key", _ROW_BITS).cast("int").alias("source_no"),
-        F.col("_key").bitwiseAND((1 << _ROW_BITS) - 1).alias("row_no"))
+    digest = F.coalesce(F.sha2(F.col("text_combined").cast("binary"), 256), F.lit(""))
+    places = df.select(digest.alias("_digest"), F.struct("source_no", "row_no").alias("_place"))
+    first = places.groupBy("_digest").agg(F.min("_place").alias("_place")).select("_place.source_no", "_place.row_no")
+    return df.join(first, ["source_no", "row_no"], "left_semi").select(
+        "text_combined", "label", "source", "source_no", "row_no")
 
 
 def combine(corpora: list[DataFrame | None]) -> DataFrame:

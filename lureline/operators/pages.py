@@ -339,15 +339,21 @@ def feature_vector(df: DataFrame, url: str = "url", html: str | None = "html",
     return wide.select(*keep, F.array(*[F.col(n) for n in V.FEATURE_NAMES]).alias(out))
 
 
-def content_vector(df: DataFrame, content: str, content_type: str, out: str = "features") -> DataFrame:
+def content_vector(df: DataFrame, content: str, content_type: str, out: str = "features",
+                   html: str | None = None) -> DataFrame:
     """48-slot vector of mixed content: URLs as they are, mails by their first link, mails
-    without a link by their text. Null content gives a null vector."""
+    without a link by their text. Null content gives a null vector.
+
+    ``html`` holds the captured page of rows that are URLs, null where there is none; it is not read for mails.
+    """
     keep = df.columns
     c = F.col(content)
+    is_url = F.col(content_type) == "url"
     first = F.try_element_at(T.urls_in_text(c), F.lit(1))
-    target = F.when(F.col(content_type) == "url", c).otherwise(first)
-    wide = feature_vector(df.withColumn("_target", F.coalesce(target, F.lit(""))), "_target", None)
-    value = F.when(c.isNull(), None).when(
-        (F.col(content_type) == "url") | first.isNotNull(), F.col("features")
-    ).otherwise(T.text_vector(c))
+    target = F.coalesce(F.when(is_url, c).otherwise(first), F.lit(""))
+    rows = df.withColumn("_target", target)
+    if html is not None:
+        rows = rows.withColumn("_html", F.when(is_url, F.col(html)))
+    wide = feature_vector(rows, "_target", "_html" if html is not None else None)
+    value = F.when(c.isNull(), None).when(is_url | first.isNotNull(), F.col("features")).otherwise(T.text_vector(c))
     return wide.select(*keep, value.alias(out))

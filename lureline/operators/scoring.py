@@ -82,8 +82,7 @@ def analyze(df: DataFrame, trained: M.Trained, content: str = "content", content
     keep = [c for c in df.columns if c not in ("error", features)]
     if features is None:
         features = "_vector"
-        df = (P.feature_vector(df, content, html, out=features) if html
-              else P.content_vector(df, content, content_type, features))
+        df = P.content_vector(df, content, content_type, features, html)
     scored = predict(df, trained, features=features)
     p = F.col("probability")
     advised = risk.assess(scored.withColumn("probability", F.coalesce(p, F.lit(0.0))).withColumn("_fine", p.isNotNull()))
@@ -97,14 +96,17 @@ def analyze(df: DataFrame, trained: M.Trained, content: str = "content", content
         F.when(fine, F.col("recommendation")).alias("recommendation"), F.when(fine, response).alias("response"), "error")
 
 
-def chat(df: DataFrame, trained: M.Trained, message: str = "message") -> DataFrame:
-    """Routes each message and analyses the ones that carry something to analyse."""
+def chat(df: DataFrame, trained: M.Trained, message: str = "message", html: str | None = None) -> DataFrame:
+    """Routes each message and analyses the ones that carry something to analyse.
+
+    ``html`` holds the captured page of the message's link, null where there is none.
+    """
     routed = once(df, {"_r": MSG.route(F.col(message))})
     routed = routed.withColumns({
         "route": F.col("_r.route"), "requires_analysis": F.col("_r.requires_analysis"),
         "extracted_content": F.col("_r.extracted_content"), "content_type": F.col("_r.content_type"),
         "reply": F.col("_r.message")}).drop("_r")
-    done = analyze(routed, trained, "extracted_content", "content_type")
+    done = analyze(routed, trained, "extracted_content", "content_type", html)
     shown = F.struct("is_phishing", "confidence", "risk_level", "risk_score", "recommendation")
     return done.select(*df.columns, "route", "requires_analysis", "extracted_content", "content_type", "reply",
                        F.when(F.col("requires_analysis"), shown).alias("analysis"))

@@ -21,9 +21,9 @@ def file_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parq
             .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
 
 
-def scored_messages(messages: DataFrame, trained: Trained, message: str = "message") -> DataFrame:
-    """Stateless: routing, features, verdict and risk of each arriving message."""
-    return S.chat(messages, trained, message)
+def scored_messages(messages: DataFrame, trained: Trained, message: str = "message", html: str | None = None) -> DataFrame:
+    """Stateless: routing, features, verdict and risk of each arriving message, with its captured page if it has one."""
+    return S.chat(messages, trained, message, html)
 
 
 def tiered_probabilities(scores: DataFrame, probability: str = "probability") -> DataFrame:

@@ -77,3 +77,14 @@ def test_comment_marks_in_scripts_and_attributes(spark):
              ('<a href="&#' + "0" * 45 + '47;a">x</a>', ["/a"])]
     got = P.with_page_elements(pages(spark, [("http://x.com", h) for h, _ in cases])).orderBy("id").select("_hrefs").collect()
     assert [r[0] for r in got] == [e for _, e in cases]
+
+
+def test_mixed_content_reads_pages_of_urls_only(spark):
+    page = '<form action="http://evil.com/p"></form><a href="http://other.com">x</a>'
+    rows = [("http://x.com", "url", page), ("see http://x.com now", "mail", page), ("no link here", "mail", page), (None, "url", page),
+            ("http://x.com", "url", None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, c string, kind string, html string")
+    got = [r.features for r in P.content_vector(df, "c", "kind", html="html").orderBy("id").collect()]
+    plain = [r.features for r in P.content_vector(df, "c", "kind").orderBy("id").collect()]
+    assert got[0] == P.feature_vector(pages(spark, [("http://x.com", page)])).first().features != plain[0]
+    assert got[1:] == plain[1:] and got[3] is None
