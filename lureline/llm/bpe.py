@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lureline.llm.common import documents, narrow, slices
+from lureline.llm.common import documents, map_arrow, narrow, slices
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 CHUNK = 1 << 15  # characters after which the next safe place is looked for
@@ -72,7 +72,7 @@ def token_ids(text: str, encoder: tiktoken.Encoding, chunk: int = CHUNK) -> list
     return out
 
 
-def _map_texts(path: str, pattern: str) -> Callable:
+def _map_texts(path: str, pattern: str, decoded: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoding(path, pattern)
         for batch in batches:
@@ -81,20 +81,25 @@ def _map_texts(path: str, pattern: str) -> Callable:
                 at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), tokens], ["doc_id", "ids"])
+                columns = {"doc_id": part.column("doc_id"), "ids": tokens}
+                if decoded:
+                    columns["decoded"] = pa.array([encoder.decode_bytes(x.tolist()) for x in ids], pa.binary())
+                yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
 def encode(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", ranks: str = RANKS,
-           pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """doc_id and ``ids`` (array of int) of every row; no special tokens.
+           pattern: str = public_tokenizers.PATTERN, decoded: bool = False) -> DataFrame:
+    """doc_id and ``ids`` (array of int) of every row; no special tokens. ``decoded`` adds the bytes decoded from the ids.
 
     A null text is encoded as the empty one. Repeated rows give repeated results; other columns are not read.
     """
     rows = narrow(df, doc_id=id_column, text=text_column)
     schema = T.StructType([rows.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return rows.mapInArrow(_map_texts(ranks, pattern), schema)
+    if decoded:
+        schema = schema.add("decoded", T.BinaryType())
+    return map_arrow(rows, _map_texts(ranks, pattern, decoded), schema)
 
 
 def _map_ids(path: str, pattern: str) -> Callable:
@@ -114,12 +119,12 @@ def _map_ids(path: str, pattern: str) -> Callable:
 def decode(df: DataFrame, ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """Adds ``decoded``, the raw bytes of ``ids``; they need not be valid UTF-8 for any ids. Null ids stay null."""
     schema = T.StructType([df.schema["doc_id"], df.schema["ids"], T.StructField("decoded", T.BinaryType())])
-    return df.select("doc_id", "ids").mapInArrow(_map_ids(ranks, pattern), schema)
+    return map_arrow(df.select("doc_id", "ids"), _map_ids(ranks, pattern), schema)
 
 
 def digests(df: DataFrame) -> DataFrame:
-    """Encoded and decoded documents as counts and hashes."""
-    both = decode(encode(df))
+    """Encoded and decoded documents as counts and hashes, in one pass over the texts."""
+    both = encode(df, decoded=True)
     return both.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),

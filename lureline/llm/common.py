@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lureline.shared import materialise
 
-__all__ = ["documents", "flat_text", "join_on", "materialise", "narrow", "slices", "table"]
+__all__ = ["documents", "flat_text", "join_on", "map_arrow", "materialise", "narrow", "slices", "table"]
 
 # Bytes of text that one step of a task works on; a single longer text is a step of its own.
 SLICE_BYTES = 1 << 20
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +42,18 @@ def join_on(left: DataFrame, right: DataFrame, names: list[str], how: str = "inn
     return left.join(other, same, how).drop(*[f"_r_{n}" for n in names])
 
 
+def map_arrow(df: DataFrame, function: Callable, schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` over batches of bounded size.
+
+    Spark's default of 10,000 rows a batch is meant for short rows; with whole texts the buffers of both
+    processes would take more memory than the work itself. A smaller setting of the session is kept.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts in one array and their offsets (one more than texts); null is empty."""
     filled = pc.fill_null(column.cast(pa.large_string()), "")

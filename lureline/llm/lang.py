@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lureline.llm import hashed
-from lureline.llm.common import documents, flat_text, materialise, narrow, slices
+from lureline.llm.common import documents, flat_text, map_arrow, materialise, narrow, slices
 
 PER_LANGUAGE = 1200   # expected training rows of one language
 MAX_LANGUAGES = 200
@@ -89,7 +89,7 @@ def training_rows(labelled: DataFrame, per_language: int) -> tuple[DataFrame, li
                          F.col("lang"))
     unit = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = labelled.where(unit < share).select("lang", "text")
-    rows = materialise(sample.mapInArrow(_features, "lang string, slots array<int>, values array<double>"), "lid-sample")
+    rows = materialise(map_arrow(sample, _features, "lang string, slots array<int>, values array<double>"), "lid-sample")
     found = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     return rows.select("lang", _vector("slots", "values").alias("features")), found
 
@@ -165,7 +165,7 @@ def identify(df: DataFrame, model: Model, id_column: str = "doc_id", text_column
 
     schema = T.StructType([rows.schema["doc_id"], T.StructField("held_out", T.BooleanType()),
                            T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def op9_language_id(spark, sf_dir):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lureline.llm.common import documents, join_on, materialise, narrow, slices
+from lureline.llm.common import documents, join_on, map_arrow, materialise, narrow, slices
 
 MIN_DOCUMENTS = 20     # a line in at most this many documents of a host stays
 MAX_SHARE = 0.10       # and so does one in at most this share of the host's documents
@@ -105,7 +105,7 @@ def measure(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     """One row of counts per document, written once to the shared folder: the text is read a single time."""
     rows = narrow(df, doc_id=id_column, host=host_column, text=text_column)
     schema = T.StructType([rows.schema["doc_id"], rows.schema["host"], *[T.StructField(*m) for m in MEASURES]])
-    return materialise(rows.mapInArrow(_measure, schema), "line-measures")
+    return materialise(map_arrow(rows, _measure, schema), "line-measures")
 
 
 def verdicts(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source",

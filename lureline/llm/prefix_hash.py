@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lureline.llm.common import documents, narrow
+from lureline.llm.common import documents, map_arrow, narrow
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1566083941)
@@ -227,7 +227,7 @@ def fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
     ordered = dealt.repartition(len(bounds) + 1, "range").sortWithinPartitions(
         "range", "closing", F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last())
     schema = T.StructType([rows.schema["doc_id"], *[T.StructField(*f) for f in FINGERPRINTS]])
-    return ordered.mapInArrow(_in_order, schema)
+    return map_arrow(ordered, _in_order, schema)
 
 
 def op1_prefix_fingerprints(spark, sf_dir):

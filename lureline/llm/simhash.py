@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lureline.llm.common import documents, join_on, materialise, narrow, slices
+from lureline.llm.common import documents, join_on, map_arrow, materialise, narrow, slices
 
 SHINGLE = 3
 RADIUS = 3
@@ -63,7 +63,7 @@ def fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
                 values = [_signed(fingerprint(t, width)) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(values, pa.int64())], ["doc_id", "fp"])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("fp", T.LongType())]))
+    return map_arrow(rows, run, T.StructType([rows.schema["doc_id"], T.StructField("fp", T.LongType())]))
 
 
 def neighbour_cells(radius: int, parts: int = QUARTERS) -> list[tuple[int, ...]]:
@@ -135,7 +135,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS)
     right = made.select(F.col("cell").alias("near"), F.col("block").alias("other"), F.col("fps").alias("others"))
     pairs = left.join(right, "near").where((F.col("cell") != F.col("near")) | (F.col("block") <= F.col("other")))
     same = (F.col("cell") == F.col("near")) & (F.col("block") == F.col("other"))
-    return pairs.select("fps", "others", same.alias("same")).mapInArrow(_compared(radius), "a long, b long")
+    return map_arrow(pairs.select("fps", "others", same.alias("same")), _compared(radius), "a long, b long")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lureline.llm.common import documents, flat_text, slices
+from lureline.llm.common import documents, flat_text, map_arrow, slices
 from lureline.llm.induced import permuted_prefixes, suffix_array
 
 LENGTH = 100
@@ -285,61 +285,69 @@ def spans(df: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     partition, the others to partitions by text; a frequent anchor is no hot key.
     """
     dealt = _keyed(df).repartition("_key")
-    held = _keyed(df).select("_key", "text").mapInArrow(_anchor_rows(length), "anchor long, _key long, kind int")
+    held = map_arrow(_keyed(df).select("_key", "text"), _anchor_rows(length), "anchor long, _key long, kind int")
     route = F.when(F.col("kind") == OTHER, F.xxhash64("anchor", "_key")).otherwise(F.col("anchor"))
-    wanted = held.repartition(route).sortWithinPartitions("anchor").mapInArrow(_repeated, "anchor long, _key long")
+    wanted = map_arrow(held.repartition(route).sortWithinPartitions("anchor"), _repeated, "anchor long, _key long")
     wanted = wanted.groupBy(F.col("_key").alias("_k")).agg(F.collect_set("anchor").alias("anchors"))  # a text's own
     carried = [F.col(c) for c in df.columns if c not in ("doc_id", "text")]  # to read the very rows of the other use
     joined = dealt.join(wanted, F.col("_key") == F.col("_k"), "left").select(
         *carried, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("ord"), "_key", "text",
         F.coalesce("anchors", F.array().cast("array<bigint>")).alias("anchors"))
-    sharded = joined.mapInArrow(_regions(length), REGIONS).repartition("anchor").sortWithinPartitions("anchor")
-    found = sharded.mapInArrow(_shards(length), SPANS)
+    sharded = map_arrow(joined, _regions(length), REGIONS).repartition("anchor").sortWithinPartitions("anchor")
+    found = map_arrow(sharded, _shards(length), SPANS)
     return dealt, found.groupBy(F.col("_key").alias("_k")).agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
 
 CUT = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_bytes", T.BinaryType())]
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(part: pa.RecordBatch) -> tuple[list[int], list[int], list[int], list[bytes]]:
+    """Bytes, removed bytes, runs and what is left of each text of a slice."""
+    body, offsets = flat_text(part.column("text"))
+    raw, offsets = body.tobytes(), offsets.tolist()
+    size, removed, runs, kept = [], [], [], []
+    for i, own in enumerate(part.column("spans")):
+        text = raw[offsets[i]:offsets[i + 1]]
+        size.append(len(text))
+        pieces = own.values
+        if pieces is None or not len(pieces):
+            removed.append(0)
+            runs.append(0)
+            kept.append(text)
+            continue
+        low, high = united(*(pieces.field(k).to_numpy() for k in (0, 1)))
+        removed.append(int((high - low).sum()))
+        runs.append(len(low))
+        bounds = [0, *np.stack([low, high], axis=1).ravel().tolist(), len(text)]
+        kept.append(b"".join(text[a:b] for a, b in zip(bounds[::2], bounds[1::2])))
+    return size, removed, runs, kept
+
+
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            body, offsets = flat_text(part.column("text"))
-            raw, offsets = body.tobytes(), offsets.tolist()
-            size, removed, runs, kept = [], [], [], []
-            for i, own in enumerate(part.column("spans")):
-                text = raw[offsets[i]:offsets[i + 1]]
-                size.append(len(text))
-                pieces = own.values
-                if pieces is None or not len(pieces):
-                    removed.append(0)
-                    runs.append(0)
-                    kept.append(text)
-                    continue
-                low, high = united(*(pieces.field(k).to_numpy() for k in (0, 1)))
-                removed.append(int((high - low).sum()))
-                runs.append(len(low))
-                bounds = [0, *np.stack([low, high], axis=1).ravel().tolist(), len(text)]
-                kept.append(b"".join(text[a:b] for a, b in zip(bounds[::2], bounds[1::2])))
-            own_columns = [part.column(c) for c in part.schema.names if c != "spans"]
+            *counts, kept = _cut(part)
             yield pa.RecordBatch.from_arrays(
-                [*own_columns, *[pa.array(x, pa.int64()) for x in (size, removed, runs)], pa.array(kept, pa.binary())],
-                [*[c for c in part.schema.names if c != "spans"], *[n for n, _ in CUT]])
+                [part.column("doc_id"), part.column("text"), *[pa.array(x, pa.int64()) for x in counts], pa.array(kept, pa.binary())],
+                ["doc_id", "text", *[n for n, _ in CUT]])
 
 
-def deduplicated(df: DataFrame, length: int = LENGTH, extra: list[str] | None = None) -> DataFrame:
-    """n_bytes, n_removed, n_spans and kept_bytes next to doc_id, text and ``extra`` columns, for every row of ``df``.
+def _with_spans(df: DataFrame, length: int) -> DataFrame:
+    """The rows of ``df`` with the spans to remove; texts are dealt out by key."""
+    dealt, removed = spans(df, length)
+    return dealt.join(removed, F.col("_key") == F.col("_k"), "left").select(*df.columns, "spans")
 
-    ``df`` has the columns doc_id and text, and ``extra`` ones of other names; null texts are empty, null ids come after all others. Rows of
+
+def deduplicated(df: DataFrame, length: int = LENGTH) -> DataFrame:
+    """n_bytes, n_removed, n_spans and kept_bytes next to doc_id and text, for every row of ``df``.
+
+    ``df`` has the columns doc_id and text; null texts are empty, null ids come after all others. Rows of
     one id are ordered by a hash of their texts; rows equal in both are one document and get the same
     result, as its first occurrence. Bytes are cut where the spans end, also within a character.
     """
-    extra = extra or []
-    dealt, removed = spans(df.select("doc_id", "text", *extra), length)
-    joined = dealt.join(removed, F.col("_key") == F.col("_k"), "left")
-    rows = joined.select("doc_id", "text", *extra, "spans")
-    schema = T.StructType([*[rows.schema[c] for c in ("doc_id", "text", *extra)], *[T.StructField(*c) for c in CUT]])
-    return rows.mapInArrow(_cut, schema)
+    rows = _with_spans(df.select("doc_id", "text"), length)
+    schema = T.StructType([rows.schema["doc_id"], rows.schema["text"], *[T.StructField(*c) for c in CUT]])
+    return map_arrow(rows, _measured, schema)
 
 
 def shortened(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH) -> DataFrame:
@@ -353,20 +361,21 @@ def shortened(df: DataFrame, id_column: str = "doc_id", text_column: str = "text
     rows = df.select(*[F.col(c).alias(a) for c, a in names.items()])
     rows = rows.withColumn("doc_id", F.col(names[id_column])).withColumn("text", F.col(names[text_column]))
     extra = [a for c, a in names.items() if c not in (id_column, text_column)]
-    done = deduplicated(rows, length, extra)
-    kept = [T.StructField(x, done.schema[x].dataType) for x in ("doc_id", *extra)]
+    found = _with_spans(rows.select("doc_id", "text", *extra), length)
+    kept = [found.schema[x] for x in ("doc_id", *extra)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            touched = batch.column("n_removed").to_pylist()
-            texts = [t if not n else b.decode("utf-8", "ignore") for n, t, b in
-                     zip(touched, batch.column("text").to_pylist(), batch.column("kept_bytes").to_pylist())]
-            left = pa.array([not n or bool(t.split()) for n, t in zip(touched, texts)], pa.bool_())
-            out = pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array(texts, pa.string())],
-                                             [*[f.name for f in kept], "text"])
-            yield out.filter(left)
-
-    cut = done.mapInArrow(run, T.StructType([*kept, T.StructField("text", T.StringType())]))
+            for part in slices(batch, "text"):
+                _, removed, _, left = _cut(part)
+                texts = [t if not n else b.decode("utf-8", "ignore") for n, t, b in
+                         zip(removed, part.column("text").to_pylist(), left)]
+                words = pa.array([not n or bool(t.split()) for n, t in zip(removed, texts)], pa.bool_())
+                out = pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], pa.array(texts, pa.string())],
+                                                 [*[f.name for f in kept], "text"])
+                yield out.filter(words)
+
+    cut = map_arrow(found, run, T.StructType([*kept, T.StructField("text", T.StringType())]))
     back = {id_column: F.col("doc_id"), text_column: F.col("text")}
     values = {c: back.get(c, F.col(a)) for c, a in names.items()}
     if "n_chars" in values:

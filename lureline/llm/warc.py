@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lureline.llm.common import join_on, narrow, table
+from lureline.llm.common import join_on, map_arrow, narrow, table
 from lureline.shared import new_path
 
 SHORT = 1000                  # payloads below this many bytes are always stored
@@ -112,7 +112,7 @@ def write(df: DataFrame, path: str, id_column: str = "page_id", url_column: str
     revisits = revisits.select("page_id", F.col("_digest").alias("digest"), "refers_to").distinct()
     rows = join_on(pages, revisits, ["page_id", "digest"], "left")
     rows = rows.select("page_id", "url", "payload", "digest", "refers_to")
-    frames = rows.mapInArrow(_archives, "frames binary").select(F.col("frames").cast("string").alias("value"))
+    frames = map_arrow(rows, _archives, "frames binary").select(F.col("frames").cast("string").alias("value"))
     frames.write.option("lineSep", EMPTY_FRAME.decode("ascii")).option("maxRecordsPerFile", 2).text(path)
 
 
@@ -164,7 +164,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Every record of the archives below ``path``; a revisit's payload is that of the record it refers to."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(_read, RECORDS)
+    return map_arrow(files.select("content"), _read, RECORDS)
 
 
 def op6_warc_dictionary(spark, sf_dir):

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lureline.llm import hashed
-from lureline.llm.common import documents, flat_text, materialise, narrow, slices
+from lureline.llm.common import documents, flat_text, map_arrow, materialise, narrow, slices
 
 TRAINING_ROWS = 6000   # expected size of the sample that the scorer is fitted on
 EM_ROUNDS = 200
@@ -88,7 +88,7 @@ def vote_patterns(df: DataFrame) -> DataFrame:
                 found = [_pattern(votes(t)[0]) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.int32())], ["doc_id", "pattern"])
 
-    return df.mapInArrow(run, T.StructType([df.schema["doc_id"], T.StructField("pattern", T.IntegerType())]))
+    return map_arrow(df, run, T.StructType([df.schema["doc_id"], T.StructField("pattern", T.IntegerType())]))
 
 
 def estimate(counts: dict[int, int], rounds: int = EM_ROUNDS) -> tuple[dict[int, float], dict[str, tuple[float, float]]]:
@@ -123,11 +123,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             rows = hashed.frequencies(*flat_text(part.column("text")))
-            extra = [votes(t)[1] for t in part.column("text").to_pylist()]
+            voted = [votes(t) for t in part.column("text").to_pylist()]
             slots = [np.concatenate([r[0], np.arange(hashed.SIZE, SIZE)]) for r in rows]
-            values = [np.concatenate([r[1], e]) for r, e in zip(rows, extra)]
+            values = [np.concatenate([r[1], e]) for r, (_, e) in zip(rows, voted)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("pattern"), pa.array(slots, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))],
+                [pa.array([_pattern(v) for v, _ in voted], pa.int32()), pa.array(slots, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))],
                 ["pattern", "slots", "values"])
 
 
@@ -159,8 +159,8 @@ def fit(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", tra
         return Scorer(np.zeros(SIZE), 50.0, accuracy)
     unit = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.where(unit < training_rows / sum(counts.values()))
-    patterns = sample.select("text").mapInArrow(_sampled, "pattern int, text string")
-    made = materialise(patterns.mapInArrow(_features, "pattern int, slots array<int>, values array<double>"), "quality-sample")
+    made = map_arrow(sample.select("text"), _features, "pattern int, slots array<int>, values array<double>")
+    made = materialise(made, "quality-sample")
     good = F.element_at(F.create_map(*[F.lit(x) for k, p in posterior.items() for x in (k, float(p))]), F.col("pattern"))
     soft = made.select(_vector("slots", "values").alias("features"), good.alias("p"))
     both = soft.select("features", F.explode(F.array(
@@ -173,12 +173,6 @@ def fit(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", tra
     return Scorer(fitted.coefficients.toArray(), float(fitted.intercept), accuracy)
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [_pattern(votes(t)[0]) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), batch.column("text")], ["pattern", "text"])
-
-
 def judged(df: DataFrame, scorer: Scorer, id_column: str = "doc_id", text_column: str = "text",
            threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, quality_score and kept of every row; repeated rows give repeated results.
@@ -197,7 +191,7 @@ def judged(df: DataFrame, scorer: Scorer, id_column: str = "doc_id", text_column
                                                  ["doc_id", "quality_score", "kept"])
 
     schema = T.StructType([rows.schema["doc_id"], T.StructField("quality_score", T.DoubleType()), T.StructField("kept", T.BooleanType())])
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def kept_rows(df: DataFrame, scorer: Scorer, text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -208,7 +202,7 @@ def kept_rows(df: DataFrame, scorer: Scorer, text_column: str = "text", threshol
                 blank = np.array([not (t or "").strip() for t in part.column(text_column).to_pylist()])
                 yield part.filter(pa.array(~blank & (scorer.scores(part.column(text_column)) >= threshold)))
 
-    return df.mapInArrow(run, df.schema)
+    return map_arrow(df, run, df.schema)
 
 
 def op5_quality_classifier(spark, sf_dir):
