@@ -1,8 +1,9 @@
 """SimHash near-duplicates by exact comparison of tiles.
 
-Distinct fingerprints are cut into tiles by the bit counts of their four quarters. Fingerprints within
-the radius differ in all these counts together by the radius at most, so a pair of tiles beyond that is
-skipped; all other pairs are compared in full with numpy exclusive-or and bit counts. A tile pair hands
+Distinct fingerprints, of one 64-bit word or two, are cut into tiles by bit counts: of the four quarters
+for a small radius, of the whole for a wide one. Fingerprints within the radius differ in all these
+counts together by the radius at most, so a pair of tiles beyond that is skipped; all other pairs are
+compared in full with numpy exclusive-or and bit counts. A tile pair hands
 on a spanning forest of its links instead of every link, and components are found by alternating large
 and small star contractions over tables in the shared folder.
 """
@@ -24,23 +25,31 @@ from lureline.llm.common import documents, join_on, map_arrow, materialise, narr
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
+SECOND_SEED = 4242
 QUARTERS = 4
+# near duplicates: five-word shingles; 128 * acos(2 * 0.8 / (1 + 0.8)) / pi bits differ at a similarity of 0.8
+NEAR_SHINGLE = 5
+NEAR_RADIUS = 19
 TILE_ROWS = 16384   # larger cells are cut into blocks of about this many fingerprints
+CELL_BASE = 32      # above the highest count of a quarter and the radius
 STEP = 1024         # rows of a tile that are compared at once
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: str | None, width: int = SHINGLE) -> int:
-    """64-bit SimHash over word shingles, repeats included; fewer words are one shingle, no word gives zero."""
+def fingerprint(text: str | None, width: int = SHINGLE, seeds: tuple[int, ...] = (SEED,)) -> tuple[int, ...]:
+    """64-bit SimHashes over word shingles, repeats included; fewer words are one shingle, no word gives zero."""
     words = (text or "").encode().translate(_LOWER).split()
     if not words:
-        return 0
+        return (0,) * len(seeds)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     joined = memoryview(b" ".join(words))
     width = min(width, len(words))
-    starts = [0, *(ends[:len(words) - width] + 1).tolist()]
-    hashes = [xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1:].tolist())]
+    shingles = [joined[a:b] for a, b in zip([0, *(ends[:len(words) - width] + 1).tolist()], ends[width - 1:].tolist())]
+    return tuple(_majority([xxhash.xxh64_intdigest(x, seed) for x in shingles]) for seed in seeds)
+
+
+def _majority(hashes: list[int]) -> int:
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 4096):
         part = np.array(hashes[k:k + 4096], "<u8").view(np.uint8).reshape(-1, 8)
@@ -53,17 +62,22 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = SHINGLE) -> DataFrame:
-    """doc_id and ``fp`` (the 64 bits as a long) of every row; a null text counts as empty."""
+def fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = SHINGLE,
+                 double: bool = False) -> DataFrame:
+    """doc_id, ``fp`` and ``fp2`` (64 bits each as a long; ``fp2`` is 0 unless ``double``); a null text counts as empty."""
     rows = narrow(df, doc_id=id_column, text=text_column)
+    seeds = (SEED, SECOND_SEED) if double else (SEED,)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                values = [_signed(fingerprint(t, width)) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(values, pa.int64())], ["doc_id", "fp"])
+                values = [fingerprint(t, width, seeds) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), *[pa.array([_signed(v[k] if k < len(v) else 0) for v in values], pa.int64()) for k in (0, 1)]],
+                    ["doc_id", "fp", "fp2"])
 
-    return map_arrow(rows, run, T.StructType([rows.schema["doc_id"], T.StructField("fp", T.LongType())]))
+    schema = T.StructType([rows.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in ("fp", "fp2")]])
+    return map_arrow(rows, run, schema)
 
 
 def neighbour_cells(radius: int, parts: int = QUARTERS) -> list[tuple[int, ...]]:
@@ -72,8 +86,9 @@ def neighbour_cells(radius: int, parts: int = QUARTERS) -> list[tuple[int, ...]]
     return [d for d in near if d >= (0,) * parts]
 
 
-def _forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> list[tuple[int, int]]:
-    """Links between two tiles reduced to a star for each component that they make."""
+def _forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int, a2: np.ndarray | None = None,
+            b2: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between two tiles reduced to a star for each component that they make; ``a2``, ``b2`` are second words."""
     values = a if same else np.concatenate([a, b])
     base = 0 if same else len(a)
     label = np.arange(len(values))
@@ -82,8 +97,11 @@ def _forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> list[tuple
         for other in range(start if same else 0, len(b), STEP):
             near = np.bitwise_count(a[start:start + STEP, None] ^ b[None, other:other + STEP]) <= radius
             left, right = np.nonzero(near)
-            left, right = left + start, right + other + base
-            keep = left != right
+            left, right = left + start, right + other
+            keep = (left != right) if same else np.ones(len(left), bool)
+            if a2 is not None:
+                keep &= np.bitwise_count(a[left] ^ b[right]) + np.bitwise_count(a2[left] ^ b2[right]) <= radius
+            right = right + base
             left, right = left[keep], right[keep]
             if not len(left):
                 continue
@@ -102,40 +120,51 @@ def _forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> list[tuple
     return [(int(values[i]), int(values[label[i]])) for i in moved]
 
 
-def _compared(radius: int):
+def _compared(radius: int, double: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             links: list[tuple[int, int]] = []
             same = batch.column("same").to_pylist()
             for i in range(batch.num_rows):
-                left, right = (batch.column(c)[i].values.to_numpy() for c in ("fps", "others"))
-                links += _forest(left.view(np.uint64), right.view(np.uint64), same[i], radius)
+                words = [batch.column(c)[i].values.field(k).to_numpy().view(np.uint64) for k in (0, 1) for c in ("fps", "others")]
+                links += _forest(words[0], words[1], same[i], radius, *(words[2:] if double else ()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([_signed(x[k]) for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
-def tiles(distinct: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """cell (bit counts of the quarters as one number), block and the fingerprints of each tile."""
-    quarter = lambda k: F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)))
-    cell = sum((quarter(k) * F.lit(32 ** (QUARTERS - 1 - k)) for k in range(QUARTERS)), F.lit(0)).cast("int")
-    rows = distinct.select("fp", cell.alias("cell"))
+def tiles(distinct: DataFrame, parts: int, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """cell (bit counts as one number), block and the fingerprints of each tile."""
+    size = 64 // parts
+    mask = F.lit((1 << size) - 1 if size < 64 else -1)
+    count = lambda k: F.bit_count(F.shiftrightunsigned("fp", size * k).bitwiseAND(mask))
+    cell = sum((count(k) * F.lit(CELL_BASE ** (parts - 1 - k)) for k in range(parts)), F.lit(0))
+    cell = (cell + F.bit_count("fp2") if parts == 1 else cell).cast("int")
+    rows = distinct.select(F.struct("fp", "fp2").alias("fp"), cell.alias("cell"))
     sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile_rows).alias("blocks"))  # at most 17^4 rows
-    rows = rows.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("fp"), "blocks"))
+    rows = rows.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("fp.fp"), "blocks"))
     return rows.groupBy("cell", "block").agg(F.collect_list("fp").alias("fps"))
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Pairs (a, b) of fingerprints whose components are those of all links within the radius."""
-    made = materialise(tiles(distinct, tile_rows), "simhash-tiles")
-    steps = [sum(d * 32 ** (QUARTERS - 1 - k) for k, d in enumerate(diff)) for diff in neighbour_cells(radius)]
+def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS, double: bool = False) -> DataFrame:
+    """Pairs (a, b) of first words whose components are those of all links within the radius.
+
+    ``double`` counts the bits of both words. Four counts skip more pairs of tiles than one, as long as
+    the radius is small against their spread.
+    """
+    parts = 1 if double else QUARTERS
+    made = materialise(tiles(distinct, parts, tile_rows), "simhash-tiles")
+    steps = [sum(d * CELL_BASE ** (parts - 1 - k) for k, d in enumerate(diff)) for diff in neighbour_cells(radius, parts)]
     reach = F.explode(F.transform(F.array(*[F.lit(s) for s in steps]), lambda s: F.col("cell") + s))
     left = made.select("cell", "block", "fps", reach.alias("near"))
     right = made.select(F.col("cell").alias("near"), F.col("block").alias("other"), F.col("fps").alias("others"))
     pairs = left.join(right, "near").where((F.col("cell") != F.col("near")) | (F.col("block") <= F.col("other")))
     same = (F.col("cell") == F.col("near")) & (F.col("block") == F.col("other"))
-    return map_arrow(pairs.select("fps", "others", same.alias("same")), _compared(radius), "a long, b long")
+    pairs = pairs.select("fps", "others", same.alias("same"))
+    if double:  # few pairs of large tiles: deal them out evenly
+        pairs = pairs.repartition(max(8, pairs.sparkSession.sparkContext.defaultParallelism * 4))
+    return map_arrow(pairs, _compared(radius, double), "a long, b long")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -168,31 +197,38 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def grouped(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = SHINGLE,
-            radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+            radius: int = RADIUS, tile_rows: int = TILE_ROWS, double: bool = False) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable by links) of every row of ``df``.
 
-    Equal texts have equal fingerprints and are one node. Null and wordless texts have fingerprint zero
-    and are linked like any other. Null ids are passed over when the smallest is taken; a component
-    without any id has a null one. Repeated rows give repeated results.
+    Equal texts have equal fingerprints and are one node; with ``double`` so are texts with equal first
+    words, whose smallest second word stands for all. Null and wordless texts have fingerprint zero and
+    are linked like any other. Null ids are passed over when the smallest is taken; a component without
+    any id has a null one. Repeated rows give repeated results.
     """
-    docs = materialise(fingerprints(df, id_column, text_column, width), "simhash")
-    distinct = materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    linked = join_on(distinct, components(links(distinct, radius, tile_rows)).withColumnRenamed("node", "fp"), ["fp"], "left")
-    linked = linked.withColumn("root", F.coalesce("root", "fp"))
+    docs = materialise(fingerprints(df, id_column, text_column, width, double), "simhash")
+    distinct = materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("fp2").alias("fp2")), "simhash-distinct")
+    found = components(links(distinct, radius, tile_rows, double)).withColumnRenamed("node", "fp")
+    linked = join_on(distinct, found, ["fp"], "left").withColumn("root", F.coalesce("root", "fp"))
     roots = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = materialise(join_on(linked, roots, ["root"]).select("fp", "component_id"), "simhash-labels")
     return docs.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = SHINGLE,
-                    radius: int = RADIUS) -> DataFrame:
+def representatives(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = NEAR_SHINGLE,
+                    radius: int = NEAR_RADIUS, double: bool = True) -> DataFrame:
     """The rows of ``df`` that stand for their group, with all their columns: those with the group's smallest id.
 
+    By default near duplicates are told by 128 bits over five-word shingles: the radius is the number of
+    bits that texts of a Jaccard similarity of 0.8 differ in on average, so a pair is linked where its
+    estimated similarity is 0.8 or more. The estimate scatters; see the README for measured shares.
+    Unrelated texts come that near once in far more than 10^12 pairs. Every pair is compared, as hardly
+    any tiles can be skipped at that radius.
+
     Rows of one id that differ in text stay together; of rows equal in id and text one stays. A group
     without any id is kept whole. Texts are shuffled once.
     """
     name = lambda column: F.coalesce(F.col(column).cast("string"), F.lit("none"))
-    heads = grouped(df, id_column, text_column, width, radius).where("component_id IS NULL OR doc_id = component_id")
+    heads = grouped(df, id_column, text_column, width, radius, double=double).where("component_id IS NULL OR doc_id = component_id")
     heads = heads.select(name("doc_id").alias("_s_id")).distinct()
     rows = df.withColumn("_s_key", name(id_column)).withColumn("_s_text", F.xxhash64(text_column))
     first = rows.join(heads, F.col("_s_key") == F.col("_s_id"), "left_semi")

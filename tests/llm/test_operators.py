@@ -86,12 +86,23 @@ def test_simhash_groups(edge, empty):
     assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == [1, 4, 5, 7, 8, 9, 11, 12, 13]
 
 
+def test_near_copies_are_one_group(spark):
+    """Five-word shingles: a copy with one word in a hundred changed goes, a text with other words stays."""
+    base = [f"w{random.Random(k).randint(0, 10**6)}" for k in range(600)]
+    changed = list(base)
+    changed[100] = changed[300] = changed[500] = "other"
+    half = base[:300] + [f"z{k}" for k in range(300)]
+    rows = [(1, " ".join(base)), (2, " ".join(changed)), (3, " ".join(half)), (4, " ".join(base).upper())]
+    kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
 def test_simhash_components_of_a_chain(spark):
     """A chain of fingerprints, each within the radius of the next only, is one component."""
     chain = [0]
     for k in range(20):
         chain.append(chain[-1] ^ 7 << 3 * k)
-    edges = simhash.links(spark.createDataFrame([(c if c < 1 << 63 else c - (1 << 64),) for c in chain], "fp long"), 3, 4)
+    edges = simhash.links(spark.createDataFrame([(c if c < 1 << 63 else c - (1 << 64), 0) for c in chain], "fp long, fp2 long"), 3, 4)
     assert {r.root for r in simhash.components(edges).collect()} == {0}
     assert simhash.components(edges).count() == len(chain) - 1
 
