@@ -389,4 +389,18 @@ def op8_suffix_dedup(spark, sf_dir):
 
 
 QUERIES = {"op8_suffix_dedup": op8_suffix_dedup}
-SQL: dict[str, str] = {}
+# the same by all windows of 100 bytes: hex digits, two for a byte
+SQL = {"op8_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+ w AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 200)) AS g FROM d, unnest(range(greatest(n - 99, 0))) AS t(i)),
+ again AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+ marked AS (SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) + 100 AS fresh FROM again),
+ counted AS (SELECT doc_id, i, count(*) FILTER (WHERE fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+ runs AS (SELECT doc_id, min(i) AS lo, max(i) + 100 AS hi FROM counted GROUP BY doc_id, run),
+ cut AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM runs),
+ kept AS (SELECT doc_id, sum(hi - lo) AS removed, count(*) AS spans, max(hi) AS tail,
+   string_agg(substr(x, (2 * before + 1)::BIGINT, (2 * (lo - before))::BIGINT), '' ORDER BY lo) AS front FROM cut JOIN
+   d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+ sha256(unhex(coalesce(front, '') || substr(x, (2 * coalesce(tail, 0) + 1)::BIGINT))) AS kept_sha256 FROM d LEFT JOIN
+   kept USING (doc_id)"""}
