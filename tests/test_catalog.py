@@ -18,5 +18,6 @@ def test_query_equals_sql(spark, name):
 def test_streams_and_entry(spark):
     assert entry(spark).count() > 0
     assert set(ORACLES) <= set(queries())
-    for name in ("scr2_batch_with_errors", "str1_chat_stream"):
+    for name in ("scr2_batch_with_errors", "str1_chat_stream", "scr6_chat", "pre6_smote_rows", "ml7_knn_scores",
+                 "cv7_learning_curve"):
         assert queries()[name](spark, SF_DIR).count() > 0
