@@ -22,12 +22,14 @@ from pyspark.sql import types as T
 
 from lureline.llm import hashed
 from lureline.llm.common import documents, flat_text, map_arrow, materialise, narrow, slices
+from lureline.llm.line_rules import repeated_words
 
 TRAINING_ROWS = 6000   # expected size of the sample that the scorer is fitted on
 EM_ROUNDS = 200
 PRIOR_GOOD = 0.8       # start of the estimate
 THRESHOLD = 0.5        # documents scored below are rejected
-EXTRA = 3              # features besides byte grams: repeats of the word before, seen words, short texts
+EXTRA = 4              # features besides byte grams: repeats of the word before, of passages, of words nearby, short texts
+BLOCK = 100            # words among which distinct ones are counted, whatever the length of the text
 SIZE = hashed.SIZE + EXTRA
 # Frequent short words that running text of these languages has.
 COMMON_WORDS = frozenset(
@@ -46,19 +48,24 @@ def _vote(bad: bool, good: bool) -> int:
     return -1 if bad else 1 if good else 0
 
 
-def votes(text: str | None) -> tuple[list[int], tuple[float, float, float]]:
-    """One vote per labeller (1 good, -1 bad, 0 none) and the repetition features of a text."""
+def votes(text: str | None) -> tuple[list[int], tuple[float, float, float, float]]:
+    """One vote per labeller (1 good, -1 bad, 0 none) and the repetition features of a text.
+
+    Variety is told by the share of words in repeated passages and by the distinct words of each block of
+    ``BLOCK`` words; a share over the whole text would fall with its length.
+    """
     body = (text or "").encode()
     words = body.split()
     n = len(words)
     if not n:
-        return [0] * len(LABELLERS), (0.0, 0.0, 1.0)
+        return [0] * len(LABELLERS), (0.0, 0.0, 0.0, 1.0)
     size = len(body)
     marks = size - len(body.translate(None, _MARKS))
     upper, lower = (size - len(body.translate(None, x)) for x in (_UPPER, _LOWER))
     shouts = body.count(b"!!") + body.count(b"??")
     echo = sum(map(eq, words, words[1:])) / max(n - 1, 1)
-    variety = len(set(words)) / n
+    repeated = repeated_words(words) / n
+    variety = sum(len(set(words[k:k + BLOCK])) for k in range(0, n, BLOCK)) / n
     said = [w for w, before in zip(words, [b"", *words]) if w != before]  # an echo is no evidence of running text
     common = sum(w in COMMON_WORDS for w in said) / n
     ends = sum(w.endswith(b".") for w in said) / n
@@ -68,11 +75,11 @@ def votes(text: str | None) -> tuple[list[int], tuple[float, float, float]]:
            _vote(upper > lower, False),
            _vote(shouts > 0.05 * n, False),
            _vote(echo > 0.15 and n >= 5, False),
-           _vote(variety < 0.25 and 20 <= n < 2000, False),
+           _vote((repeated > 0.5 or variety < 0.25) and n >= 20, False),
            _vote(common < 0.03 and n >= 20, common > 0.12),
            _vote((ends < 0.004 or ends > 0.8) and n >= 40, 0.01 < ends < 0.5),
            _vote(plain < 0.75 and n >= 20, plain > 0.9)]
-    return out, (echo, 1 - variety if n < 2000 else 0.0, 1 / n)
+    return out, (echo, repeated, 1 - variety, 1 / n)
 
 
 def _pattern(marks: list[int]) -> int:

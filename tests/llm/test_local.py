@@ -270,3 +270,17 @@ def test_archive_round_trip(n):
 
 def test_weights_are_the_contract():
     assert balance.WEIGHTS == (5, 2, 1) and balance.SHARE == 1.5 and balance.MAX_RATE == 2
+
+
+@pytest.mark.parametrize("n", [60, 1999, 2000, 5000, 40000])
+def test_variety_is_judged_alike_at_every_length(n):
+    """Cycled sentences are bad and running text is not, at any length."""
+    at = weak_quality.LABELLERS.index("variety")
+    cycle = "The old mill stands by the river. People walk there in the morning. Nobody else is to be seen.".split()
+    marks, found = weak_quality.votes(" ".join((cycle * (n // len(cycle) + 1))[:n]))
+    assert marks[at] == -1 and found[0] == 0 and found[1] > 0.95
+    rng = random.Random(n)
+    marks, found = weak_quality.votes(" ".join(f"w{int(rng.paretovariate(0.6)) % 5000}" for _ in range(n)))
+    assert marks[at] == 0 and found[1] < 0.5
+    marks, found = weak_quality.votes(" ".join(rng.choice("abcdefgh") for _ in range(n)))
+    assert marks[at] == -1
