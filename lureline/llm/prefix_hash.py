@@ -3,8 +3,8 @@
 For a text of code points c the array H[i] = sum of c[j] * B^j for j < i, modulo a prime, is kept for two
 primes. Any two spans are compared from it in constant time, and the longest common extension of two
 positions is found by binary search. The fingerprint is the hash of the whole text with its length; the
-likeness of two texts is what their prefix arrays share: common beginning, common end, and extensions
-around equal spans in between.
+likeness of two texts is what their prefix arrays share: common beginning, common end, and equal spans
+in between, of which every one is looked up.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from lureline.llm.common import documents, map_arrow, narrow
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1566083941)
 SPAN = 32          # code points of the spans looked for between the common ends
-ANCHOR_STEP = 8    # one span in so many, chosen by its hash, is looked up
 RANGE_ROWS = 4_000
 MAX_RANGES = 65_536  # bounds the range ends that the driver holds and broadcasts
 
@@ -72,13 +71,13 @@ class Prefix:
     def fingerprint(self) -> str:
         return "".join(f"{x:08x}" for x in self.span(0, self.n)) + f"{self.n:x}"
 
-    def spans(self, start: int, stop: int, width: int = SPAN) -> np.ndarray:
-        """Hashes by the first prime of all spans of ``width`` that begin in start..stop-width."""
-        p = np.uint64(PRIMES[0])
-        rows = self.h[0][start:stop + 1]
+    def spans(self, start: int, stop: int, width: int = SPAN, k: int = 0) -> np.ndarray:
+        """Hashes by prime number ``k`` of all spans of ``width`` that begin in start..stop-width."""
+        p = np.uint64(PRIMES[k])
+        rows = self.h[k][start:stop + 1]
         if stop - start < width:
             return np.zeros(0, np.uint64)
-        return (rows[width:] + p - rows[:-width]) * POWERS.down[0][start:stop - width + 1] % p
+        return (rows[width:] + p - rows[:-width]) * POWERS.down[k][start:stop - width + 1] % p
 
 
 def extension(a: Prefix, i: int, b: Prefix, j: int, limit: int) -> int:
@@ -105,40 +104,45 @@ def extension_left(a: Prefix, i: int, b: Prefix, j: int, limit: int) -> int:
     return low
 
 
+def _marked(values: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Places of ``values`` that may be among ``others``: all that are, and one in eight or fewer besides."""
+    mask = np.uint64((1 << (8 * len(others)).bit_length()) - 1)
+    table = np.zeros(int(mask) + 1, bool)
+    table[others & mask] = True
+    return np.flatnonzero(table[values & mask])
+
+
+def _shared(names: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of each name the first places, as many as its count."""
+    order = np.argsort(names, kind="stable")
+    sizes = np.bincount(names, minlength=len(counts))
+    number = np.arange(len(names)) - (np.cumsum(sizes) - sizes)[names[order]]
+    return np.sort(order[number < counts[names[order]]])
+
+
 def _between(a: Prefix, b: Prefix, head: int, tail: int) -> int:
-    """Code points between the common ends that lie in common extensions around equal spans."""
-    ends = a.n - tail, b.n - tail
-    own, other = a.spans(head, ends[0]), b.spans(head, ends[1])
-    mine, theirs = np.flatnonzero(own % ANCHOR_STEP == 0), np.flatnonzero(other % ANCHOR_STEP == 0)
+    """Code points between the common ends in spans that both texts have, each as often as both have it; less of both sides."""
+    own, other = a.spans(head, a.n - tail), b.spans(head, b.n - tail)
+    if not len(own) or not len(other):
+        return 0
+    mine = _marked(own, other)
+    theirs = _marked(other, own[mine])
     if not len(mine) or not len(theirs):
         return 0
-    keys, first = np.unique(other[theirs], return_index=True)
-    at = np.searchsorted(keys, own[mine])
-    at[at == len(keys)] = 0
-    found = keys[at] == own[mine]
-    covered = 0
-    used: list[tuple[int, int]] = []
-    reach = head
-    for i, j in zip(mine[found] + head, theirs[first[at[found]]] + head):
-        i, j = int(i), int(j)
-        if i < reach:
-            continue
-        left = extension_left(a, i, b, j, min(i - reach, j - head))
-        right = extension(a, i, b, j, min(ends[0] - i, ends[1] - j))
-        if right < SPAN:  # equal by the first prime only
-            continue
-        covered += left + right
-        used.append((j - left, j + right))
-        reach = i + right
-    other_side, end = 0, 0
-    for start, stop in sorted(used):  # a span of the second text counts once
-        other_side += max(0, stop - max(start, end))
-        end = max(end, stop)
-    return min(covered, other_side)
+    both = np.concatenate([own[mine] << np.uint64(31) | a.spans(head, a.n - tail, k=1)[mine],
+                           other[theirs] << np.uint64(31) | b.spans(head, b.n - tail, k=1)[theirs]])
+    names = np.unique(both, return_inverse=True)[1]
+    sides = names[:len(mine)], names[len(mine):]
+    counts = np.minimum(*[np.bincount(x, minlength=int(names.max()) + 1) for x in sides])
+    covered = []
+    for places, side in zip((mine, theirs), sides):
+        starts = places[_shared(side, counts)]
+        covered.append(int(np.minimum(np.diff(starts), SPAN).sum()) + SPAN if len(starts) else 0)
+    return min(covered)
 
 
 def likeness(a: Prefix, b: Prefix) -> float:
-    """Share of both texts in common extensions, 0 to 1; 1 for equal texts, also for two empty ones."""
+    """Share of both texts in common ends and equal spans, 0 to 1; 1 for equal texts, also for two empty ones."""
     shorter = min(a.n, b.n)
     if a.n == b.n and a.span(0, a.n) == b.span(0, b.n):
         return 1.0

@@ -122,6 +122,36 @@ def test_likeness_follows_edits():
     assert abs(prefix_hash.likeness(P(base), P(prefix_hash.edited(base, other))) - 2 / 3) < 0.02
 
 
+def plain_between(a, b, width=prefix_hash.SPAN):
+    """Covered code points by brute force, each span as often as both texts have it."""
+    spans = [[t[i:i + width] for i in range(len(t) - width + 1)] for t in (a, b)]
+    sides = []
+    for own, other in (spans, spans[::-1]):
+        left, at = {x: other.count(x) for x in set(own)}, set()
+        for i, x in enumerate(own):
+            if left[x]:
+                left[x] -= 1
+                at.update(range(i, i + width))
+        sides.append(len(at))
+    return min(sides)
+
+
+def test_every_equal_span_counts():
+    """Shared passages between different ends are found whatever their letters, also repeats at several places."""
+    P = prefix_hash.Prefix
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    for _ in range(60):
+        word = letters(rng.randint(1, 9))
+        a, b = (letters(7) + k + word * (900 // len(word)) + k + letters(7) for k in "XY")
+        assert prefix_hash.likeness(P(a), P(b)) > 0.95
+        a, b = ("".join(rng.choice([word * 20, "passage " * 6, letters(50)]) for _ in range(8)) for _ in range(2))
+        assert prefix_hash._between(P(a), P(b), 0, 0) == plain_between(a, b)
+    passage = letters(400)
+    a, b = (k + passage + letters(30) + k + passage + k for k in "XY")
+    assert prefix_hash.likeness(P(a), P(b)) > 0.9
+
+
 def plain_simhash(text, width):
     lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     own = re.findall("[^\x20\x09-\x0D]+", lowered)
