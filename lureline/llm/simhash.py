@@ -27,9 +27,13 @@ RADIUS = 3
 SEED = 42
 SECOND_SEED = 4242
 QUARTERS = 4
-# near duplicates: five-word shingles; 128 * acos(2 * 0.8 / (1 + 0.8)) / pi bits differ at a similarity of 0.8
+# near duplicates: sets of five-word shingles with a Jaccard similarity of NEAR_SHARE or more
 NEAR_SHINGLE = 5
-NEAR_RADIUS = 19
+NEAR_SHARE = (4, 5)
+# 128 * acos(2 * 0.8 / (1 + 0.8)) / pi = 19 bits differ on average at a similarity of 0.8, with a deviation of 4
+NEAR_FIRST = 24     # nearest nodes within this are compared first
+NEAR_RADIUS = 36    # then all pairs within this that are not in one group yet
+NEAR_ROWS = 8192
 TILE_ROWS = 16384   # larger cells are cut into blocks of about this many fingerprints
 CELL_BASE = 32      # above the highest count of a quarter and the radius
 STEP = 1024         # rows of a tile that are compared at once
@@ -39,14 +43,33 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 
 def fingerprint(text: str | None, width: int = SHINGLE, seeds: tuple[int, ...] = (SEED,)) -> tuple[int, ...]:
     """64-bit SimHashes over word shingles, repeats included; fewer words are one shingle, no word gives zero."""
+    shingles = _shingles(text, width)
+    if not shingles:
+        return (0,) * len(seeds)
+    return tuple(_majority([xxhash.xxh64_intdigest(x, seed) for x in shingles]) for seed in seeds)
+
+
+def _shingles(text: str | None, width: int) -> list[memoryview]:
     words = (text or "").encode().translate(_LOWER).split()
     if not words:
-        return (0,) * len(seeds)
+        return []
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     joined = memoryview(b" ".join(words))
     width = min(width, len(words))
-    shingles = [joined[a:b] for a, b in zip([0, *(ends[:len(words) - width] + 1).tolist()], ends[width - 1:].tolist())]
-    return tuple(_majority([xxhash.xxh64_intdigest(x, seed) for x in shingles]) for seed in seeds)
+    return [joined[a:b] for a, b in zip([0, *(ends[:len(words) - width] + 1).tolist()], ends[width - 1:].tolist())]
+
+
+def shingle_set(text: str | None, width: int = NEAR_SHINGLE) -> np.ndarray:
+    """Hashes of the distinct word shingles in order; fewer words are one shingle."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in _shingles(text, width)], np.uint64))
+
+
+def _set_node(hashes: np.ndarray) -> tuple[int, int, int]:
+    """Hash of a shingle set, which stands for it, and two words of its SimHash; each shingle counts once."""
+    mixed = hashes ^ hashes >> np.uint64(31)
+    mixed = mixed * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (xxhash.xxh64_intdigest(hashes.tobytes(), SEED), _majority(hashes), _majority(mixed ^ mixed >> np.uint64(32)))
 
 
 def _majority(hashes: list[int]) -> int:
@@ -214,21 +237,138 @@ def grouped(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     return docs.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = NEAR_SHINGLE,
-                    radius: int = NEAR_RADIUS, double: bool = True) -> DataFrame:
-    """The rows of ``df`` that stand for their group, with all their columns: those with the group's smallest id.
+def _distances(a: list[np.ndarray], b: list[np.ndarray], same: bool) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Differing bits of both words in squares of ``STEP`` rows and their places; a pair of one tile comes once."""
+    for start in range(0, len(a[0]), STEP):
+        for other in range(start if same else 0, len(b[0]), STEP):
+            rows, columns = slice(start, start + STEP), slice(other, other + STEP)
+            bits = np.bitwise_count(a[0][rows, None] ^ b[0][None, columns])
+            bits += np.bitwise_count(a[1][rows, None] ^ b[1][None, columns])
+            if same and start == other:
+                bits[np.tril_indices(len(bits))] = 255
+            yield start, other, bits
+
+
+def _candidates(nearest: bool, radius: int):
+    """Pairs of two tiles within the radius: of each node of the second the nearest, or all between different groups."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = batch.column("same").to_pylist()
+            for i in range(batch.num_rows):
+                sides = [[batch.column(c)[i].values.field(f).to_numpy() for f in ("key", "group", "fp", "fp2")]
+                         for c in ("nodes", "others")]
+                keys, groups = [x[0] for x in sides], [x[1] for x in sides]
+                words = [[w.view(np.uint64) for w in x[2:]] for x in sides]
+                least = np.full(len(keys[1]), 255, np.uint8)
+                partner = np.zeros(len(keys[1]), np.int64)
+                for start, other, bits in _distances(*words, same[i]):
+                    if nearest:
+                        at, columns = bits.argmin(axis=0), np.arange(bits.shape[1])
+                        low = bits[at, columns]
+                        better = low < least[other + columns]
+                        least[other + columns[better]] = low[better]
+                        partner[other + columns[better]] = at[better] + start
+                        continue
+                    left, right = np.nonzero(bits <= radius)
+                    left, right = left + start, right + other
+                    keep = groups[0][left] != groups[1][right]
+                    if keep.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[0][left[keep]]), pa.array(keys[1][right[keep]])], ["a", "b"])
+                found = np.flatnonzero(least <= radius) if nearest else []
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[0][partner[found]]), pa.array(keys[1][found])], ["a", "b"])
+
+    return run
+
+
+def candidates(nodes: DataFrame, nearest: bool, radius: int, tile_rows: int = NEAR_ROWS) -> DataFrame:
+    """Pairs (a, b) of keys of ``nodes`` (key, group, fp, fp2); every tile meets every tile, as none can be skipped."""
+    blocks = max(1, -(-nodes.count() // tile_rows))
+    cut = nodes.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), F.struct("key", "group", "fp", "fp2").alias("node"))
+    made = materialise(cut.groupBy("block").agg(F.collect_list("node").alias("nodes")), "near-tiles")
+    other = made.select(F.col("block").alias("other"), F.col("nodes").alias("others"))
+    reach = F.explode(F.sequence("block", F.lit(blocks - 1).cast("long"))).alias("other")
+    pairs = made.select("block", "nodes", reach).join(other, "other")
+    pairs = pairs.select("nodes", "others", (F.col("block") == F.col("other")).alias("same"))
+    pairs = pairs.repartition(max(8, pairs.sparkSession.sparkContext.defaultParallelism * 4))
+    return map_arrow(pairs, _candidates(nearest, radius), "a long, b long")
+
+
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = []
+        for a, b in zip(batch.column("a_set"), batch.column("b_set")):
+            a, b = a.values.to_numpy(), b.values.to_numpy()
+            small, large = sorted((len(a), len(b)))
+            if small * NEAR_SHARE[1] < large * NEAR_SHARE[0]:
+                keep.append(False)
+                continue
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            keep.append(common * NEAR_SHARE[1] >= (small + large - common) * NEAR_SHARE[0])
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def confirmed(pairs: DataFrame, df: DataFrame, text_column: str = "text", width: int = NEAR_SHINGLE) -> DataFrame:
+    """The pairs whose shingle sets have a Jaccard similarity of ``NEAR_SHARE`` or more, counted exactly."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = [shingle_set(t, width) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([_signed(_set_node(x)[0]) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))],
+                    ["key", "set"])
+
+    pairs = materialise(pairs, "near-pairs")
+    needed = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    sets = map_arrow(narrow(df, text=text_column), run, "key long, set array<long>").join(needed, "key", "left_semi")
+    sets = materialise(sets.groupBy("key").agg(F.first("set").alias("set")), "near-sets")
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("a_set")), "a")
+    both = both.join(sets.select(F.col("key").alias("b"), F.col("set").alias("b_set")), "b")
+    return materialise(map_arrow(both.select("a", "b", "a_set", "b_set"), _confirmed, "a long, b long"), "near-links")
 
-    By default near duplicates are told by 128 bits over five-word shingles: the radius is the number of
-    bits that texts of a Jaccard similarity of 0.8 differ in on average, so a pair is linked where its
-    estimated similarity is 0.8 or more. The estimate scatters; see the README for measured shares.
-    Unrelated texts come that near once in far more than 10^12 pairs. Every pair is compared, as hardly
-    any tiles can be skipped at that radius.
+
+def near_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = NEAR_SHINGLE,
+                tile_rows: int = NEAR_ROWS) -> DataFrame:
+    """doc_id and component_id of every row: texts are linked where their shingle sets are alike by ``NEAR_SHARE`` or more.
+
+    Nodes are distinct shingle sets. SimHashes of the sets give candidates only; a link is counted out. First each
+    node meets its nearest ones, which joins large groups by few pairs; then every pair within the wide radius that
+    lies in two groups is compared.
+    """
+    rows = narrow(df, doc_id=id_column, text=text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                made = [_set_node(shingle_set(t, width)) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), *[pa.array([_signed(x[k]) for x in made], pa.int64()) for k in range(3)]],
+                    ["doc_id", "key", "fp", "fp2"])
+
+    schema = T.StructType([rows.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in ("key", "fp", "fp2")]])
+    docs = materialise(map_arrow(rows, run, schema), "near-docs")
+    nodes = docs.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"))
+    nodes = materialise(nodes.withColumn("group", F.col("key")), "near-nodes")
+    links = None
+    for nearest, radius in ((True, NEAR_FIRST), (False, NEAR_RADIUS)):
+        found = confirmed(candidates(nodes, nearest, radius, tile_rows), df, text_column, width)
+        links = found if links is None else links.unionByName(found)
+        roots = components(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).withColumnRenamed("node", "key")
+        nodes = join_on(nodes.drop("group"), roots, ["key"], "left").withColumn("group", F.coalesce("root", "key")).drop("root")
+        nodes = materialise(nodes, "near-nodes")
+    heads = nodes.groupBy("group").agg(F.min("least").alias("component_id"))
+    labels = materialise(join_on(nodes, heads, ["group"]).select("key", "component_id"), "near-labels")
+    return docs.join(labels, "key").select("doc_id", "component_id")
+
+
+def representatives(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = NEAR_SHINGLE) -> DataFrame:
+    """The rows of ``df`` that stand for their group of near duplicates, with all their columns: those with the smallest id.
 
     Rows of one id that differ in text stay together; of rows equal in id and text one stays. A group
-    without any id is kept whole. Texts are shuffled once.
+    without any id is kept whole. Groups are those of ``near_groups``.
     """
     name = lambda column: F.coalesce(F.col(column).cast("string"), F.lit("none"))
-    heads = grouped(df, id_column, text_column, width, radius, double=double).where("component_id IS NULL OR doc_id = component_id")
+    heads = near_groups(df, id_column, text_column, width).where("component_id IS NULL OR doc_id = component_id")
     heads = heads.select(name("doc_id").alias("_s_id")).distinct()
     rows = df.withColumn("_s_key", name(id_column)).withColumn("_s_text", F.xxhash64(text_column))
     first = rows.join(heads, F.col("_s_key") == F.col("_s_id"), "left_semi")

@@ -97,6 +97,34 @@ def test_near_copies_are_one_group(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
 
 
+def test_near_groups_follow_the_exact_similarity(spark):
+    """Components by brute force over pairs whose similarity lies around 0.8, above and below, in texts of all lengths."""
+    rng = random.Random(12)
+    rows = []
+    for n in [9, 12, 25, 60, 150, 400] * 8:
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+        rows.append(base)
+        for _ in range(4):
+            cut = int(n * rng.uniform(0.02, 0.3))
+            rows.append(base[:n - cut] + [f"w{rng.randint(0, 10**6)}" for _ in range(rng.choice([0, cut]))])
+    texts = {k: " ".join(x) for k, x in enumerate(rows)}
+    sets = [{tuple(x[i:i + 5]) for i in range(max(1, len(x) - 4))} for x in rows]
+    root = list(range(len(rows)))
+    shares = []
+    for i in range(len(rows)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            share = common / (len(sets[i]) + len(sets[j]) - common)
+            shares.append(share)
+            if share >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert sum(0.7 < x < 0.8 for x in shares) > 20 and sum(0.8 <= x < 0.9 for x in shares) > 20
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = simhash.representatives(df)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+
+
 def test_simhash_components_of_a_chain(spark):
     """A chain of fingerprints, each within the radius of the next only, is one component."""
     chain = [0]
