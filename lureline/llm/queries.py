@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = ["prefix_hash", "feistel", "bpe", "warc", "simhash", "weak_quality", "balance", "suffix", "lang", "line_rules",
-           "token_counts"]
+           "resample", "filter_audit", "token_counts"]
 
 
 def _collect(name: str) -> dict:
