@@ -137,7 +137,7 @@ def survival_counts(df: DataFrame, labels: DataFrame, id_column: str = "doc_id",
     marked = measured.join(firsts, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("first")), "left")
     word = F.col("word").bitwiseAND(F.when(F.col("_digest").isNull(), F.lit(WORDS[COPY])).otherwise(F.lit(-1)))
     known = narrow(labels, _id=id_column, quality="quality", toxic="toxic").groupBy("_id").agg(
-        (F.max((F.col("quality") == 1).cast("int")) + 2 * F.max((F.col("toxic") == 1).cast("int"))).alias("label"))
+        (F.max(F.when(F.col("quality") == 1, 1).otherwise(0)) + F.max(F.when(F.col("toxic") == 1, 2).otherwise(0))).alias("label"))
     labelled = marked.select("doc_id", "part", word.alias("word")).join(known, F.col("doc_id") == F.col("_id"), "left")
     counted = map_arrow(labelled.select("part", "word", F.coalesce("label", F.lit(0)).alias("label")), _survivors,
                         "part string, label int, filters int, n long")
