@@ -132,6 +132,12 @@ def jn3_win4_nearest(spark, sf_dir) -> DataFrame:
     return N.nearest(v, v, 5, same_table=True).withColumn("distance", F.round("distance", 6))
 
 
+def jn3_win4_nearest_hashed(spark, sf_dir) -> DataFrame:
+    """The ten nearest of every fiftieth vector among all, by hash tables."""
+    v = _vectors(spark, sf_dir)
+    return N.nearest_hashed(v.where("id % 50 = 0"), v, 10, same_table=True).withColumn("distance", F.round("distance", 6))
+
+
 def _lexicon(spark, sf_dir) -> DataFrame:
     """Valence -3..3 of each brand word of the part names; grows with the parts."""
     words = I.table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("token"))
@@ -209,7 +215,7 @@ QUERIES = {f.__name__: f for f in (
     pre1_tfidf_vocabulary, pre1_tfidf_transform, pre3_mail_metadata, pre4_label_encoding, pre5_split_70_15_15,
     pre5_split_60_20_20, pre5_split_counts, pre6_smote_counts, pre6_smote_rows, pre7_standardise,
     pre7_standardise_columns, pre9_uniform_sample, pre10_class_weights, pre11_absolute, prj4_url_columns,
-    ml7_knn_classify, jn3_win4_nearest, txt12_sentiment, txt13_misspelled, txt15_token_vocabulary, txt15_token_ids)}
+    ml7_knn_classify, jn3_win4_nearest, jn3_win4_nearest_hashed, txt12_sentiment, txt13_misspelled, txt15_token_vocabulary, txt15_token_ids)}
 
 from catalog import page as _page  # noqa: E402  (the URL vector SQL)
 
