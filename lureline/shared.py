@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,8 +42,24 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_recording: list[list[str]] = []
+
+
+@contextmanager
+def recorded(paths: list[str]) -> Iterator[None]:
+    """Appends to ``paths`` what ``new_path`` hands out meanwhile, so that it can be deleted later."""
+    _recording.append(paths)
+    try:
+        yield
+    finally:
+        _recording.remove(paths)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in _recording:
+        paths.append(path)
+    return path
 
 
 def remove(spark: SparkSession, path: str) -> None:
