@@ -1,9 +1,8 @@
 """SimHash near-duplicates by exact comparison of tiles.
 
-Distinct fingerprints, of one 64-bit word or two, are cut into tiles by bit counts: of the four quarters
-for a small radius, of the whole for a wide one. Fingerprints within the radius differ in all these
-counts together by the radius at most, so a pair of tiles beyond that is skipped; all other pairs are
-compared in full with numpy exclusive-or and bit counts. A tile pair hands
+Distinct fingerprints are cut into tiles by the bit counts of their four quarters. Fingerprints within the
+radius differ in all these counts together by the radius at most, so a pair of tiles beyond that is
+skipped; all other pairs are compared in full with numpy exclusive-or and bit counts. A tile pair hands
 on a spanning forest of its links instead of every link, and components are found by alternating large
 and small star contractions over tables in the shared folder.
 """
@@ -16,24 +15,17 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lureline.llm.common import documents, join_on, map_arrow, materialise, narrow, slices
+from lureline.shared import Tables
 
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
-SECOND_SEED = 4242
 QUARTERS = 4
-# near duplicates: sets of five-word shingles with a Jaccard similarity of NEAR_SHARE or more
-NEAR_SHINGLE = 5
-NEAR_SHARE = (4, 5)
-# 128 * acos(2 * 0.8 / (1 + 0.8)) / pi = 19 bits differ on average at a similarity of 0.8, with a deviation of 4
-NEAR_FIRST = 24     # nearest nodes within this are compared first
-NEAR_RADIUS = 36    # then all pairs within this that are not in one group yet
-NEAR_ROWS = 8192
 TILE_ROWS = 16384   # larger cells are cut into blocks of about this many fingerprints
 CELL_BASE = 32      # above the highest count of a quarter and the radius
 STEP = 1024         # rows of a tile that are compared at once
@@ -41,12 +33,9 @@ STEP = 1024         # rows of a tile that are compared at once
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: str | None, width: int = SHINGLE, seeds: tuple[int, ...] = (SEED,)) -> tuple[int, ...]:
-    """64-bit SimHashes over word shingles, repeats included; fewer words are one shingle, no word gives zero."""
-    shingles = _shingles(text, width)
-    if not shingles:
-        return (0,) * len(seeds)
-    return tuple(_majority([xxhash.xxh64_intdigest(x, seed) for x in shingles]) for seed in seeds)
+def fingerprint(text: str | None, width: int = SHINGLE) -> int:
+    """64-bit SimHash over word shingles, repeats included; fewer words are one shingle, no word gives zero."""
+    return _majority([xxhash.xxh64_intdigest(x, SEED) for x in _shingles(text, width)])
 
 
 def _shingles(text: str | None, width: int) -> list[memoryview]:
@@ -59,19 +48,6 @@ def _shingles(text: str | None, width: int) -> list[memoryview]:
     return [joined[a:b] for a, b in zip([0, *(ends[:len(words) - width] + 1).tolist()], ends[width - 1:].tolist())]
 
 
-def shingle_set(text: str | None, width: int = NEAR_SHINGLE) -> np.ndarray:
-    """Hashes of the distinct word shingles in order; fewer words are one shingle."""
-    return np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in _shingles(text, width)], np.uint64))
-
-
-def _set_node(hashes: np.ndarray) -> tuple[int, int, int]:
-    """Hash of a shingle set, which stands for it, and two words of its SimHash; each shingle counts once."""
-    mixed = hashes ^ hashes >> np.uint64(31)
-    mixed = mixed * np.uint64(0x9E3779B97F4A7C15)
-    mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-    return (xxhash.xxh64_intdigest(hashes.tobytes(), SEED), _majority(hashes), _majority(mixed ^ mixed >> np.uint64(32)))
-
-
 def _majority(hashes: list[int]) -> int:
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 4096):
@@ -85,21 +61,17 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = SHINGLE,
-                 double: bool = False) -> DataFrame:
-    """doc_id, ``fp`` and ``fp2`` (64 bits each as a long; ``fp2`` is 0 unless ``double``); a null text counts as empty."""
+def fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = SHINGLE) -> DataFrame:
+    """doc_id and ``fp`` (64 bits as a long); a null text counts as empty."""
     rows = narrow(df, doc_id=id_column, text=text_column)
-    seeds = (SEED, SECOND_SEED) if double else (SEED,)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                values = [fingerprint(t, width, seeds) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *[pa.array([_signed(v[k] if k < len(v) else 0) for v in values], pa.int64()) for k in (0, 1)]],
-                    ["doc_id", "fp", "fp2"])
+                values = [_signed(fingerprint(t, width)) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(values, pa.int64())], ["doc_id", "fp"])
 
-    schema = T.StructType([rows.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in ("fp", "fp2")]])
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("fp", T.LongType())])
     return map_arrow(rows, run, schema)
 
 
@@ -109,9 +81,8 @@ def neighbour_cells(radius: int, parts: int = QUARTERS) -> list[tuple[int, ...]]
     return [d for d in near if d >= (0,) * parts]
 
 
-def _forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int, a2: np.ndarray | None = None,
-            b2: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links between two tiles reduced to a star for each component that they make; ``a2``, ``b2`` are second words."""
+def _forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> list[tuple[int, int]]:
+    """Links between two tiles reduced to a star for each component that they make."""
     values = a if same else np.concatenate([a, b])
     base = 0 if same else len(a)
     label = np.arange(len(values))
@@ -122,8 +93,6 @@ def _forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int, a2: np.ndarra
             left, right = np.nonzero(near)
             left, right = left + start, right + other
             keep = (left != right) if same else np.ones(len(left), bool)
-            if a2 is not None:
-                keep &= np.bitwise_count(a[left] ^ b[right]) + np.bitwise_count(a2[left] ^ b2[right]) <= radius
             right = right + base
             left, right = left[keep], right[keep]
             if not len(left):
@@ -143,51 +112,44 @@ def _forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int, a2: np.ndarra
     return [(int(values[i]), int(values[label[i]])) for i in moved]
 
 
-def _compared(radius: int, double: bool):
+def _compared(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             links: list[tuple[int, int]] = []
             same = batch.column("same").to_pylist()
             for i in range(batch.num_rows):
-                words = [batch.column(c)[i].values.field(k).to_numpy().view(np.uint64) for k in (0, 1) for c in ("fps", "others")]
-                links += _forest(words[0], words[1], same[i], radius, *(words[2:] if double else ()))
+                words = [batch.column(c)[i].values.to_numpy().view(np.uint64) for c in ("fps", "others")]
+                links += _forest(*words, same[i], radius)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([_signed(x[k]) for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
-def tiles(distinct: DataFrame, parts: int, tile_rows: int = TILE_ROWS) -> DataFrame:
+def tiles(distinct: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
     """cell (bit counts as one number), block and the fingerprints of each tile."""
-    size = 64 // parts
-    mask = F.lit((1 << size) - 1 if size < 64 else -1)
+    size = 64 // QUARTERS
+    mask = F.lit((1 << size) - 1)
     count = lambda k: F.bit_count(F.shiftrightunsigned("fp", size * k).bitwiseAND(mask))
-    cell = sum((count(k) * F.lit(CELL_BASE ** (parts - 1 - k)) for k in range(parts)), F.lit(0))
-    cell = (cell + F.bit_count("fp2") if parts == 1 else cell).cast("int")
-    rows = distinct.select(F.struct("fp", "fp2").alias("fp"), cell.alias("cell"))
+    cell = sum((count(k) * F.lit(CELL_BASE ** (QUARTERS - 1 - k)) for k in range(QUARTERS)), F.lit(0)).cast("int")
+    rows = distinct.select("fp", cell.alias("cell"))
     sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile_rows).alias("blocks"))  # at most 17^4 rows
-    rows = rows.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("fp.fp"), "blocks"))
+    rows = rows.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("fp"), "blocks"))
     return rows.groupBy("cell", "block").agg(F.collect_list("fp").alias("fps"))
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS, double: bool = False) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Pairs (a, b) of first words whose components are those of all links within the radius.
-
-    ``double`` counts the bits of both words. Four counts skip more pairs of tiles than one, as long as
-    the radius is small against their spread.
     """
-    parts = 1 if double else QUARTERS
-    made = materialise(tiles(distinct, parts, tile_rows), "simhash-tiles")
-    steps = [sum(d * CELL_BASE ** (parts - 1 - k) for k, d in enumerate(diff)) for diff in neighbour_cells(radius, parts)]
+    made = materialise(tiles(distinct, tile_rows), "simhash-tiles")
+    steps = [sum(d * CELL_BASE ** (QUARTERS - 1 - k) for k, d in enumerate(diff)) for diff in neighbour_cells(radius)]
     reach = F.explode(F.transform(F.array(*[F.lit(s) for s in steps]), lambda s: F.col("cell") + s))
     left = made.select("cell", "block", "fps", reach.alias("near"))
     right = made.select(F.col("cell").alias("near"), F.col("block").alias("other"), F.col("fps").alias("others"))
     pairs = left.join(right, "near").where((F.col("cell") != F.col("near")) | (F.col("block") <= F.col("other")))
     same = (F.col("cell") == F.col("near")) & (F.col("block") == F.col("other"))
     pairs = pairs.select("fps", "others", same.alias("same"))
-    if double:  # few pairs of large tiles: deal them out evenly
-        pairs = pairs.repartition(max(8, pairs.sparkSession.sparkContext.defaultParallelism * 4))
-    return map_arrow(pairs, _compared(radius, double), "a long, b long")
+    return map_arrow(pairs, _compared(radius), "a long, b long")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -205,177 +167,39 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return pulled.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, tables: Tables | None = None, name: str = "links") -> DataFrame:
     """node and root (smallest node of its component) for each node of ``edges`` that is not a root itself.
 
-    Every round halves the depth of the remaining trees at least; rounds end when nothing changes.
+    Every round halves the depth of the remaining trees at least; rounds end when nothing changes. The links of a
+    round are written to ``tables`` under ``name``, and those of the round before are deleted.
     """
-    state, before = materialise(edges.where("a != b").distinct(), "links"), None
+    tables = tables or Tables(edges.sparkSession)
+    state, before = tables.write(edges.where("a != b").distinct(), name), None
     while True:
         mark = state.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark["n"] == 0 or mark == before:
             return state.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = mark
-        state = materialise(_small_star(_large_star(state)), "links")
+        state = tables.write(_small_star(_large_star(state)), name)
 
 
 def grouped(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = SHINGLE,
-            radius: int = RADIUS, tile_rows: int = TILE_ROWS, double: bool = False) -> DataFrame:
+            radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable by links) of every row of ``df``.
 
-    Equal texts have equal fingerprints and are one node; with ``double`` so are texts with equal first
-    words, whose smallest second word stands for all. Null and wordless texts have fingerprint zero and
-    are linked like any other. Null ids are passed over when the smallest is taken; a component without
+    Equal texts have equal fingerprints and are one node. Null and wordless texts have fingerprint zero
+    and are linked like any other. Null ids are passed over when the smallest is taken; a component without
     any id has a null one. Repeated rows give repeated results.
     """
-    docs = materialise(fingerprints(df, id_column, text_column, width, double), "simhash")
-    distinct = materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("fp2").alias("fp2")), "simhash-distinct")
-    found = components(links(distinct, radius, tile_rows, double)).withColumnRenamed("node", "fp")
+    docs = materialise(fingerprints(df, id_column, text_column, width), "simhash")
+    distinct = materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    found = components(links(distinct, radius, tile_rows)).withColumnRenamed("node", "fp")
     linked = join_on(distinct, found, ["fp"], "left").withColumn("root", F.coalesce("root", "fp"))
     roots = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = materialise(join_on(linked, roots, ["root"]).select("fp", "component_id"), "simhash-labels")
     return docs.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-def _distances(a: list[np.ndarray], b: list[np.ndarray], same: bool) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Differing bits of both words in squares of ``STEP`` rows and their places; a pair of one tile comes once."""
-    for start in range(0, len(a[0]), STEP):
-        for other in range(start if same else 0, len(b[0]), STEP):
-            rows, columns = slice(start, start + STEP), slice(other, other + STEP)
-            bits = np.bitwise_count(a[0][rows, None] ^ b[0][None, columns])
-            bits += np.bitwise_count(a[1][rows, None] ^ b[1][None, columns])
-            if same and start == other:
-                bits[np.tril_indices(len(bits))] = 255
-            yield start, other, bits
-
-
-def _candidates(nearest: bool, radius: int):
-    """Pairs of two tiles within the radius: of each node of the second the nearest, or all between different groups."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = batch.column("same").to_pylist()
-            for i in range(batch.num_rows):
-                sides = [[batch.column(c)[i].values.field(f).to_numpy() for f in ("key", "group", "fp", "fp2")]
-                         for c in ("nodes", "others")]
-                keys, groups = [x[0] for x in sides], [x[1] for x in sides]
-                words = [[w.view(np.uint64) for w in x[2:]] for x in sides]
-                least = np.full(len(keys[1]), 255, np.uint8)
-                partner = np.zeros(len(keys[1]), np.int64)
-                for start, other, bits in _distances(*words, same[i]):
-                    if nearest:
-                        at, columns = bits.argmin(axis=0), np.arange(bits.shape[1])
-                        low = bits[at, columns]
-                        better = low < least[other + columns]
-                        least[other + columns[better]] = low[better]
-                        partner[other + columns[better]] = at[better] + start
-                        continue
-                    left, right = np.nonzero(bits <= radius)
-                    left, right = left + start, right + other
-                    keep = groups[0][left] != groups[1][right]
-                    if keep.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(keys[0][left[keep]]), pa.array(keys[1][right[keep]])], ["a", "b"])
-                found = np.flatnonzero(least <= radius) if nearest else []
-                if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[0][partner[found]]), pa.array(keys[1][found])], ["a", "b"])
-
-    return run
-
-
-def candidates(nodes: DataFrame, nearest: bool, radius: int, tile_rows: int = NEAR_ROWS) -> DataFrame:
-    """Pairs (a, b) of keys of ``nodes`` (key, group, fp, fp2); every tile meets every tile, as none can be skipped."""
-    blocks = max(1, -(-nodes.count() // tile_rows))
-    cut = nodes.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), F.struct("key", "group", "fp", "fp2").alias("node"))
-    made = materialise(cut.groupBy("block").agg(F.collect_list("node").alias("nodes")), "near-tiles")
-    other = made.select(F.col("block").alias("other"), F.col("nodes").alias("others"))
-    reach = F.explode(F.sequence("block", F.lit(blocks - 1).cast("long"))).alias("other")
-    pairs = made.select("block", "nodes", reach).join(other, "other")
-    pairs = pairs.select("nodes", "others", (F.col("block") == F.col("other")).alias("same"))
-    pairs = pairs.repartition(max(8, pairs.sparkSession.sparkContext.defaultParallelism * 4))
-    return map_arrow(pairs, _candidates(nearest, radius), "a long, b long")
-
-
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for a, b in zip(batch.column("a_set"), batch.column("b_set")):
-            a, b = a.values.to_numpy(), b.values.to_numpy()
-            small, large = sorted((len(a), len(b)))
-            if small * NEAR_SHARE[1] < large * NEAR_SHARE[0]:
-                keep.append(False)
-                continue
-            common = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(common * NEAR_SHARE[1] >= (small + large - common) * NEAR_SHARE[0])
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def confirmed(pairs: DataFrame, df: DataFrame, text_column: str = "text", width: int = NEAR_SHINGLE) -> DataFrame:
-    """The pairs whose shingle sets have a Jaccard similarity of ``NEAR_SHARE`` or more, counted exactly."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                sets = [shingle_set(t, width) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([_signed(_set_node(x)[0]) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))],
-                    ["key", "set"])
-
-    pairs = materialise(pairs, "near-pairs")
-    needed = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    sets = map_arrow(narrow(df, text=text_column), run, "key long, set array<long>").join(needed, "key", "left_semi")
-    sets = materialise(sets.groupBy("key").agg(F.first("set").alias("set")), "near-sets")
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("a_set")), "a")
-    both = both.join(sets.select(F.col("key").alias("b"), F.col("set").alias("b_set")), "b")
-    return materialise(map_arrow(both.select("a", "b", "a_set", "b_set"), _confirmed, "a long, b long"), "near-links")
-
-
-def near_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = NEAR_SHINGLE,
-                tile_rows: int = NEAR_ROWS) -> DataFrame:
-    """doc_id and component_id of every row: texts are linked where their shingle sets are alike by ``NEAR_SHARE`` or more.
-
-    Nodes are distinct shingle sets. SimHashes of the sets give candidates only; a link is counted out. First each
-    node meets its nearest ones, which joins large groups by few pairs; then every pair within the wide radius that
-    lies in two groups is compared.
-    """
-    rows = narrow(df, doc_id=id_column, text=text_column)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                made = [_set_node(shingle_set(t, width)) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *[pa.array([_signed(x[k]) for x in made], pa.int64()) for k in range(3)]],
-                    ["doc_id", "key", "fp", "fp2"])
-
-    schema = T.StructType([rows.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in ("key", "fp", "fp2")]])
-    docs = materialise(map_arrow(rows, run, schema), "near-docs")
-    nodes = docs.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"))
-    nodes = materialise(nodes.withColumn("group", F.col("key")), "near-nodes")
-    links = None
-    for nearest, radius in ((True, NEAR_FIRST), (False, NEAR_RADIUS)):
-        found = confirmed(candidates(nodes, nearest, radius, tile_rows), df, text_column, width)
-        links = found if links is None else links.unionByName(found)
-        roots = components(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).withColumnRenamed("node", "key")
-        nodes = join_on(nodes.drop("group"), roots, ["key"], "left").withColumn("group", F.coalesce("root", "key")).drop("root")
-        nodes = materialise(nodes, "near-nodes")
-    heads = nodes.groupBy("group").agg(F.min("least").alias("component_id"))
-    labels = materialise(join_on(nodes, heads, ["group"]).select("key", "component_id"), "near-labels")
-    return docs.join(labels, "key").select("doc_id", "component_id")
-
-
-def representatives(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = NEAR_SHINGLE) -> DataFrame:
-    """The rows of ``df`` that stand for their group of near duplicates, with all their columns: those with the smallest id.
-
-    Rows of one id that differ in text stay together; of rows equal in id and text one stays. A group
-    without any id is kept whole. Groups are those of ``near_groups``.
-    """
-    name = lambda column: F.coalesce(F.col(column).cast("string"), F.lit("none"))
-    heads = near_groups(df, id_column, text_column, width).where("component_id IS NULL OR doc_id = component_id")
-    heads = heads.select(name("doc_id").alias("_s_id")).distinct()
-    rows = df.withColumn("_s_key", name(id_column)).withColumn("_s_text", F.xxhash64(text_column))
-    first = rows.join(heads, F.col("_s_key") == F.col("_s_id"), "left_semi")
-    number = F.row_number().over(Window.partitionBy("_s_key", "_s_text", text_column).orderBy("_s_key"))
-    return first.withColumn("_s_no", number).where("_s_no = 1").select(*df.columns)
-
-
 def hex_digits(column: str) -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lureline.shared import new_path
-from lureline.llm import balance, bpe, feistel, lang, line_rules, prefix_hash, queries, simhash, suffix, warc, weak_quality
+from lureline.llm import balance, bpe, feistel, lang, line_rules, near, prefix_hash, queries, simhash, suffix, warc, weak_quality
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, size int, ids string, fp string, anchor string, "
           "copies string, rank string, range int, kept string, host string")
@@ -81,7 +81,7 @@ def test_simhash_groups(edge, empty):
         ids.setdefault(r.doc_id, set()).add(r.component_id)
     assert ids[6] == ids[5] == {5} and ids[1] == ids[3] == {1} and 1 in ids[None] and ids[2] == {1}
     assert len(got) == edge.count() and simhash.grouped(empty).count() == 0
-    kept = simhash.representatives(edge)
+    kept = near.representatives(edge)
     assert kept.columns == edge.columns
     assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == [1, 4, 5, 7, 8, 9, 11, 12, 13]
 
@@ -93,7 +93,7 @@ def test_near_copies_are_one_group(spark):
     changed[100] = changed[300] = changed[500] = "other"
     half = base[:300] + [f"z{k}" for k in range(300)]
     rows = [(1, " ".join(base)), (2, " ".join(changed)), (3, " ".join(half)), (4, " ".join(base).upper())]
-    kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept = near.representatives(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
 
 
@@ -121,8 +121,41 @@ def test_near_groups_follow_the_exact_similarity(spark):
                 root = [low if r == high else r for r in root]
     assert sum(0.7 < x < 0.8 for x in shares) > 20 and sum(0.8 <= x < 0.9 for x in shares) > 20
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    kept = simhash.representatives(df)
+    kept = near.representatives(df)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+    for tile_rows, tile_bytes in ((8192, 1 << 22), (3, 1 << 22), (8192, 2000)):  # one tile; and groups beyond one tile
+        got = near.near_groups(df, tile_rows=tile_rows, tile_bytes=tile_bytes)
+        assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(root))
+
+
+@pytest.mark.parametrize("table", ["documents"])
+def test_groups_of_a_whole_table_equal_all_pairs(spark, table):
+    """SimHash components and near groups of every document of sf0.01, each pair compared."""
+    docs = spark.read.parquet(f"/root/testdata/sf0.01/{table}.parquet").select("doc_id", "text")
+    texts = dict(sorted((r.doc_id, r.text) for r in docs.collect()))
+    ids = list(texts)
+
+    def smallest(links):
+        root = {i: i for i in ids}
+        for a, b in links:
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if r == high else r for i, r in root.items()}
+        return root
+
+    fps = {i: simhash.fingerprint(t) for i, t in texts.items()}
+    close = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if (fps[a] ^ fps[b]).bit_count() <= 3]
+    assert {r.doc_id: r.component_id for r in simhash.grouped(docs).collect()} == smallest(close)
+    sets = {i: set(near.shingle_set(t).tolist()) for i, t in texts.items()}
+    holders, common = {}, Counter()
+    for i in ids:
+        for x in sets[i]:
+            holders.setdefault(x, []).append(i)
+    for held in holders.values():
+        common.update((a, b) for k, a in enumerate(held) for b in held[:k])
+    alike = [(a, b) for (a, b), n in common.items() if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n)]
+    empty = [i for i in ids if not sets[i]]
+    assert len(alike) > 90
+    assert {r.doc_id: r.component_id for r in near.near_groups(docs).collect()} == smallest(alike + list(zip(empty, empty[1:])))
 
 
 def test_simhash_components_of_a_chain(spark):
@@ -130,7 +163,7 @@ def test_simhash_components_of_a_chain(spark):
     chain = [0]
     for k in range(20):
         chain.append(chain[-1] ^ 7 << 3 * k)
-    edges = simhash.links(spark.createDataFrame([(c if c < 1 << 63 else c - (1 << 64), 0) for c in chain], "fp long, fp2 long"), 3, 4)
+    edges = simhash.links(spark.createDataFrame([(c if c < 1 << 63 else c - (1 << 64),) for c in chain], "fp long"), 3, 4)
     assert {r.root for r in simhash.components(edges).collect()} == {0}
     assert simhash.components(edges).count() == len(chain) - 1
 
@@ -282,5 +315,6 @@ def test_pipeline_stages(spark, edge, empty):
 
 def test_every_query_returns_rows(spark):
     for name, query in queries.queries().items():
-        table = "pages" if name.startswith("op6") else "documents"
-        assert query(spark, SF).count() == spark.read.parquet(f"{SF}/{table}.parquet").count(), name
+        table = spark.read.parquet(f"{SF}/{'pages' if name.startswith('op6') else 'documents'}.parquet")
+        expected = 600 * table.select("lang").distinct().count() if name.startswith("op12") else table.count()
+        assert query(spark, SF).count() == expected, name
