@@ -9,17 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lureline.operators import corpus as C
+from lureline.sources.split_csv import read_split_csv
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = True,
+             split: bool = True) -> DataFrame:
     """CSV with header and doubled quotes, as spreadsheet tools write it.
 
-    Mail bodies contain line breaks, which needs ``multi_line``; such files are not split, so a
-    large corpus should come as many files. Without a schema every column is a string, read from
-    the header only.
+    Mail bodies contain line breaks, which needs ``multi_line``. Such files are read in byte ranges by
+    many tasks unless ``split`` is off, which leaves one task to a file. Without a schema every column is
+    a string, read from the header only.
     """
     reader = spark.read.options(header=True, multiLine=multi_line, quote='"', escape='"')
-    return (reader.schema(schema) if schema else reader).csv(path)
+    rows = (reader.schema(schema) if schema else reader).csv(path)
+    return read_split_csv(spark, path, rows.schema) if multi_line and split else rows
 
 
 def first_rows(df: DataFrame, n: int, order: list[str]) -> DataFrame:
