@@ -102,7 +102,7 @@ def agg6_high_correlations(spark, sf_dir) -> DataFrame:
 
 
 def agg6_wide_correlations(spark, sf_dir) -> DataFrame:
-    """All pairs of the 64 embedding dimensions: the exploded-pair way for wide tables."""
+    """All pairs of the 64 embedding dimensions."""
     e = I.table(spark, sf_dir, "embeddings")
     wide = e.select(*[F.col("embedding")[i].alias(f"d{i:02d}") for i in range(64)])
     return Q.correlations(wide).select("feature1", "feature2", F.round("correlation", 6).alias("correlation"))

@@ -89,31 +89,44 @@ def running_totals(df: DataFrame, by: list[str], key: str, values: list[str], de
         (F.col(f"_c_{v}") + F.col(f"_f_{v}") + F.col(f"_i_{v}")).alias(f"before_{v}") for v in values])
 
 
+def bucket_of(value: Column) -> Column:
+    """Ordered bucket of a double, one of at most 65,537."""
+    return F.floor(_log_unit(value) * FAN_OUT)
+
+
+def _holds(k: Column, start: Column, n: Column) -> Column:
+    return (k >= start) & (k < start + n)
+
+
+def _middle(start: Column, n: Column) -> Column:
+    return _holds(F.floor((F.col("_t") - 1) / 2), start, n) | _holds(F.floor(F.col("_t") / 2), start, n)
+
+
+def middle_buckets(sizes: DataFrame) -> DataFrame:
+    """Of (_name, _b, _s), a histogram per name: the one or two buckets that hold the middle ranks, with their offset."""
+    one = Window.partitionBy("_name")
+    placed = sizes.withColumns({"_base": F.sum("_s").over(one.orderBy("_b")) - F.col("_s"), "_t": F.sum("_s").over(one)})
+    return placed.filter(_middle(F.col("_base"), F.col("_s"))).select("_name", "_b", "_base", "_t")
+
+
+def middle_values(counted: DataFrame) -> DataFrame:
+    """(_name, median) of (_name, _b, _base, _t, _v, _n): counted values of the middle buckets."""
+    ranked = running_totals(counted, ["_name", "_b"], "_v", ["_n"], unit=_log_unit)
+    found = ranked.filter(_middle(F.col("_base") + F.col("before__n"), F.col("_n")))
+    return found.groupBy("_name").agg(((F.max("_v") + F.min("_v")) / 2).alias("median"))
+
+
 def medians(long: DataFrame, name: str = "column", value: str = "value") -> DataFrame:
     """Exact median per name of a (name, value) table; the mean of the two middle values.
 
-    A histogram of at most 65,536 ordered buckets per name says which buckets hold the two middle
+    A histogram of at most 65,537 ordered buckets per name says which buckets hold the two middle
     ranks. Only the values of those buckets are shuffled, equal ones counted first, and running
     totals find the exact ranks among them.
     """
     clean = long.select(F.col(name).alias("_name"), F.col(value).cast("double").alias("_v"))
     clean = clean.filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    clean = clean.withColumn("_b", F.floor(_log_unit(F.col("_v")) * FAN_OUT))
-    sizes = clean.groupBy("_name", "_b").agg(F.count("*").alias("_s"))
-    one = Window.partitionBy("_name")
-    placed = sizes.withColumns({"_base": F.sum("_s").over(one.orderBy("_b")) - F.col("_s"),
-                                "_t": F.sum("_s").over(one)})
-    low, high = F.floor((F.col("_t") - 1) / 2), F.floor(F.col("_t") / 2)
-
-    def holds(k: Column, start: Column, n: Column) -> Column:
-        return (k >= start) & (k < start + n)
-
-    def middle(start: Column, n: Column) -> Column:
-        return holds(low, start, n) | holds(high, start, n)
-
-    hit = placed.filter(middle(F.col("_base"), F.col("_s"))).select("_name", "_b", "_base", "_t")
+    clean = clean.withColumn("_b", bucket_of(F.col("_v")))
+    hit = middle_buckets(clean.groupBy("_name", "_b").agg(F.count("*").alias("_s")))
     inside = clean.join(F.broadcast(hit), ["_name", "_b"])  # at most two buckets per name
     counted = inside.groupBy("_name", "_b", "_base", "_t", "_v").agg(F.count("*").alias("_n"))
-    ranked = running_totals(counted, ["_name", "_b"], "_v", ["_n"], unit=_log_unit)
-    found = ranked.filter(middle(F.col("_base") + F.col("before__n"), F.col("_n")))
-    return found.groupBy("_name").agg(((F.max("_v") + F.min("_v")) / 2).alias("median")).withColumnRenamed("_name", name)
+    return middle_values(counted).withColumnRenamed("_name", name)

@@ -55,6 +55,6 @@ def test_empty_files(spark, tmp_path):
 
 def test_open_cells():
     for line, closed, opened in [("a,b", False, True), ('a,"b', True, False), ('"a""', True, False), ('5" x,1', False, False), ('"a","b"', False, False),
-                                 ('a"b","', True, False), ('""', False, True), ('"""', True, False), ('"a"x,y', False, False), (',,"', True, False)]:
+                                 ('a"b","', True, True), ('""', False, True), ('"""', True, False), ('"a"x,y', False, False), (',,"', True, False)]:
         assert left_open(line, False) == closed, line
         assert left_open(line, True) == opened, line

@@ -229,6 +229,61 @@ def test_captured_pages_rules(spark):
     assert [(r.url, r.final_url, r.html) for r in got] == [("http://a.b", "http://a.b", "café !")]
 
 
+def test_correlations_of_wide_tables_with_gaps(spark):
+    rng = np.random.default_rng(6)
+    for width, block in ((3, 128), (70, 16), (300, 128)):
+        x = rng.normal(size=(60, width)) * 10.0 ** rng.integers(-3, 4, width) + 10.0 ** rng.integers(0, 7, width)
+        x[:, 1] = x[:, 0] * 2 + 5
+        x[:, 2] = 7.1
+        x[rng.random(x.shape) < 0.1] = np.nan
+        names = [f"c{k}" for k in range(width)]
+        frame = pd.DataFrame(x, columns=names)
+        df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{n} double" for n in names)).repartition(3)
+        got = {(r.feature1, r.feature2): r.correlation for r in Q.correlations(df, block=block).collect()}
+        expected = frame.drop(columns="c2").corr()
+        assert list(got) and len(got) == width * (width - 1) // 2
+        assert all(v is None for p, v in got.items() if "c2" in p)
+        assert all(abs(v - expected.loc[p]) < 1e-6 for p, v in got.items() if "c2" not in p)
+    assert Q.correlations(df.limit(0), names[:3]).count() == 0
+
+
+def test_report_equals_the_single_checks(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i % 90, float("nan") if i % 11 == 0 else float(rng.normal()) ** 3, None if i % 7 == 0 else f"t{i % 90}", [1, 0, None][(i % 90) % 3],
+             float(i % 90) * 2, [i % 90]) for i in range(300)] + [(5, 1e9, None, 1, None, None)] * 3
+    df = spark.createDataFrame(rows, "word_count int, x double, t string, label int, my_score double, l array<int>").repartition(4)
+    got = {(r.check, r.column, r.metric): r.value for r in Q.full_report(df).collect()}
+    assert len(got) == Q.full_report(df).count()
+
+    def near(check, column, metric, value):
+        mine = got.pop((check, column, metric))
+        assert mine == value or abs(mine - value) <= 1e-9 * abs(value), (check, column, metric, mine, value)
+
+    for r in Q.missing_values(df).collect():
+        near("missing_values", r.column, "missing", r.missing)
+        near("missing_values", r.column, "pct", r.pct)
+    for r in Q.feature_statistics(df).collect():
+        for m in ("mean", "std", "min", "max", "median", "skew", "kurtosis"):
+            near("feature_statistics", r.column, m, r[m])
+    for r in Q.outliers(df).collect():
+        near("outliers", r.column, "outliers", r.outliers)
+        near("outliers", r.column, "pct", r.pct)
+    for r in Q.label_distribution(df).collect():
+        near("label_distribution", str(r.label), "n", r.n)
+        near("label_distribution", str(r.label), "pct", r.pct)
+    for r in Q.consistency(df).collect():
+        near("consistency", r.column, "n", r.n)
+    for r in Q.high_correlations(df).collect():
+        near("correlation", f"{r.feature1}|{r.feature2}", "correlation", r.correlation)
+    d = Q.duplicates(df).first()
+    near("duplicates", None, "duplicates", d.duplicates)
+    near("duplicates", None, "pct", d.pct)
+    assert d.duplicates == 303 - len({str(r) for r in rows})
+    near("quality", None, "quality_score", Q.quality_report(df).first().quality_score)
+    assert {k[0] for k in got} == {"dataset_info"} and len(got) == 4
+    assert Q.full_report(df.limit(0)).count() > 0 and Q.full_report(df.select("t")).count() == 4 + 2 + 2 + 1
+
+
 def test_csv_with_quotes_and_line_breaks(spark, tmp_path):
     df = spark.createDataFrame([("a \"q\", b\nc", 1), ("", 0), (" x ", None)], "text string, label int")
     sinks.write_csv(df, str(tmp_path / "c"))
