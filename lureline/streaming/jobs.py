@@ -12,6 +12,7 @@ from lureline.functions import risk
 from lureline.operators import metrics as M
 from lureline.operators import scoring as S
 from lureline.operators.models import Trained
+from lureline.shared import remove
 from lureline.sources.sinks import FEEDBACK_SCHEMA
 
 
@@ -47,19 +48,36 @@ def append_stream(df: DataFrame, path: str, checkpoint: str, once: bool = False)
 
 
 def counters_stream(df: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """The current totals, written whole for each batch under its own number."""
+    """The current totals, kept as one table under the number of the batch that they belong to.
+
+    The totals come from the stream's own state and a batch that runs again has its old number, so it replaces what
+    its first attempt left and nothing is counted twice. Once a batch is written, all before its predecessor are
+    deleted: two tables at most remain, however long the stream runs.
+    """
+    spark = df.sparkSession
+
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        for old in _batches(spark, path):
+            if old < number - 1:
+                remove(spark, f"{path}/batch={old}")
 
     writer = df.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def _batches(spark: SparkSession, path: str, finished: bool = False) -> list[int]:
+    """Numbers of the batches whose tables are under ``path``, or of those that were written to their end."""
+    mark = "/_SUCCESS" if finished else ""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*{mark}")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    names = [str(x.getPath().getParent().getName() if finished else x.getPath().getName()) for x in found]
+    return sorted(int(n.split("=")[1]) for n in names)
+
+
 def latest_counters(spark: SparkSession, path: str) -> DataFrame:
-    """The totals of the newest batch."""
-    written = spark.read.parquet(path)
-    newest = written.agg(F.max("batch")).scalar()
-    return written.filter(F.col("batch") == newest).drop("batch")
+    """The totals of the newest batch that was written to its end."""
+    return spark.read.parquet(f"{path}/batch={_batches(spark, path, finished=True)[-1]}")
 
 
 def feedback_stream(rows: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
