@@ -26,6 +26,8 @@ DIMS = 64
 # library defaults; the net is told the width of its input
 SETTINGS = {name: {} for name in ("logistic_regression", "svm_linear", "svm_rbf", "random_forest", "gradient_boosting",
                                   "naive_bayes", "decision_tree", "knn")} | {"dense_net": {"inputs": DIMS}}
+# as many points as the forest's own grid; trees of a forest take MLlib some hundred times as long, see the README
+TREE_GRID = {"maxBins": [16, 32, 64], "maxDepth": [15, 20, 25, M.MAX_DEPTH], "minSamplesSplit": [2, 5, 10], "minInstancesPerNode": [1, 2, 4]}
 FEW = {n: SETTINGS[n] for n in ("logistic_regression", "decision_tree", "naive_bayes")}
 
 
@@ -100,23 +102,36 @@ def srt4_srt5_top20_coefficients(spark, sf_dir) -> DataFrame:
 
 def cv2_cv3_cross_validate(spark, sf_dir) -> DataFrame:
     train, _, _ = parts(spark, sf_dir)
-    folds, _ = M.cross_validate_all(train, {n: FEW[n] for n in ("naive_bayes", "decision_tree")}, 5)
+    folds, _ = M.cross_validate_all(train, FEW, 5)
     return MT.fold_summary(folds, ["model", "split", "metric"])
 
 
 def cv4_grid_search(spark, sf_dir) -> DataFrame:
+    """All 108 points of a grid as wide as the forest's, over five folds of a tree."""
     train, _, _ = parts(spark, sf_dir)
-    return M.tune("decision_tree", train, {"maxDepth": [2, 4], "minInstancesPerNode": [1, 4]}, 3)[1]
+    return M.tune("decision_tree", train, TREE_GRID, 5, parallelism=8)[1]
 
 
 def cv4_random_search(spark, sf_dir) -> DataFrame:
     train, _, _ = parts(spark, sf_dir)
-    return M.tune("decision_tree", train, {"maxDepth": [2, 3, 4], "minInstancesPerNode": [1, 4]}, 3, "random", 3)[1]
+    return M.tune("decision_tree", train, TREE_GRID, 5, "random", 20, parallelism=8)[1]
+
+
+def cv4_tune_wrapped_models(spark, sf_dir) -> DataFrame:
+    """Grids over the models that are made of several stages."""
+    train, _, _ = parts(spark, sf_dir)
+    grids = {"svm_linear": {"regParam": [0.001, 0.1]}, "svm_rbf": {"gamma": [0.01, 0.1]}, "naive_bayes": {"smoothing": [0.5, 1.0]},
+             "knn": {"k": [3, 7]}}
+    out = None
+    for name, grid in grids.items():
+        scores = M.tune(name, train, grid, 5)[1].withColumn("model", F.lit(name))
+        out = scores if out is None else out.unionByName(scores)
+    return out
 
 
 def cv7_learning_curve(spark, sf_dir) -> DataFrame:
     train, _, _ = parts(spark, sf_dir)
-    return M.learning_curve("naive_bayes", train, 2, [0.25, 0.5, 1.0])
+    return M.learning_curve("naive_bayes", train)
 
 
 def ens3_stacking(spark, sf_dir) -> DataFrame:
@@ -124,7 +139,7 @@ def ens3_stacking(spark, sf_dir) -> DataFrame:
     train, _, test = parts(spark, sf_dir)
     base = {n: FEW[n] for n in ("naive_bayes", "decision_tree")}
     columns = [f"p_{n}" for n in base]
-    meta = E.blend(M.out_of_fold(train, base, 3), columns)
+    meta = E.blend(M.out_of_fold(train, base), columns)
     models = {n: M.fit(n, train, **o) for n, o in base.items()}
     return E.apply_meta(meta, M.with_probabilities(test, models), columns).select("id", "label", "probability", "prediction")
 
@@ -176,6 +191,24 @@ def scr3_snk4_model_info(spark, sf_dir) -> DataFrame:
     return S.model_info(spark, loaded, len(V.FEATURE_NAMES))
 
 
+def snk4_saved_ensembles(spark, sf_dir) -> DataFrame:
+    """Voting with weights, stacking and seven neighbours: saved, loaded, and compared with themselves on the test rows."""
+    train, val, test = parts(spark, sf_dir)
+    models = {n: M.fit(n, train, **FEW[n]) for n in ("naive_bayes", "decision_tree")}
+    meta = E.blend(M.with_probabilities(val, models), [f"p_{n}" for n in models])
+    made = {"voting": M.ensemble(models, weights=[1.0, 2.0]), "stacking": M.ensemble(models, meta=meta), "knn": M.fit("knn", train, k=7)}
+    out = None
+    for name, trained in made.items():
+        path = new_path(spark, name)
+        M.save(trained, path)
+        again = M.load(spark, name, path).score(test).select("id", F.col("probability").alias("again"))
+        same = trained.score(test).join(again, "id").agg(
+            F.count("*").alias("rows"), F.count(F.when(F.abs(F.col("probability") - F.col("again")) < 1e-9, 1)).alias("equal"))
+        part = same.select(F.lit(name).alias("model"), "rows", "equal")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def scr4_test_evaluation(spark, sf_dir) -> DataFrame:
     train, _, test = parts(spark, sf_dir)
     out = None
@@ -202,12 +235,12 @@ def plan_mail_pipeline(spark, sf_dir) -> DataFrame:
     from lureline.operators import corpus as C
 
     unified = [C.unify(df, n, i, "doc_id") for i, (n, df) in enumerate(corpora(spark, sf_dir))]
-    out = PL.mail_pipeline(unified, new_path(spark, "mails"), max_features=50, stop_words=["the"], smote=False)
+    out = PL.mail_pipeline(unified, new_path(spark, "mails"))
     return out["prepared"].groupBy("split", "label").agg(F.count("*").alias("n"))
 
 
 def plan_model_pipeline(spark, sf_dir) -> DataFrame:
-    out = PL.model_pipeline(*parts(spark, sf_dir), settings={n: FEW[n] for n in ("naive_bayes", "decision_tree")}, k=2)
+    out = PL.model_pipeline(*parts(spark, sf_dir), settings=FEW)
     return out["test"]
 
 
@@ -293,7 +326,7 @@ QUERIES = {
     "ml9_dense_net": _scores("dense_net"),
     **{f.__name__: f for f in (
         ml6_naive_bayes_exact, ml10_train_all_leaderboard, ml11_predict_probability, srt3_top5_features,
-        srt4_srt5_top20_coefficients, cv2_cv3_cross_validate, cv4_grid_search, cv4_random_search, cv7_learning_curve,
+        srt4_srt5_top20_coefficients, cv2_cv3_cross_validate, cv4_grid_search, cv4_random_search, cv4_tune_wrapped_models, snk4_saved_ensembles, cv7_learning_curve,
         ens3_stacking, ens4_blending, ens6_ens8_voting_evaluation, scr1_srt3_predict, scr2_batch_with_errors,
         scr3_snk4_model_info, scr4_test_evaluation, scr5_analyze_pages, scr6_chat, plan_mail_pipeline,
         plan_model_pipeline, snk3_prepared_splits, snk5_json_report, str1_tiered_stream, str1_chat_stream,
@@ -310,6 +343,11 @@ BAYES_SQL = (
     "1))) AS p FROM j GROUP BY id)"
 )
 SQL = {
+    "snk4_saved_ensembles": (
+        "WITH v AS (SELECT vec_id AS id, CASE WHEN label < 3 THEN 1 ELSE 0 END AS label FROM embeddings), r AS (SELECT *, "
+        "row_number() OVER (PARTITION BY label ORDER BY md5('42|' || id), id) AS rk, round(count(*) OVER (PARTITION BY label) "
+        "* 0.15::DOUBLE) AS t FROM v) SELECT model, count(*) AS rows, count(*) AS \"equal\" FROM r, (VALUES ('voting'), ('stacking'), "
+        "('knn')) m(model) WHERE rk <= t GROUP BY model"),
     "ml6_naive_bayes_exact": (
         f"WITH {BAYES_SQL} SELECT id, round(p, 6) AS probability, CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS prediction FROM pp"),
     "snk3_prepared_splits": (

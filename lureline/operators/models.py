@@ -9,9 +9,10 @@ from __future__ import annotations
 import random
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark import StorageLevel, keyword_only
+from pyspark import StorageLevel, inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml import classification as C
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -20,7 +21,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import (
+    DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable,
+    MLWriter)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +31,11 @@ from lureline.operators import metrics as M
 from lureline.operators import prep as P
 from lureline.operators.neighbors import nearest
 from lureline.operators.ranking import hash_rank
+from lureline.shared import materialise
 
 MAX_DEPTH = 30  # deepest tree MLlib grows; stands for "no limit"
 SCORES = [*M.METRICS, "roc_auc"]
+PARALLEL_FITS = 4
 
 
 # ---- transformers used inside pipelines ------------------------------------------------------------------
@@ -82,39 +87,264 @@ class FourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReada
         return dataset.withColumn(self.getOutputCol(), array_to_vector(values))
 
 
-class KernelWidth(Estimator, DefaultParamsReadable, DefaultParamsWritable):
-    """Picks gamma = 1 / (dimensions * variance of all values) and fixes the projection."""
+def _param(name: str, text: str, kind: Callable) -> Param:
+    return Param(Params._dummy(), name, text, kind)
 
-    @keyword_only
-    def __init__(self, size: int = 256, seed: int = 42):
+
+class Tunable(Estimator):
+    """Estimators that put several MLlib stages together under Params of their own, so that grids reach them."""
+
+    def __init__(self, **values) -> None:
         super().__init__()
-        self.n_features, self.random_seed = size, seed
+        self._set(**{k: v for k, v in values.items() if v is not None})
 
-    def _fit(self, dataset: DataFrame) -> FourierFeatures:
-        cells = dataset.select(F.explode(vector_to_array("features")).alias("x"), F.size(vector_to_array("features")).alias("d"))
-        row = cells.agg(F.var_pop("x").alias("v"), F.max("d").alias("d")).first()
-        gamma = 1.0 / (row["d"] * row["v"]) if row["v"] else 1.0
-        return FourierFeatures(gamma=gamma, size=self.n_features, seed=self.random_seed)
+    def value(self, name: str):
+        param = self.getParam(name)
+        return self.getOrDefault(param) if self.isDefined(param) else None
 
+    def given(self, *names: str) -> dict:
+        """The values of those Params that are set."""
+        return {n: self.value(n) for n in names if self.value(n) is not None}
 
-class CalibratedSVC(Estimator):
-    """Linear SVM whose margins become probabilities by a sigmoid fitted on held-out rows."""
 
-    def __init__(self, features: str = "features", id_column: str = "id", max_iter: int = 100, seed: int = 42):
-        super().__init__()
-        self.features, self.id_column, self.max_iter, self.seed = features, id_column, max_iter, seed
+class CalibratedSVC(Tunable):
+    """Linear SVM whose margins become probabilities by a sigmoid fitted on held-out rows; regParam defaults to 1 / rows."""
+
+    featuresCol = _param("featuresCol", "vector column", TypeConverters.toString)
+    idCol = _param("idCol", "id column that decides what is held out", TypeConverters.toString)
+    maxIter = _param("maxIter", "iterations", TypeConverters.toInt)
+    regParam = _param("regParam", "regularisation", TypeConverters.toFloat)
+    seed = _param("seed", "random seed", TypeConverters.toInt)
+
+    def __init__(self, **values) -> None:
+        super().__init__(**{"featuresCol": "features", "idCol": "id", "maxIter": 100, "seed": 42, **values})
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
-        parts = hash_rank(dataset, self.id_column, ["label"], self.seed, "_rank", "_n")
+        parts = hash_rank(dataset, self.value("idCol"), ["label"], self.value("seed"), "_rank", "_n")
         held_out = F.col("_rank") <= F.col("_n") * 0.2
-        svc = C.LinearSVC(featuresCol=self.features, labelCol="label", weightCol="weight", maxIter=self.max_iter,
-                          regParam=1.0 / max(dataset.count(), 1), rawPredictionCol="_raw", predictionCol="_svc")
+        weight = {"weightCol": "weight"} if "weight" in dataset.columns else {}
+        penalty = self.value("regParam")
+        svc = C.LinearSVC(featuresCol=self.value("featuresCol"), labelCol="label", maxIter=self.value("maxIter"), **weight,
+                          regParam=1.0 / max(dataset.count(), 1) if penalty is None else penalty, rawPredictionCol="_raw", predictionCol="_svc")
         margin = VectorSlicer(inputCol="_raw", outputCol="_margin", indices=[1])
         sigmoid = C.LogisticRegression(featuresCol="_margin", labelCol="label", rawPredictionCol="_logit")
         svc_model = svc.fit(parts.filter(~held_out))
         return PipelineModel([svc_model, margin, sigmoid.fit(margin.transform(svc_model.transform(parts.filter(held_out))))])
 
 
+class KernelSVC(CalibratedSVC):
+    """The same over random Fourier features; gamma defaults to 1 / (dimensions * variance of all values)."""
+
+    size = _param("size", "number of Fourier features", TypeConverters.toInt)
+    gamma = _param("gamma", "kernel width", TypeConverters.toFloat)
+
+    def __init__(self, **values) -> None:
+        super().__init__(**{"size": 256, **values})
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        gamma, inputs = self.value("gamma"), self.value("featuresCol")
+        if gamma is None:
+            cells = dataset.select(F.explode(vector_to_array(inputs)).alias("x"), F.size(vector_to_array(inputs)).alias("d"))
+            row = cells.agg(F.var_pop("x").alias("v"), F.max("d").alias("d")).first()
+            gamma = 1.0 / (row["d"] * row["v"]) if row["v"] else 1.0
+        fourier = FourierFeatures(inputCol=inputs, gamma=gamma, size=self.value("size"), seed=self.value("seed"))
+        svc = CalibratedSVC(featuresCol="fourier", **self.given("idCol", "maxIter", "regParam", "seed"))
+        return PipelineModel([fourier, *svc.fit(fourier.transform(dataset)).stages])
+
+
+class AbsoluteBayes(Tunable):
+    """Naive Bayes over absolute values, as its multinomial form takes no negative ones."""
+
+    smoothing = _param("smoothing", "added to every count", TypeConverters.toFloat)
+    modelType = _param("modelType", "form of naive Bayes", TypeConverters.toString)
+
+    def __init__(self, **values) -> None:
+        super().__init__(**{"smoothing": 1.0, "modelType": "multinomial", **values})
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        bayes = C.NaiveBayes(featuresCol="absolute", **self.given("smoothing", "modelType"))
+        return Pipeline(stages=[AbsoluteFeatures(), bayes]).fit(dataset)
+
+
+class SplitTree(Tunable):
+    """Decision tree with a least size of nodes that are split.
+
+    MLlib bounds the parts of a split only, so a node is split if both parts keep ``minInstancesPerNode`` rows and
+    half of ``minSamplesSplit``.
+    """
+
+    maxDepth = _param("maxDepth", "deepest level", TypeConverters.toInt)
+    maxBins = _param("maxBins", "bins of a feature", TypeConverters.toInt)
+    minInstancesPerNode = _param("minInstancesPerNode", "least rows of a part", TypeConverters.toInt)
+    minSamplesSplit = _param("minSamplesSplit", "least rows of a node that is split", TypeConverters.toInt)
+    minInfoGain = _param("minInfoGain", "least gain of a split", TypeConverters.toFloat)
+    impurity = _param("impurity", "gini or entropy", TypeConverters.toString)
+    seed = _param("seed", "random seed", TypeConverters.toInt)
+    kind: Callable[..., Estimator] = C.DecisionTreeClassifier
+    passed = ("maxDepth", "maxBins", "minInfoGain", "impurity", "seed")
+
+    def __init__(self, **values) -> None:
+        super().__init__(**{"maxDepth": MAX_DEPTH, "minInstancesPerNode": 1, "minSamplesSplit": 2, "seed": 42, **values})
+
+    def _fit(self, dataset: DataFrame) -> Model:
+        least = max(self.value("minInstancesPerNode"), -(-self.value("minSamplesSplit") // 2))
+        weight = {"weightCol": "weight"} if "weight" in dataset.columns else {}
+        return type(self).kind(minInstancesPerNode=least, **weight, **self.given(*self.passed)).fit(dataset)
+
+
+class SplitForest(SplitTree):
+    """Random forest with the same Params."""
+
+    numTrees = _param("numTrees", "trees", TypeConverters.toInt)
+    featureSubsetStrategy = _param("featureSubsetStrategy", "features that a split looks at", TypeConverters.toString)
+    subsamplingRate = _param("subsamplingRate", "share of rows of a tree", TypeConverters.toFloat)
+    kind = C.RandomForestClassifier
+    passed = (*SplitTree.passed, "numTrees", "featureSubsetStrategy", "subsamplingRate")
+
+    def __init__(self, **values) -> None:
+        super().__init__(**{"numTrees": 100, **values})
+
+
+def _as_classifier(scored: DataFrame) -> DataFrame:
+    """Probability as a vector of both classes and prediction as a double, the columns of MLlib's classifiers."""
+    p = F.col("probability")
+    return scored.withColumns({"probability": array_to_vector(F.array(1 - p, p)), "prediction": F.col("prediction").cast("double")})
+
+
+class _NeighbourWriter(MLWriter):
+    def __init__(self, model: NeighbourModel) -> None:
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession)
+        self.model.train.write.mode("errorifexists").parquet(f"{path}/train")
+
+
+class _NeighbourReader(MLReader):
+    def load(self, path: str) -> NeighbourModel:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = NeighbourModel(self.sparkSession.read.parquet(f"{path}/train"))
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        return model
+
+
+class NeighbourModel(Model, MLWritable, MLReadable):
+    """k nearest neighbours; the training table is the model."""
+
+    neighbours = _param("neighbours", "k", TypeConverters.toInt)
+    idCol = _param("idCol", "id column of both tables", TypeConverters.toString)
+
+    def __init__(self, train: DataFrame, k: int = 5, id_column: str = "id") -> None:
+        super().__init__()
+        self.train = train
+        self._set(neighbours=k, idCol=id_column)
+
+    @property
+    def k(self) -> int:
+        return self.getOrDefault(self.neighbours)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        """Adds probability (share of class 1 among the neighbours) and prediction."""
+        name = self.getOrDefault(self.idCol)
+
+        def arrays(d: DataFrame) -> DataFrame:
+            return d.select(F.col(name).alias("id"), vector_to_array("features").alias("features"))
+
+        pairs = nearest(arrays(dataset), arrays(self.train), self.k)
+        known = self.train.select(F.col(name).alias("neighbour"), F.col("label").alias("_l"))
+        share = pairs.join(known, "neighbour").groupBy("id").agg(F.avg("_l").alias("probability"))
+        joined = dataset.join(share.withColumnRenamed("id", name), name, "left")
+        return _as_classifier(joined.withColumn("prediction", F.when(F.col("probability") > 0.5, 1).otherwise(0)))
+
+    def write(self) -> MLWriter:
+        return _NeighbourWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _NeighbourReader()
+
+
+class NeighbourClassifier(Tunable):
+    """Keeps the training table for ``NeighbourModel``."""
+
+    k = _param("k", "neighbours", TypeConverters.toInt)
+    idCol = _param("idCol", "id column", TypeConverters.toString)
+
+    def __init__(self, **values) -> None:
+        super().__init__(**{"k": 5, "idCol": "id", **values})
+
+    def _fit(self, dataset: DataFrame) -> NeighbourModel:
+        name = self.value("idCol")
+        return NeighbourModel(dataset.select(name, "features", "label"), self.value("k"), name)
+
+
+class _EnsembleWriter(MLWriter):
+    def __init__(self, model: EnsembleModel) -> None:
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        names = list(self.model.bases)
+        extra = {"bases": names, "meta": self.model.meta is not None}
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession, extraMetadata=extra)
+        for i, name in enumerate(names):
+            self.model.bases[name].model.write().save(f"{path}/bases/{i}")
+        if self.model.meta is not None:
+            self.model.meta.write().save(f"{path}/meta")
+
+
+class _EnsembleReader(MLReader):
+    def load(self, path: str) -> EnsembleModel:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        part = lambda name: DefaultParamsReader.loadParamsInstance(f"{path}/{name}", self.sparkSession)
+        bases = {name: Trained(name, part(f"bases/{i}")) for i, name in enumerate(metadata["bases"])}
+        model = EnsembleModel(bases, meta=part("meta") if metadata["meta"] else None)
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        return model
+
+
+class EnsembleModel(Model, MLWritable, MLReadable):
+    """Fitted models under their names, joined by a vote with weights or by a meta model over their probabilities."""
+
+    voting = _param("voting", "soft or hard", TypeConverters.toString)
+    weights = _param("weights", "weight of each model", TypeConverters.toListFloat)
+
+    def __init__(self, bases: dict[str, Trained], voting: str = "soft", weights: list[float] | None = None, meta: Model | None = None) -> None:
+        super().__init__()
+        self.bases, self.meta = bases, meta
+        self._set(voting=voting, weights=[float(w) for w in weights or [1.0] * len(bases)])
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        """Adds probability and prediction; the probabilities of the bases are dropped again."""
+        from lureline.operators import ensemble as E
+
+        columns = [f"p_{n}" for n in self.bases]
+        scored = with_probabilities(dataset, self.bases)
+        if self.meta is not None:
+            out = E.apply_meta(self.meta, scored, columns)
+        else:
+            out = E.vote(scored, columns, self.getOrDefault(self.voting), self.getOrDefault(self.weights))
+        return _as_classifier(out.drop(*columns))
+
+    def write(self) -> MLWriter:
+        return _EnsembleWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _EnsembleReader()
+
+
+def ensemble(bases: dict[str, Trained], voting: str = "soft", weights: list[float] | None = None, meta: Model | None = None,
+             name: str = "ensemble") -> Trained:
+    """An ensemble as a model of its own, which is scored, evaluated and saved like any other."""
+    if not bases:
+        raise ValueError("an ensemble needs at least one model")
+    return Trained(name, EnsembleModel(bases, voting, weights, meta))
+
+
 # ---- the model catalogue ------------------------------------------------------------------------------------
 
 Factory = Callable[..., Estimator]
@@ -124,16 +354,16 @@ def _logistic(seed: int, n: int, **o) -> Estimator:
     return C.LogisticRegression(weightCol="weight", **{"maxIter": 1000, "regParam": 1.0 / n, "standardization": False, **o})
 
 
-def _svm_linear(seed: int, n: int, **o) -> Estimator:
-    return CalibratedSVC(seed=seed, **o)
+def _svm_linear(seed: int, n: int, max_iter: int | None = None, **o) -> Estimator:
+    return CalibratedSVC(seed=seed, **{"maxIter": max_iter or 100, **o})
 
 
-def _svm_rbf(seed: int, n: int, size: int = 256, **o) -> Estimator:
-    return Pipeline(stages=[KernelWidth(size=size, seed=seed), CalibratedSVC(features="fourier", seed=seed, **o)])
+def _svm_rbf(seed: int, n: int, max_iter: int | None = None, **o) -> Estimator:
+    return KernelSVC(seed=seed, **{"maxIter": max_iter or 100, **o})
 
 
 def _forest(seed: int, n: int, **o) -> Estimator:
-    return C.RandomForestClassifier(weightCol="weight", seed=seed, **{"numTrees": 100, "maxDepth": MAX_DEPTH, **o})
+    return SplitForest(seed=seed, **o)
 
 
 def _boosting(seed: int, n: int, **o) -> Estimator:
@@ -141,12 +371,15 @@ def _boosting(seed: int, n: int, **o) -> Estimator:
 
 
 def _bayes(seed: int, n: int, **o) -> Estimator:
-    bayes = C.NaiveBayes(featuresCol="absolute", **{"smoothing": 1.0, "modelType": "multinomial", **o})
-    return Pipeline(stages=[AbsoluteFeatures(), bayes])
+    return AbsoluteBayes(**o)
 
 
 def _tree(seed: int, n: int, **o) -> Estimator:
-    return C.DecisionTreeClassifier(weightCol="weight", seed=seed, **{"maxDepth": MAX_DEPTH, **o})
+    return SplitTree(seed=seed, **o)
+
+
+def _neighbours(seed: int, n: int, **o) -> Estimator:
+    return NeighbourClassifier(**o)
 
 
 def _dense_net(seed: int, n: int, inputs: int = 48, hidden: tuple[int, ...] = (256, 128, 64), **o) -> Estimator:
@@ -156,29 +389,12 @@ def _dense_net(seed: int, n: int, inputs: int = 48, hidden: tuple[int, ...] = (2
 MODELS: dict[str, Factory] = {
     "logistic_regression": _logistic, "svm_linear": _svm_linear, "svm_rbf": _svm_rbf, "random_forest": _forest,
     "gradient_boosting": _boosting, "naive_bayes": _bayes, "decision_tree": _tree, "dense_net": _dense_net,
+    "knn": _neighbours,
 }
 # settings of the tuned forest and its search grid
 TUNED_FOREST = {"numTrees": 300, "maxDepth": 25}
-FOREST_GRID = {"numTrees": [100, 200, 300], "maxDepth": [15, 20, 25, MAX_DEPTH], "minInstancesPerNode": [1, 2, 4]}
-
-
-@dataclass
-class NeighbourModel:
-    """k nearest neighbours; the training table is the model."""
-
-    train: DataFrame
-    k: int = 5
-
-    def score(self, df: DataFrame, id_column: str = "id") -> DataFrame:
-        """Adds probability (share of class 1 among the neighbours) and prediction."""
-        def arrays(d: DataFrame) -> DataFrame:
-            return d.select(F.col(id_column).alias("id"), vector_to_array("features").alias("features"))
-
-        pairs = nearest(arrays(df), arrays(self.train), self.k)
-        known = self.train.select(F.col(id_column).alias("neighbour"), F.col("label").alias("_l"))
-        share = pairs.join(known, "neighbour").groupBy("id").agg(F.avg("_l").alias("probability"))
-        joined = df.join(share.withColumnRenamed("id", id_column), id_column, "left")
-        return joined.withColumn("prediction", F.when(F.col("probability") > 0.5, 1).otherwise(0))
+FOREST_GRID = {"numTrees": [100, 200, 300], "maxDepth": [15, 20, 25, MAX_DEPTH], "minSamplesSplit": [2, 5, 10],
+               "minInstancesPerNode": [1, 2, 4]}
 
 
 @dataclass
@@ -186,7 +402,7 @@ class Trained:
     """A fitted model under its catalogue name."""
 
     name: str
-    model: PipelineModel | Model | NeighbourModel
+    model: PipelineModel | Model
     scores: DataFrame | None = None
     settings: dict = field(default_factory=dict)
 
@@ -195,10 +411,6 @@ class Trained:
 
         Models without a probability give 0 or 1.
         """
-        if isinstance(self.model, NeighbourModel):
-            out = self.model.score(df.drop("probability", "prediction"))
-            return self._restore(df, out.withColumns({"_p": F.col("probability"), "_y": F.col("prediction")}),
-                                 probability, prediction)
         out = self.model.transform(df.drop("probability", "prediction", "rawPrediction"))
         p = vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction")
         return self._restore(df, out.withColumns({"_p": p, "_y": F.col("prediction").cast("int")}), probability, prediction)
@@ -254,7 +466,7 @@ def train_all(train: DataFrame, validation: DataFrame | None = None, settings: d
               seed: int = 42) -> tuple[dict[str, Trained], dict[str, str]]:
     """Train the named models; a model that fails is reported in the second result and skipped."""
     done, failed = {}, {}
-    for name, options in (settings or {n: {} for n in [*MODELS, "knn"]}).items():
+    for name, options in (settings or {n: {} for n in MODELS}).items():
         try:
             done[name] = train_model(name, train, validation, seed, **options)
         except Exception as e:  # one model must not end the others
@@ -316,17 +528,30 @@ def cross_validate(name: str, df: DataFrame, k: int = 5, strategy: str = "strati
 
     Each fold leaves ten numbers on the driver.
     """
-    folds = P.assign_folds(df, id_column, "label", k, seed, strategy).persist(StorageLevel.MEMORY_AND_DISK)
-    spark, rows = df.sparkSession, []
-    for f in range(k):
+    folds = _folds(df, id_column, k, seed, strategy)
+    spark = df.sparkSession
+
+    def one(f: int) -> list[tuple]:
         train, test = folds.filter(F.col("fold") != f), folds.filter(F.col("fold") == f)
         trained = fit(name, train, seed, **settings)
-        for split, part in (("train", train), ("test", test)):
-            rows += [(name, f, split, metric, float(v)) for metric, v in _all_scores(trained, part).items() if v is not None]
-    folds.unpersist()
+        return [(name, f, split, metric, float(v)) for split, part in (("train", train), ("test", test))
+                for metric, v in _all_scores(trained, part).items() if v is not None]
+
+    rows = [row for found in _parallel(one, range(k)) for row in found]
     return spark.createDataFrame(rows, "model string, fold int, split string, metric string, value double")
 
 
+def _folds(df: DataFrame, id_column: str, k: int, seed: int, strategy: str = "stratified") -> DataFrame:
+    """Rows with their fold, written once and read by every fit."""
+    return materialise(P.assign_folds(df, id_column, "label", k, seed, strategy), "folds")
+
+
+def _parallel(function: Callable, items) -> list:
+    """Fits of different folds side by side; each is a handful of Spark jobs."""
+    with ThreadPool(PARALLEL_FITS) as pool:
+        return pool.map(inheritable_thread_target(function), list(items))
+
+
 def cross_validate_all(df: DataFrame, settings: dict[str, dict], k: int = 5, seed: int = 42) -> tuple[DataFrame, dict[str, str]]:
     """Fold scores of several models; a model that fails is reported and skipped."""
     out, failed = None, {}
@@ -373,16 +598,19 @@ def learning_curve(name: str, df: DataFrame, k: int = 5, sizes: list[float] | No
                    id_column: str = "id", **settings) -> DataFrame:
     """(size, split, mean, std) of F1 when only the first share of each training part is used."""
     sizes = sizes or [i / 10 for i in range(1, 11)]
-    folds = P.assign_folds(df, id_column, "label", k, seed)
-    rows = []
-    for f in range(k):
-        train, test = folds.filter(F.col("fold") != f), folds.filter(F.col("fold") == f)
-        ranked = hash_rank(train, id_column, ["label"], f"{seed}-curve", "_rank", "_n")
-        for size in sizes:
-            part = ranked.filter(F.col("_rank") <= F.ceil(F.col("_n") * size)).drop("_rank", "_n")
-            trained = fit(name, part, seed, **settings)
-            for split, rows_of in (("train", part), ("test", test)):
-                rows.append((float(size), split, f, evaluate(trained, rows_of, split).first()["f1"]))
+    folds = _folds(df, id_column, k, seed)
+    # a row's rank within its class among the training rows of every fold that it trains, written once
+    trains = folds.withColumn("_f", F.explode(F.array(*[F.lit(f) for f in range(k)]))).filter(F.col("_f") != F.col("fold"))
+    ranked = materialise(hash_rank(trains, id_column, ["_f", "label"], f"{seed}-curve", "_rank", "_n"), "curve-ranks")
+
+    def one(point: tuple[int, float]) -> list[tuple]:
+        f, size = point
+        part = ranked.filter((F.col("_f") == f) & (F.col("_rank") <= F.ceil(F.col("_n") * size))).drop("_rank", "_n", "_f")
+        trained = fit(name, part, seed, **settings)
+        return [(float(size), split, f, evaluate(trained, rows_of, split).first()["f1"])
+                for split, rows_of in (("train", part), ("test", folds.filter(F.col("fold") == f)))]
+
+    rows = [row for found in _parallel(one, [(f, size) for f in range(k) for size in sizes]) for row in found]
     scores = df.sparkSession.createDataFrame(rows, "size double, split string, fold int, value double")
     return M.fold_summary(scores, ["size", "split"]).drop("folds")
 
@@ -392,12 +620,14 @@ def learning_curve(name: str, df: DataFrame, k: int = 5, sizes: list[float] | No
 
 def out_of_fold(df: DataFrame, settings: dict[str, dict], k: int = 5, seed: int = 42, id_column: str = "id") -> DataFrame:
     """Rows with ``p_<name>`` from models that did not see them."""
-    folds = P.assign_folds(df, id_column, "label", k, seed)
-    out = None
-    for f in range(k):
+    folds = _folds(df, id_column, k, seed)
+
+    def one(f: int) -> DataFrame:
         train, rest = folds.filter(F.col("fold") != f), folds.filter(F.col("fold") == f)
-        models = {n: fit(n, train, seed, **o) for n, o in settings.items()}
-        part = with_probabilities(rest, models)
+        return with_probabilities(rest, {n: fit(n, train, seed, **o) for n, o in settings.items()})
+
+    out = None
+    for part in _parallel(one, range(k)):
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -406,14 +636,11 @@ def save(trained: Trained, path: str) -> None:
     """Model and score table by the ML and parquet writers."""
     from lureline.sources.sinks import save_model
 
-    if isinstance(trained.model, NeighbourModel):
-        trained.model.train.write.mode("errorifexists").parquet(f"{path}/train")
-    else:
-        save_model(trained.model, trained.scores, path)
+    save_model(trained.model, trained.scores, path)
 
 
-def load(spark: SparkSession, name: str, path: str, kind: type = PipelineModel) -> Trained:
-    """A saved model; ``kind`` is the class that was saved."""
-    if name == "knn":
-        return Trained(name, NeighbourModel(spark.read.parquet(f"{path}/train")))
+def load(spark: SparkSession, name: str, path: str, kind: type | None = None) -> Trained:
+    """A saved model. ``kind`` is the class that was saved; without it the saved metadata say which."""
+    if kind is None:
+        return Trained(name, DefaultParamsReader.loadParamsInstance(f"{path}/model", spark))
     return Trained(name, kind.load(f"{path}/model"))

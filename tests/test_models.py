@@ -61,3 +61,49 @@ def test_cross_validation_and_search(spark, rows):
         M.tune("decision_tree", rows, {"maxDepth": [2]}, search="other")
     best, scores = M.tune("decision_tree", rows, {"maxDepth": [1, 3]}, 2)
     assert scores.count() == 2 and best.settings["maxDepth"] in (1, 3)
+
+
+def test_wrapped_models_are_tuned(spark, rows):
+    grids = {"svm_linear": {"regParam": [0.01, 10.0], "maxIter": [5]}, "svm_rbf": {"gamma": [0.05], "size": [16, 32], "maxIter": [5]},
+             "naive_bayes": {"smoothing": [0.1, 2.0]}, "knn": {"k": [1, 7]}, "decision_tree": {"minSamplesSplit": [2, 120]}}
+    for name, grid in grids.items():
+        best, scores = M.tune(name, rows, grid, 2)
+        points = scores.collect()
+        assert len(points) == 2 and all(0 <= r.f1 <= 1 for r in points), name
+        assert best.settings.keys() == grid.keys() and best.score(rows).where("prediction IS NULL").count() == 0
+    assert len(M.FOREST_GRID) == 4 and np.prod([len(v) for v in M.FOREST_GRID.values()]) == 108
+
+
+def test_split_size_bounds_what_is_split(spark, rows):
+    free, bound = (M.fit("decision_tree", rows, minSamplesSplit=n).model for n in (2, 200))
+    assert free.numNodes > 1 and bound.numNodes == 1  # no part of 160 rows has 100 beside another one
+
+
+def test_ensembles_and_neighbours_are_saved(spark, rows):
+    from lureline.operators import ensemble as E
+
+    bases = {"naive_bayes": M.fit("naive_bayes", rows), "svm_rbf": M.fit("svm_rbf", rows, size=16, max_iter=5), "knn": M.fit("knn", rows, k=3)}
+    meta = E.blend(M.with_probabilities(rows, bases), [f"p_{n}" for n in bases])
+    made = {"soft": M.ensemble(bases, weights=[1, 2, 0.5]), "hard": M.ensemble(bases, "hard"), "stacking": M.ensemble(bases, meta=meta),
+            "knn": M.fit("knn", rows, k=7)}
+    for name, trained in made.items():
+        path = new_path(spark, "saved")
+        M.save(trained, path)
+        back = M.load(spark, name, path)
+        a, b = ({r.id: (r.probability, r.prediction) for r in t.score(rows).collect()} for t in (trained, back))
+        assert a == b and len(a) == 160, name
+    assert back.model.k == 7
+    columns = [f"p_{n}" for n in bases]
+    plain = E.vote(M.with_probabilities(rows, bases), columns, "soft", [1, 2, 0.5])
+    assert {r.id: r.probability for r in plain.collect()} == {r.id: r.probability for r in made["soft"].score(rows).collect()}
+    with pytest.raises(ValueError):
+        M.ensemble({})
+
+
+def test_curve_and_stacking_share_their_folds(spark, rows):
+    curve = M.learning_curve("naive_bayes", rows, 2, [0.3, 1.0]).collect()
+    assert sorted((r.size, r.split) for r in curve) == [(0.3, "test"), (0.3, "train"), (1.0, "test"), (1.0, "train")]
+    whole = M.cross_validate("naive_bayes", rows, 2).where("metric = 'f1'").groupBy("split").avg("value").collect()
+    assert {r[0]: round(r[1], 9) for r in whole} == {r.split: round(r.mean, 9) for r in curve if r.size == 1.0}
+    out = M.out_of_fold(rows, {"naive_bayes": {}}, 4)
+    assert out.count() == 160 and out.where("p_naive_bayes IS NULL").count() == 0
