@@ -20,8 +20,7 @@ from pyspark.sql import types as T
 
 from lureline.llm.common import documents, join_on, map_arrow, materialise, narrow, slices
 
-MIN_DOCUMENTS = 20     # a line in at most this many documents of a host stays
-MAX_SHARE = 0.10       # and so does one in at most this share of the host's documents
+MAX_DOCUMENTS = 20     # a line in more distinct documents of a host is removed, however large the host is
 MIN_LEFT = 0.30        # a document must keep this share of its words
 MIN_WORDS = 10
 MAX_REPEATED = 20      # percent of words in repeated windows
@@ -91,13 +90,11 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              ["doc_id", "host", *[n for n, _ in MEASURES]])
 
 
-def common_lines(measured: DataFrame, min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE) -> DataFrame:
+def common_lines(measured: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """host and line of every line that too many distinct documents of the host hold."""
-    texts = measured.select("host", "text_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("documents"))
     held = measured.select("host", "text_hash", F.explode("lines").alias("line")).distinct()
-    counts = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("holders")).where(F.col("holders") > min_documents)
-    both = join_on(counts, texts, ["host"])
-    return both.where(F.col("holders") > max_share * F.col("documents")).select("host", "line")
+    counts = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("holders"))
+    return counts.where(F.col("holders") > max_documents).select("host", "line")
 
 
 def measure(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
@@ -109,7 +106,7 @@ def measure(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
 
 def verdicts(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source",
-             min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+             max_documents: int = MAX_DOCUMENTS, min_left: float = MIN_LEFT) -> DataFrame:
     """One row per row of ``df``: counts, words in removed lines, ``base_failed`` and ``kept``.
 
     A null text has no words and fails the base rules; null hosts are one host. Repeated rows give
@@ -117,7 +114,7 @@ def verdicts(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     """
     base = measure(df, id_column, text_column, host_column)
     key = ["doc_id", "host", "text_hash"]
-    common = common_lines(base, min_documents, max_share)
+    common = common_lines(base, max_documents)
     rows = base.select(*key, F.explode(F.arrays_zip("lines", "line_words")).alias("_l"))
     rows = rows.select(*key, F.col("_l.lines").alias("line"), F.col("_l.line_words").alias("words"))
     hit = join_on(rows, common, ["host", "line"], "left_semi")
@@ -151,11 +148,9 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
  r AS (SELECT doc_id, count(*) FILTER (WHERE covered) AS n_repeat_words FROM c GROUP BY doc_id),
  l AS (SELECT doc_id, source, t, unnest(list_transform(ls, lambda l: array_to_string(regexp_extract_all(translate(l,
    'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '{_WORD}'), ' '))) AS line FROM b),
- h AS (SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY source),
- x AS (SELECT l.source, line FROM l JOIN h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, line, docs
-   HAVING count(DISTINCT t) > greatest({MIN_DOCUMENTS}, {MAX_SHARE} * docs)),
- q AS (SELECT doc_id, sum(len(string_split(line, ' '))) AS gone FROM l
-   JOIN x USING (source, line) GROUP BY doc_id)
+ x AS (SELECT source, line FROM l GROUP BY source, line HAVING count(DISTINCT t) > {MAX_DOCUMENTS}),
+ q AS (SELECT doc_id, sum(len(string_split(l.line, ' '))) AS gone FROM l
+   JOIN x ON l.source IS NOT DISTINCT FROM x.source AND l.line = x.line GROUP BY doc_id)
 SELECT b.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
  length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
  coalesce(n_repeat_words, 0) AS n_repeat_words,

@@ -304,6 +304,23 @@ def test_line_rules(edge, empty, spark):
     assert all(out[100 + k].kept for k in range(40))  # exact copies are one document
 
 
+def test_line_limit_is_absolute_and_null_hosts_are_one(spark):
+    """A line in 99 of 1,000 texts of a host goes from all of them; operator and check SQL agree where hosts are null."""
+    import duckdb
+
+    line = "this very line is printed at the foot of nearly every page here"
+    rows = [(k, prose(k, 30) + ("\n" + line if k < 99 else ""), "big") for k in range(1000)]
+    rows += [(1000 + k, f"{line}\n{prose(k, 40)}", None) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {tuple(r) for r in line_rules.verdicts(df).collect()}
+    removed = {r[0]: r[8] for r in got}
+    assert all(removed[k] == (13 if k < 99 or k >= 1000 else 0) for k in range(1060))
+    con = duckdb.connect()
+    documents = df.toPandas()  # noqa: F841
+    con.register("documents", documents)
+    assert {tuple(r) for r in con.sql(line_rules.SQL["op10_line_frequency"]).fetchall()} == got
+
+
 def test_pipeline_stages(spark, edge, empty):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "simhash_near_dedup", "suffix_dedup", "source_mix", "byte_bpe"]
     documents = spark.read.parquet(f"{SF}/documents.parquet")
