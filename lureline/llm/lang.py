@@ -23,9 +23,9 @@ from pyspark.sql import types as T
 
 from lureline.llm import hashed
 from lureline.llm.common import documents, flat_text, map_arrow, materialise, narrow, slices
+from lureline.shared import lookup_join
 
 PER_LANGUAGE = 1200   # expected training rows of one language
-MAX_LANGUAGES = 200
 SLOPE = 2.0           # of the logistic curve from margin to score
 # Families of common language codes; another code is a family of its own.
 FAMILIES = {
@@ -79,16 +79,11 @@ def _vector(slots, values):
 
 def training_rows(labelled: DataFrame, per_language: int) -> tuple[DataFrame, list[str]]:
     """Vectors of a repeatable sample by a hash of the id, about ``per_language`` rows for each language."""
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-              .limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages; raise MAX_LANGUAGES if that is meant")
-    if not counts:
+    counts = materialise(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")), "lid-languages")
+    if counts.isEmpty():
         return labelled, []
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, per_language / n)]),
-                         F.col("lang"))
     unit = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = labelled.where(unit < share).select("lang", "text")
+    sample = lookup_join(labelled, counts, "lang", "doc_id").where(unit < per_language / F.col("_n")).select("lang", "text")
     rows = materialise(map_arrow(sample, _features, "lang string, slots array<int>, values array<double>"), "lid-sample")
     found = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     return rows.select("lang", _vector("slots", "values").alias("features")), found

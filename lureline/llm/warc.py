@@ -26,6 +26,7 @@ SHORT = 1000                  # payloads below this many bytes are always stored
 ARCHIVE_BYTES = 8 << 20       # payload bytes after which an archive is closed
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_BYTES = 2 << 20        # of an archive's records that its dictionary is trained on, spread over all of them
+SAMPLE_RECORD_BYTES = 128 << 10  # of one such record; the trainer weighs records alike, however long; archives hold all of it
 # Fixed values of the file formats.
 DICTIONARY_MAGIC = 0x184D2A5D
 EMPTY_FRAME = struct.pack("<II", 0x184D2A50, 0)
@@ -55,7 +56,7 @@ def record(kind: str, page_id: int | None, url: str | None, digest: str, size: i
 def train(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
     """Dictionary of the archive's records, or none where they are too few or too alike to train on."""
     step = max(1, -(-sum(map(len, records)) // SAMPLE_BYTES))
-    samples = [r[:1 << 17] for r in records[::step]]
+    samples = [r[:SAMPLE_RECORD_BYTES] for r in records[::step]]
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, samples)) // 8), samples, k=256, d=8)
     except zstandard.ZstdError:
