@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -61,9 +62,24 @@ def query(u: Column) -> Column:
     return part(u, 4)
 
 
+def _delimiter_look_alikes() -> str:
+    """Characters whose compatibility form holds a delimiter of the authority."""
+    found = [c for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x20000)])
+             if set("/?#@:") & set(unicodedata.normalize("NFKC", c))]
+    return "[" + "".join(found) + "]"
+
+
+LOOK_ALIKES = _delimiter_look_alikes()
+BRACKETED = rf"^[^\[]*\[(?:v[0-9A-Fa-f]+\.[^\]]+|{_ipv6()})(?:\].*)?$"
+
+
 def parses(host: Column) -> Column:
-    """False for an authority with an unbalanced bracket, the one input that cannot be parsed."""
-    return F.contains(host, F.lit("[")) == F.contains(host, F.lit("]"))
+    """False for an authority that cannot be parsed.
+
+    Brackets come as a pair and hold an IP literal, and no character may stand for a delimiter.
+    """
+    opened, closed = F.contains(host, F.lit("[")), F.contains(host, F.lit("]"))
+    return (opened == closed) & (~opened | host.rlike(BRACKETED)) & ~host.rlike(LOOK_ALIKES)
 
 
 def hostname(host: Column) -> Column:
@@ -103,7 +119,7 @@ def query_components(q: Column) -> Column:
 
     def name(p: Column) -> Column:
         raw = F.regexp_extract(p, r"(?s)^([^=]*)=", 1)
-        return F.coalesce(F.try_url_decode(raw), F.replace(raw, F.lit("+"), F.lit(" ")))
+        return F.try_url_decode(F.regexp_replace(raw, "%(?![0-9A-Fa-f]{2})", "%25"))  # what is no escape stays
 
     return F.size(F.array_distinct(F.transform(pairs, name)))
 

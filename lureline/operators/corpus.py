@@ -53,15 +53,13 @@ def union(corpora: list[DataFrame | None]) -> DataFrame:
 def keep_first(df: DataFrame) -> DataFrame:
     """One row per text: the first in corpus order, then row order. Null texts are equal.
 
-    Minima are taken per digest of the text and combine on the map side, so a text with a third of all
-    rows reaches the shuffle as one row per task. Texts then move once, by their place, which no two
-    rows share.
+    One aggregation over digests of the texts, which combines on the map side, so a text with a third of all rows
+    reaches the shuffle as one row per task. The input is evaluated once: row numbers that differ between two
+    evaluations, as those of a shuffled corpus may, cannot lose or double a row.
     """
-    digest = F.coalesce(F.sha2(F.col("text_combined").cast("binary"), 256), F.lit(""))
-    places = df.select(digest.alias("_digest"), F.struct("source_no", "row_no").alias("_place"))
-    first = places.groupBy("_digest").agg(F.min("_place").alias("_place")).select("_place.source_no", "_place.row_no")
-    return df.join(first, ["source_no", "row_no"], "left_semi").select(
-        "text_combined", "label", "source", "source_no", "row_no")
+    digest = F.coalesce(F.sha2(F.col("text_combined").cast("binary"), 256), F.lit("")).alias("_digest")
+    row = F.struct("text_combined", "label", "source", "source_no", "row_no")
+    return df.groupBy(digest).agg(F.min_by(row, F.struct("source_no", "row_no")).alias("r")).select("r.*")
 
 
 def combine(corpora: list[DataFrame | None]) -> DataFrame:

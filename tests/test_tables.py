@@ -26,6 +26,12 @@ def test_keep_first_with_a_hot_text(spark):
     df = spark.createDataFrame(rows, "text_combined string, label int, source string, source_no int, row_no bigint")
     got = {r.text_combined: (r.label, r.source_no, r.row_no) for r in C.keep_first(df.repartition(5)).collect()}
     assert got == {"hot": (0, 0, 0), None: (0, 1, 9), "b": (None, 0, 5)}
+    # default row numbers over a shuffled corpus: each text once, whatever the numbers are
+    shuffled = spark.range(2000).select(F.concat(F.lit("t"), F.col("id") % 700).alias("text"), F.lit(1).alias("label")).repartition(7)
+    kept = C.keep_first(C.union([C.unify(shuffled, "x", 0), C.unify(shuffled, "y", 1)]))
+    assert sorted(r.text_combined for r in kept.collect()) == sorted(f"t{i}" for i in range(700))
+    assert {r.source for r in kept.collect()} == {"x"}
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
 
 
 def test_clean_keeps_null_text_unless_asked(spark):

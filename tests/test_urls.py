@@ -61,11 +61,26 @@ def test_parts_equal_python(spark):
 
 
 def test_query_components_equal_python(spark):
-    queries = ["a=1&a=2&b=", "a", "", "a=b=c&d=", "%41=1&A=2", "a+b=1&a%20b=2", "&&x=1", "x=1;y=2", "=1&=2"]
+    queries = ["a=1&a=2&b=", "a", "", "a=b=c&d=", "%41=1&A=2", "a+b=1&a%20b=2", "&&x=1", "x=1;y=2", "=1&=2",
+               "a%41%zz=1&aA%zz=2", "%=1&%25=2", "%4=1&%4%34=2", "%%41=1&%A=2", "%c3%a9=1&\u00e9=2"]
     for r in rows(spark, queries, n=U.query_components):
         assert r.n == len(parse_qs(r.v)), r.v
 
 
+def test_authorities_that_cannot_be_parsed_equal_python(spark):
+    hosts = ["a.com", "[bad]", "[::1]", "[::1]:80", "u@[::1]:80", "[::1]x", "x[::1]", "[v1.a]", "[v1.]", "[vx.a]", "[1.2.3.4]", "[", "]", "][",
+             "[::1", "u[]@a.com", "a\u2100b.com", "a\uff0fb.com", "\u00e9.com", "a\uff1ab", "\uff20", "b\u00fccher.de", "[fe80::1%25eth0]", ""]
+
+    def fine(h):
+        try:
+            urlparse(f"http://{h}/x")
+            return True
+        except ValueError:
+            return False
+
+    assert {r.v: r.x for r in rows(spark, hosts, x=U.parses)} == {h: fine(h) for h in hosts}
+
+
 def test_ip_literals_equal_python(spark):
     texts = ["1.2.3.4", "01.2.3.4", "256.1.1.1", "1.2.3", "::", "::1", "1::", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::",
              "::2:3:4:5:6:7:8", "1::3:4:5:6:7:8", "1:2:3:4:5:6:7", "1::2::3", "::ffff:1.2.3.4", "1:2:3:4:5:6:1.2.3.4",
@@ -83,13 +98,13 @@ def test_ip_literals_equal_python(spark):
 
 def test_whole_vector(spark):
     cases = ["https://www.google.com", "http://paypa1-verify.suspicious.com/login", "", "not-a-url", "://invalid",
-             "ht tp://broken.com", "http://[bad", "HTTPS://x.com"]
+             "ht tp://broken.com", "http://[bad", "HTTPS://x.com", "http://[bad]/x", "http://a\u2100b.com/x"]
     df = spark.createDataFrame([(c,) for c in cases], "url string")
     got = {r.url: r.features for r in P.feature_vector(df, "url", None).collect()}
     assert all(len(v) == 48 for v in got.values())
     assert got[cases[0]][14] == 0 and got[cases[0]][25] == 0
     assert got[cases[1]][14] == 1 and got[cases[1]][25] == 1 and got[cases[1]][1] > 0
-    assert got["http://[bad"] == [0.0] * 48
+    assert all(got[u] == [0.0] * 48 for u in ("http://[bad", "http://[bad]/x", "http://a\u2100b.com/x"))
     assert got["HTTPS://x.com"][14] == 1
     assert len(V.FEATURE_NAMES) == len(set(V.FEATURE_NAMES)) == 48
 
