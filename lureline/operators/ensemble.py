@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Model
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -68,23 +71,30 @@ def weight_draws(n_trials: int, n_models: int, seed: int = 42) -> list[list[floa
 def score_draws(df: DataFrame, probabilities: list[str], label: str, draws: list[list[float]]) -> DataFrame:
     """Confusion counts and F1 per weight draw, all draws in one pass over the data.
 
-    The draws are a constant array inside each row, so the only shuffle carries one partial count
-    per draw and task.
+    A task weighs its rows by every draw and hands on three counts for each; no row is repeated. Rows without a
+    label, or without one of the probabilities, count nowhere.
     """
-    table = F.array(*[F.struct(F.lit(i).alias("trial"), F.array(*[F.lit(w) for w in ws]).alias("weights"))
-                      for i, ws in enumerate(draws)])
-    rows = df.select(label, *probabilities, F.explode(table).alias("d"))
-    total = None
-    for i, p in enumerate(probabilities):
-        term = F.col(p) * F.col("d.weights")[i]
-        total = term if total is None else total + term
-    hit, y = total > 0.5, F.col(label)
-    counts = rows.groupBy(F.col("d.trial").alias("trial"), F.col("d.weights").alias("weights")).agg(
-        F.count(F.when(hit & (y == 1), 1)).alias("tp"), F.count(F.when(hit & (y == 0), 1)).alias("fp"),
-        F.count(F.when(~hit & (y == 1), 1)).alias("fn"))
+    table = np.array(draws, dtype=float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((3, len(table)), np.int64)
+        for batch in batches:
+            y = batch.column("y").to_numpy(zero_copy_only=False)
+            score = np.zeros((batch.num_rows, len(table)))
+            for k in range(len(probabilities)):  # term by term, as a sum of columns would be
+                term = batch.column(f"p{k}").to_numpy(zero_copy_only=False)[:, None] * table[None, :, k]
+                score = term if k == 0 else score + term
+            hit, known = score > 0.5, ~np.isnan(score)
+            one, zero = (y == 1)[:, None], (y == 0)[:, None]
+            total += np.stack([(hit & one).sum(0), (hit & zero).sum(0), (~hit & known & one).sum(0)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(table)), pa.int32()), *map(pa.array, total)], ["trial", "tp", "fp", "fn"])
+
+    rows = df.select(F.col(label).cast("double").alias("y"), *[F.col(p).cast("double").alias(f"p{k}") for k, p in enumerate(probabilities)])
+    counts = rows.mapInArrow(run, "trial int, tp long, fp long, fn long").groupBy("trial").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    weights = F.array(*[F.array(*[F.lit(w) for w in ws]) for ws in draws])
     tp = F.col("tp")
     f1 = F.coalesce(F.try_divide((2 * tp).cast("double"), (2 * tp + F.col("fp") + F.col("fn")).cast("double")), F.lit(0.0))
-    return counts.withColumn("f1", f1)
+    return counts.select("trial", F.get(weights, F.col("trial")).alias("weights"), "tp", "fp", "fn", f1.alias("f1"))
 
 
 def best_weights(df: DataFrame, probabilities: list[str], label: str, n_trials: int = 100, seed: int = 42) -> DataFrame:
