@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 from lureline.functions import text as T
 from lureline.operators.neighbors import nearest
 from lureline.operators.ranking import hash_rank
-from lureline.shared import BROADCAST_ROWS, lookup_join
+from lureline.shared import BROADCAST_ROWS, lookup_join, materialise
 
 MAX_CLASSES = 10_000
 
@@ -114,14 +117,38 @@ def ngrams(cleaned: Column, stop_words: list[str], low: int = 1, high: int = 3)
     return F.concat(*out)
 
 
+TERM_ROWS = 200_000  # distinct terms that a task holds before it hands their counts on
+
+
 def term_statistics(df: DataFrame, cleaned: str, stop_words: list[str], low: int = 1, high: int = 3) -> DataFrame:
-    """(term, tf, df) in one map-side combined aggregation."""
+    """(term, tf, df): uses of each n-gram and documents that hold it.
+
+    A task counts the terms of many documents before anything is shuffled, one entry for a (document, term).
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uses: Counter = Counter()
+        docs: Counter = Counter()
+
+        def rows() -> pa.RecordBatch:
+            terms = list(uses)
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(terms, pa.string()), pa.array([uses[t] for t in terms], pa.int64()), pa.array([docs[t] for t in terms], pa.int64())],
+                ["term", "tf", "df"])
+            uses.clear()
+            docs.clear()
+            return out
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 100):  # few documents at a time as Python strings
+                for grams in batch.column("g").slice(start, 100).to_pylist():
+                    uses.update(grams or ())
+                    docs.update(set(grams or ()))
+                if len(uses) > TERM_ROWS:
+                    yield rows()
+        yield rows()
+
     grams = df.select(ngrams(F.col(cleaned), stop_words, low, high).alias("g"))
-    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    uses = F.transform("g", lambda t: F.struct(t.alias("term"), one.alias("tf"), zero.alias("df")))
-    docs = F.transform(F.array_distinct("g"), lambda t: F.struct(t.alias("term"), zero.alias("tf"), one.alias("df")))
-    rows = grams.select(F.explode(F.concat(uses, docs)).alias("s")).select("s.*")
-    return rows.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+    return grams.mapInArrow(run, "term string, tf long, df long").groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
 
 def tfidf_vocabulary(df: DataFrame, cleaned: str, stop_words: list[str], max_features: int = 5000,
@@ -209,7 +236,7 @@ def encode_tokens(df: DataFrame, id_column: str, text: str, vocabulary: DataFram
     """
     cut = df.select(id_column, F.slice(tokens(F.col(text)), 1, max_length).alias("w"))
     words = cut.select(id_column, F.posexplode_outer("w").alias("pos", "word"))
-    coded = lookup_join(words, vocabulary, "word", id_column)
+    coded = lookup_join(words, materialise(vocabulary, "vocabulary"), "word", id_column)
     item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("word_id", F.lit(OOV)).alias("v")))
     ids = F.transform(F.array_sort(F.collect_list(item)), lambda s: s["v"])
     padded = F.concat(F.col("ids"), F.array_repeat(F.lit(0), F.lit(max_length) - F.size("ids")))
