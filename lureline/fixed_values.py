@@ -223,3 +223,7 @@ THREAT_STEPS = [
     (0.2, "Minimal Threat"), (0.4, "Low Threat"), (0.6, "Moderate Threat"),
     (0.8, "High Threat"), (None, "Critical Threat"),
 ]
+# Patterns that decide what is taken for a link: in mails, and the parts of a host name in chat messages.
+MAIL_URL = r"https?://[a-zA-Z!$-_]+"
+HOST_LABEL = "[a-zA-Z0-9][-a-zA-Z0-9]{0,62}"
+TOP_LEVEL = "[a-zA-Z]{2,6}"

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from lureline import fixed_values as V
 from lureline.functions import text as T
 
-_LABEL = "[a-zA-Z0-9][-a-zA-Z0-9]{0,62}"
+_LABEL = V.HOST_LABEL
 # Bounded label count: an unbounded group recurses per label in Java's matcher.
-DOMAIN = rf"{_LABEL}(?:\.{_LABEL}){{0,500}}\.[a-zA-Z]{{2,6}}(?:/[^{T.SPACE}]*)?"  # with (?U)
+DOMAIN = rf"{_LABEL}(?:\.{_LABEL}){{0,500}}\.{V.TOP_LEVEL}(?:/[^{T.SPACE}]*)?"  # with (?U)
 
 
 def extract_urls(message: Column) -> Column:

@@ -15,7 +15,7 @@ from lureline import fixed_values as V
 
 # Unicode white space as a character class body; needs the (?U) flag, Java's plain \s is ASCII.
 SPACE = r"\s\x1c-\x1f"
-MAIL_URL = r"https?://[a-zA-Z!$-_]+"
+MAIL_URL = V.MAIL_URL
 # A whole white-space delimited word with an @ inside. Starting at word starts and never giving
 # characters back keeps the search linear on long words without an @.
 MAIL_ADDRESS = rf"(?U)(^|[{SPACE}])[^{SPACE}][^{SPACE}@]*+@[^{SPACE}]+"
