@@ -25,7 +25,7 @@ from lureline.llm.common import documents, map_arrow, narrow
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1566083941)
 SPAN = 32          # code points of the spans looked for between the common ends
-RANGE_ROWS = 4_000
+RANGE_ROWS = 2_000
 MAX_RANGES = 65_536  # bounds the range ends that the driver holds and broadcasts
 
 
@@ -207,7 +207,7 @@ def _range_of(column: Column, bounds: list[int]) -> Column:
 def fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Fingerprints of every row's text and of its edited text, and their likeness.
 
-    The next row is the one after it by descending id, then by descending text; null ids come last, and
+    Ids are integers. The next row is the one after it by descending id, then by descending text; null ids come last, and
     after the last row comes the first. A null text is empty. Repeated rows follow each other. A single row is its own
     next. An empty table gives no rows.
 
@@ -228,7 +228,8 @@ def fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
         F.struct("range", F.lit(False).alias("closing")),
         F.struct(F.col("closes").alias("range"), F.lit(True).alias("closing"))),
         lambda x: x["range"].isNotNull())).alias("_r")).select("doc_id", "text", "_r.range", "_r.closing")
-    ordered = dealt.repartition(len(bounds) + 1, "range").sortWithinPartitions(
+    # more partitions than ranges, so that few ranges meet in one
+    ordered = dealt.repartition(4 * (len(bounds) + 1), "range").sortWithinPartitions(
         "range", "closing", F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last())
     schema = T.StructType([rows.schema["doc_id"], *[T.StructField(*f) for f in FINGERPRINTS]])
     return map_arrow(ordered, _in_order, schema)

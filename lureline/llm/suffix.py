@@ -341,7 +341,7 @@ def _with_spans(df: DataFrame, length: int) -> DataFrame:
 def deduplicated(df: DataFrame, length: int = LENGTH) -> DataFrame:
     """n_bytes, n_removed, n_spans and kept_bytes next to doc_id and text, for every row of ``df``.
 
-    ``df`` has the columns doc_id and text; null texts are empty, null ids come after all others. Rows of
+    ``df`` has the columns doc_id, an integer, and text; null texts are empty, null ids come after all others. Rows of
     one id are ordered by a hash of their texts; rows equal in both are one document and get the same
     result, as its first occurrence. Bytes are cut where the spans end, also within a character.
     """
@@ -351,7 +351,7 @@ def deduplicated(df: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def shortened(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH) -> DataFrame:
-    """``df`` with its texts deduplicated, all columns and their order as before.
+    """``df`` with its texts deduplicated, all columns and their order as before. Ids are integers.
 
     Rows whose whole content repeats earlier, so that no word is left, are dropped; rows that were not
     touched stay as they are, null texts included. ``n_chars`` is the length of the text again, if there
