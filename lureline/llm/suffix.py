@@ -8,10 +8,14 @@ places, and
 1. anchors that occur once in the corpus are dropped: nothing around them can repeat;
 2. around each other anchor a text gives a region, the windows that belong to it; regions go to the
    shard of their anchor's hash, where all equal windows meet;
-3. a shard sorts the suffixes of its regions by induced sorting (``induced``), reads groups of equal
-   windows off the permuted common prefixes, and hands back all of a group but the earliest;
+3. of equal regions all but the earliest go whole; a shard sorts the suffixes of the distinct regions of
+   its anchors by induced sorting (``induced``), reads groups of equal windows off the permuted common
+   prefixes, and hands back all of a group but the earliest;
 4. spans of a text are united and cut out.
 
+A text is known by its id and a 64-bit hash of id and text, so two ids never share a result. Where hashes
+of two ids collide they exchange wanted anchors only, which adds regions that repeat nothing.
+
 Only hashes of anchors are counted over the whole corpus. The shuffle of the texts is one and the same
 for steps 2 and 4. Equal regions within a text are sent once with their places.
 """
@@ -22,7 +26,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -225,41 +230,89 @@ def repeated_windows(regions: list[bytes], length: int = LENGTH) -> list[list[tu
     return out
 
 
-SPANS = "_key long, low int, high int"
+SPANS = "ord long, _key long, low int, high int"
+
+
+def _span_rows(order: np.ndarray, key: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(order), pa.array(key), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))],
+                                      ["ord", "_key", "low", "high"])
+
+
+def _places(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All places in one array and the offsets of the rows."""
+    at = column.offsets.to_numpy()
+    return column.values.to_numpy()[at[0]:at[-1]].astype(np.int64), (at - at[0]).astype(np.int64)
+
+
+class _Heads:
+    """First occurrences of distinct regions, collected anchor by anchor until a suffix array is worth it.
+
+    The windows of one region hold their anchor at different places, so no two of them are equal. An anchor
+    with a single distinct region therefore repeats nothing but whole regions, and needs no suffix array.
+    """
+
+    def __init__(self, length: int) -> None:
+        self.length, self.size = length, 0
+        self.open: list[tuple[int, int, int, bytes]] = []     # of the anchor that may go on in the next batch
+        self.anchor: int | None = None
+        self.waiting: list[tuple[int, int, int, bytes]] = []  # of anchors with several distinct regions
+
+    def close(self) -> None:
+        if len(self.open) > 1:
+            self.waiting += self.open
+            self.size += sum(len(h[3]) for h in self.open)
+        self.open, self.anchor = [], None
+
+    def add(self, anchor: np.ndarray, heads: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        bounds = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])[:len(anchor)]).tolist() + [len(anchor)]
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            if int(anchor[a]) != self.anchor:
+                self.close()
+                if self.size >= SHARD_BYTES:
+                    yield self.solved()
+                self.anchor = int(anchor[a])
+            self.open += heads[a:b]
+
+    def solved(self) -> pa.RecordBatch:
+        heads = sorted(self.waiting, key=lambda h: h[:3])  # in the order of their first places
+        self.waiting, self.size = [], 0
+        found = [(o, k, place + a, place + b) for (o, k, place, _), spans in
+                 zip(heads, repeated_windows([h[3] for h in heads], self.length)) for a, b in spans]
+        return _span_rows(*np.array(found, np.int64).reshape(-1, 4).T)
 
 
 def _shards(length: int):
-    """Suffix arrays over runs of anchors; the rows of an anchor are neighbours."""
-    def solved(rows: dict[bytes, list[tuple[int, int, list[int]]]]) -> pa.RecordBatch:
-        keys, lows, highs = [], [], []
-        heads = {region: min((o, k, min(p)) for o, k, p in found) for region, found in rows.items()}
-        regions = sorted(rows, key=heads.__getitem__)  # in the order of their first places
-        for region, spans in zip(regions, repeated_windows(regions, length)):
-            for o, k, places in rows[region]:
-                for place in places:
-                    # a later copy of the region repeats all of it
-                    for a, b in spans if (o, k, place) == heads[region] else [(0, len(region))]:
-                        keys.append(k)
-                        lows.append(place + a)
-                        highs.append(place + b)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lows, pa.int32()), pa.array(highs, pa.int32())],
-                                          ["_key", "low", "high"])
+    """Spans to remove, from rows in the order of anchor, region, ord and key.
 
+    All of a run of equal regions but its first place go whole, as they stream by; what is kept in memory is
+    one row for each distinct region of the anchors of a shard, however often it occurs.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[bytes, list] = {}
-        size, last = 0, None
+        heads, last = _Heads(length), None  # last: anchor, region, ord and key of the run that goes on
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("anchor", "ord", "_key", "places", "region")]
-            for anchor, order, key, places, region in zip(*columns):
-                if anchor != last and size >= SHARD_BYTES:
-                    yield solved(rows)
-                    rows, size = {}, 0
-                last = anchor
-                found = rows.setdefault(region, [])
-                size += 0 if found else len(region)
-                found.append((order, key, places))
-        if rows:
-            yield solved(rows)
+            if not batch.num_rows:
+                continue
+            anchor, order, key = (batch.column(c).to_numpy() for c in ("anchor", "ord", "_key"))
+            region, (place, at) = batch.column("region"), _places(batch.column("places"))
+            fresh = np.ones(len(anchor), bool)
+            fresh[1:] = (anchor[1:] != anchor[:-1]) | np.asarray(pc.not_equal(region[1:], region[:-1]))
+            fresh[0] = last is None or (int(anchor[0]), region[0].as_py()) != last[:2]
+            number = np.cumsum(fresh) - 1  # of the head within the batch; -1 is the last batch's
+            first = np.flatnonzero(fresh)
+            ahead = (0, 0) if last is None else last[2:]
+            head_order, head_key = np.append(order[first], ahead[0])[number], np.append(key[first], ahead[1])[number]
+            copy = (order != head_order) | (key != head_key)  # rows equal to the head in id and text are the head
+            row = np.repeat(np.arange(len(anchor)), np.diff(at))
+            gone = copy[row] | fresh[row]
+            gone[at[first]] = False  # the first place of a head stays
+            row, low = row[gone], place[gone]
+            yield _span_rows(order[row], key[row], low, low + pc.binary_length(region).to_numpy()[row])
+            last = (int(anchor[-1]), region[len(anchor) - 1].as_py(), int(head_order[-1]), int(head_key[-1]))
+            yield from heads.add(anchor[first], list(zip(order[first].tolist(), key[first].tolist(), place[at[first]].tolist(),
+                                                         region.take(pa.array(first)).to_pylist())))
+        heads.close()
+        if heads.waiting:
+            yield heads.solved()
 
     return run
 
@@ -273,10 +326,14 @@ def united(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keyed(df: DataFrame) -> DataFrame:
-    """Adds ``_key``, the same for rows with equal id and text and never null."""
+    """Adds ``_key``, the same for rows with equal id and text and never null; with ``ord`` it names a text."""
     return df.select("*", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_key"))
 
 
+def _ord() -> Column:
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST))
+
+
 def spans(df: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """From columns doc_id and text, and others: the keyed rows dealt out by key, and arrays of spans to remove per key.
 
@@ -291,11 +348,12 @@ def spans(df: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     wanted = wanted.groupBy(F.col("_key").alias("_k")).agg(F.collect_set("anchor").alias("anchors"))  # a text's own
     carried = [F.col(c) for c in df.columns if c not in ("doc_id", "text")]  # to read the very rows of the other use
     joined = dealt.join(wanted, F.col("_key") == F.col("_k"), "left").select(
-        *carried, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("ord"), "_key", "text",
+        *carried, _ord().alias("ord"), "_key", "text",
         F.coalesce("anchors", F.array().cast("array<bigint>")).alias("anchors"))
-    sharded = map_arrow(joined, _regions(length), REGIONS).repartition("anchor").sortWithinPartitions("anchor")
+    sharded = map_arrow(joined, _regions(length), REGIONS).repartition("anchor").sortWithinPartitions(
+        "anchor", "region", "ord", "_key")
     found = map_arrow(sharded, _shards(length), SPANS)
-    return dealt, found.groupBy(F.col("_key").alias("_k")).agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    return dealt, found.groupBy(F.col("_key").alias("_k")).agg(F.collect_list(F.struct("low", "high", "ord")).alias("spans"))
 
 
 CUT = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_bytes", T.BinaryType())]
@@ -335,7 +393,8 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _with_spans(df: DataFrame, length: int) -> DataFrame:
     """The rows of ``df`` with the spans to remove; texts are dealt out by key."""
     dealt, removed = spans(df, length)
-    return dealt.join(removed, F.col("_key") == F.col("_k"), "left").select(*df.columns, "spans")
+    own = F.filter("spans", lambda s: s["ord"] == _ord())  # texts of other ids may share the key
+    return dealt.join(removed, F.col("_key") == F.col("_k"), "left").select(*df.columns, own.alias("spans"))
 
 
 def deduplicated(df: DataFrame, length: int = LENGTH) -> DataFrame:

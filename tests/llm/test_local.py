@@ -69,6 +69,44 @@ def test_repeated_windows(seed):
         assert (got == mask).all()
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_shard_streams_equal_regions(seed, monkeypatch):
+    """Rows in any batches, repeated rows and shards of any size give what all windows in order give."""
+    rng, length = random.Random(seed), 12
+    monkeypatch.setattr(suffix, "SHARD_BYTES", rng.choice([1, 40, 1 << 20]))
+    rows = set()
+    for anchor in range(6):  # a region's windows differ, and so do those of different anchors
+        base = "".join(chr(200 + 20 * anchor + rng.randrange(20)) for _ in range(24)).encode("utf-16-le")
+        parts = [base[a:a + rng.randint(length, 30)] for a in (0, 0, 4, 8)][:rng.randint(1, 4)]
+        for part in parts:
+            for _ in range(rng.randint(1, 5)):
+                rows.add((anchor, part, rng.randrange(9), rng.randrange(2), tuple(sorted(rng.sample(range(0, 900, 40), rng.randint(1, 3))))))
+    rows = sorted({r[:4]: r for r in rows}.values())
+    rows += [r for r in rows if rng.random() < 0.2]  # rows that are there twice
+    rows.sort()
+    batches = []
+    while rows[sum(b.num_rows for b in batches):]:
+        part = rows[sum(b.num_rows for b in batches):][:rng.randint(1, 5)]
+        batches.append(pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.int64()), pa.array([r[3] for r in part], pa.int64()),
+             pa.array([list(r[4]) for r in part], pa.list_(pa.int32())), pa.array([r[1] for r in part], pa.binary())],
+            ["anchor", "ord", "_key", "places", "region"]))
+    got = set()
+    for out in suffix._shards(length)(iter(batches)):
+        for o, k, a, b in zip(*(out.column(c).to_pylist() for c in ("ord", "_key", "low", "high"))):
+            got |= {(o, k, i) for i in range(a, b)}
+    places = sorted({(o, k, at, part) for _, part, o, k, found in rows for at in found})
+    seen, expected = set(), set()
+    for o, k, at, part in places:
+        windows = [part[i:i + length] for i in range(len(part) - length + 1)]
+        for i, w in enumerate(windows):
+            if w in seen:
+                expected |= {(o, k, at + i + j) for j in range(length)}
+        seen |= set(windows)
+    assert got == expected
+    assert not list(suffix._shards(length)(iter(batches[:0])))
+
+
 def test_equal_windows_have_equal_anchors():
     rng = random.Random(5)
     texts = [words(rng, 300).encode() for _ in range(6)] + [b"", b"short", b"aaaa" * 100]

@@ -282,6 +282,14 @@ def test_suffix_dedup(edge, empty):
     assert short.where("doc_id = 12").first().n_chars == 1  # each later place repeats the one before
 
 
+def test_suffix_dedup_survives_equal_keys(edge, monkeypatch):
+    """Texts of different ids whose 64-bit keys are equal keep results of their own."""
+    one_text_an_id = edge.where("doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text"))
+    expected = sorted(map(repr, suffix.deduplicated(one_text_an_id).collect()))
+    monkeypatch.setattr(suffix, "_keyed", lambda df: df.withColumn("_key", F.lit(0).cast("bigint")))
+    assert sorted(map(repr, suffix.deduplicated(one_text_an_id).collect())) == expected
+
+
 def test_languages(edge, empty, spark):
     model = lang.fit(edge)
     got = lang.identify(edge, model).collect()
