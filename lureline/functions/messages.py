@@ -8,16 +8,28 @@ from pyspark.sql import functions as F
 from lureline import fixed_values as V
 from lureline.functions import text as T
 
-_LABEL = V.HOST_LABEL
-# Bounded label count: an unbounded group recurses per label in Java's matcher.
-DOMAIN = rf"{_LABEL}(?:\.{_LABEL}){{0,500}}\.{V.TOP_LEVEL}(?:/[^{T.SPACE}]*)?"  # with (?U)
+# A host by its characters: one label, then characters that continue it, back to the last dot that letters follow.
+# No dot without a letter or digit after it, no 64th character of a label. Java steps over single characters in a
+# loop, over whole labels by recursion, so that a host of any number of labels is found in this form only.
+_NEXT = r"(?!\.(?![a-zA-Z0-9]))(?!(?<=\.[-a-zA-Z0-9]{63})[-a-zA-Z0-9])[-a-zA-Z0-9.]"
+_RUN = rf"{V.HOST_LABEL}+(?=\.)(?:{_NEXT})*\."
+DOMAIN = rf"{_RUN}{V.TOP_LEVEL}(?:/[^{T.SPACE}]*)?"  # with (?U)
+
+
+def hosts(message: Column, prefix: str = "") -> Column:
+    """Hosts with their paths, in order, each after the prefix.
+
+    Where none begins, labels that lead to no top level are passed over up to their last dot, as none can begin
+    among them; so the time grows with the text, not with its square.
+    """
+    found = F.regexp_extract_all(message, F.lit(f"(?U){prefix}(?:{DOMAIN}|{_RUN})"), F.lit(0))
+    return F.filter(found, lambda h: ~h.endswith(".") | F.contains(h, F.lit("/")))
 
 
 def extract_urls(message: Column) -> Column:
     """Links of a message, completed with http://, first appearance kept."""
     m = T.strip(message)
-    patterns = [T.TEXT_URL, rf"(?U)www\.{DOMAIN}", f"(?U){DOMAIN}"]
-    found = F.concat(*[F.regexp_extract_all(m, F.lit(p), F.lit(0)) for p in patterns])
+    found = F.concat(F.regexp_extract_all(m, F.lit(T.TEXT_URL), F.lit(0)), hosts(m, r"www\."), hosts(m))
 
     def complete(u: Column) -> Column:
         known = u.startswith("http://") | u.startswith("https://")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lureline.functions import text as T
 from lureline.operators.neighbors import nearest
 from lureline.operators.ranking import hash_rank
-from lureline.shared import BROADCAST_ROWS, lookup_join, materialise
+from lureline.shared import BROADCAST_ROWS, lookup_join, materialise, row_hash
 
 MAX_CLASSES = 10_000
 
@@ -62,21 +62,25 @@ def uniform_sample(df: DataFrame, id_column: str, n: int, seed: int = 42) -> Dat
 
 
 def class_counts(df: DataFrame, label: str) -> dict:
-    """Rows per class. A label column with more classes than MAX_CLASSES is refused."""
+    """Rows per class, for steps that treat each class on its own; more classes than MAX_CLASSES are refused."""
     rows = df.groupBy(label).count().limit(MAX_CLASSES + 1).collect()
     if len(rows) > MAX_CLASSES:
         raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
     return {r[0]: r[1] for r in rows if r[0] is not None}
 
 
-def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """Adds n / (classes * class rows), the weight that balances the classes."""
-    counts = class_counts(df, label)
-    n, k = sum(counts.values()), len(counts)
-    chain = F
-    for value, size in counts.items():
-        chain = chain.when(F.col(label) == value, F.lit(n / (k * size)))
-    return df.withColumn(out, chain.otherwise(F.lit(None).cast("double")))
+def balanced_weights(df: DataFrame, label: str, out: str = "weight", max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Adds n / (classes * class rows), the weight that balances the classes; null where the label is null.
+
+    Any number of classes: they are counted into a table, which is joined by its size.
+    """
+    counted = materialise(df.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("_class")).agg(
+        F.count(F.lit(1)).alias("_size")), "classes")
+    whole = counted.agg(F.sum("_size").alias("n"), F.count(F.lit(1)).alias("k")).select(F.struct("n", "k").alias("_all")).scalar()
+    rows = df.withColumns({"_class": F.col(label), "_row": row_hash(df)})
+    joined = lookup_join(rows, counted, "_class", "_row", max_rows=max_rows)
+    weight = F.when(F.col("_size").isNotNull(), whole["n"] / (whole["k"] * F.col("_size")))
+    return joined.withColumn(out, weight).select(*[c for c in df.columns if c != out], out)
 
 
 def label_encoder(df: DataFrame, label: str, out: str = "label_index"):

@@ -57,7 +57,7 @@ def mail_pipeline(corpora: list[DataFrame], path: str, **settings) -> dict[str,
     Returns the combined and tagged mails, the risk distribution, the prepared rows and the report.
     """
     combined = C.clean(C.combine(corpora), drop_null_text=True)
-    combined = combined.withColumn("mail_id", F.xxhash64("text_combined"))
+    combined = combined.withColumn("mail_id", F.md5("text_combined"))  # texts are distinct here
     combined.write.mode("errorifexists").parquet(path)
     combined = combined.sparkSession.read.parquet(path)
     tagged = tagging.tag_table(combined, "text_combined")

@@ -10,8 +10,9 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side with at most this many rows may be broadcast; callers check it, see `lookup_join`.
+# A side with at most this many rows and bytes may be broadcast; callers check it, see `lookup_join`.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -119,17 +120,34 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("*", F.inline(F.array(row)))
 
 
+def row_hash(df: DataFrame) -> Column:
+    """Hash of a row over all columns that can be hashed, for dealing rows out evenly."""
+    plain = [f.name for f in df.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    return F.xxhash64(*[df[c] for c in plain])
+
+
+def _small(lookup: DataFrame, max_rows: int, max_bytes: int) -> bool:
+    """Whether the table is within both bounds; it is read no further than the first row beyond ``max_rows``."""
+    sized = [F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.simpleString() in ("string", "binary") else F.lit(16)
+             for f in lookup.schema]
+    width = sized[0]
+    for size in sized[1:]:
+        width = width + size
+    n, size = lookup.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(width.cast("bigint"))).first()
+    return n <= max_rows and (size or 0) <= max_bytes
+
+
 def lookup_join(
-    big: DataFrame, lookup: DataFrame, key: str, salt_by: str, how: str = "left",
-    max_rows: int = BROADCAST_ROWS, salts: int = 64,
+    big: DataFrame, lookup: DataFrame, key: str, salt_by: str | Column, how: str = "left",
+    max_rows: int = BROADCAST_ROWS, salts: int = 64, max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Join on a key that may be badly skewed in ``big``.
 
-    The lookup side is counted first. Up to ``max_rows`` it is broadcast; beyond that both sides
-    are salted (each lookup row is repeated ``salts`` times), so one hot key spreads over
-    ``salts`` tasks. Both ways give the same rows.
+    The lookup side is measured first, so it should be a written table. Up to ``max_rows`` rows and
+    ``max_bytes`` bytes it is broadcast; beyond that both sides are salted (each lookup row is repeated
+    ``salts`` times), so one hot key spreads over ``salts`` tasks. Both ways give the same rows.
     """
-    if lookup.limit(max_rows + 1).count() <= max_rows:
+    if _small(lookup, max_rows, max_bytes):
         return big.join(F.broadcast(lookup), key, how)
     salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)))
     spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))

@@ -174,11 +174,29 @@ def test_tfidf_unfitted_and_names(spark):
         P.combine_features(df, [], [])
 
 
+def test_class_weights_of_any_number_of_classes(spark):
+    """More classes than one plan could name, null labels, a hot class; both ways of the join agree."""
+    df = spark.range(40_000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 100 == 1, None).otherwise(
+        F.concat(F.lit("c"), F.col("id") % 15_000)).alias("label"), F.create_map("id", "id").alias("m"))
+    sizes = df.groupBy("label").count().toPandas().dropna().set_index("label")["count"]
+    assert len(sizes) > 9_000
+    for max_rows in (200_000, 10):
+        got = P.balanced_weights(df, "label", max_rows=max_rows)
+        assert got.columns == [*df.columns, "weight"]
+        rows = got.select("label", "weight").collect()
+        assert len(rows) == 40_000
+        for r in rows:
+            assert (r.weight is None) == (r.label is None)
+            assert r.label is None or abs(r.weight - sizes.sum() / (len(sizes) * sizes[r.label])) < 1e-9
+    assert P.balanced_weights(df.limit(0), "label").count() == 0
+
+
 def test_lookup_join_is_the_same_with_and_without_broadcast(spark):
     big = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(100)], "id int, key string")
     small = spark.createDataFrame([("hot", 1), ("k3", 2)], "key string, v int")
     a = lookup_join(big, small, "key", "id").select("id", "v").orderBy("id").collect()
     b = lookup_join(big, small, "key", "id", max_rows=1, salts=4).select("id", "v").orderBy("id").collect()
+    assert a == lookup_join(big, small, "key", "id", max_bytes=1, salts=4).select("id", "v").orderBy("id").collect()
     assert a == b and len(a) == 100
 
 

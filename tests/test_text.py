@@ -1,6 +1,7 @@
 """Text functions against plain Python on awkward inputs."""
 
 import html
+import random
 import re
 
 from hypothesis import given, settings
@@ -102,3 +103,21 @@ def test_message_routing(spark):
              "urgent: confirm your order number": "mail"}
     assert column(spark, list(cases), lambda c: M.route(c)["route"]) == list(cases.values())
     assert column(spark, ["is this bit.ly/a"], lambda c: M.route(c, True)["route"]) == ["url"]
+
+
+def test_hosts_have_any_number_of_labels(spark):
+    """Against Python's matcher, which takes the rule as it is written."""
+    label = V.HOST_LABEL
+    rule = re.compile(rf"{label}(?:\.{label})*\.{V.TOP_LEVEL}(?:/[^ ]*)?")
+    rng = random.Random(3)
+    pieces = ["a", "b7", "1", "-", "com", "museum", "community", ".", ".", "..", "/", " ", "é", "x" * 62, "y" * 63, "z" * 64, ".-"]
+    cases = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    cases += ["a." * 20_000 + "com", "1." * 2_000 + "1", "a.com" + ".1" * 2_000 + "-", "-" * 9_000, ("q" * 63 + ".") * 400 + "org/x"]
+    for prefix, got in (("", column(spark, cases, M.hosts)), ("www.", column(spark, ["www." + c for c in cases], lambda c: M.hosts(c, r"www\.")))):
+        own = re.compile(prefix.replace(".", r"\.") + rule.pattern)
+        for case, found in zip(cases, got):
+            assert found == own.findall(prefix + case), case[:200]
+    long = "see " + "a." * 20_000 + "com now"
+    hostile = ["1." * 400_000, "1www." * 200_000, "a1." * 200_000 + "-", "com." * 200_000]
+    got = column(spark, [long, *hostile], M.extract_urls)
+    assert got[:4] == [["http://" + "a." * 20_000 + "com"], [], [], []] and len(got[4]) == 1
