@@ -13,6 +13,7 @@ from lureline.operators import metrics as MT
 from lureline.operators import models as M
 from lureline.operators import prep as P
 from lureline.operators import quality as Q
+from lureline.operators.ranking import hash_rank
 from lureline.shared import materialise
 
 DEFAULTS = {
@@ -57,7 +58,9 @@ def mail_pipeline(corpora: list[DataFrame], path: str, **settings) -> dict[str,
     Returns the combined and tagged mails, the risk distribution, the prepared rows and the report.
     """
     combined = C.clean(C.combine(corpora), drop_null_text=True)
-    combined = combined.withColumn("mail_id", F.md5("text_combined"))  # texts are distinct here
+    # neighbours take numbers as ids: ranks in the order of a digest, as 64 bits of a hash would meet in large tables
+    ranked = hash_rank(combined.withColumn("_digest", F.md5("text_combined")), "_digest", [], 0, "mail_id", "_mails")
+    combined = ranked.select("mail_id", *combined.columns)
     combined.write.mode("errorifexists").parquet(path)
     combined = combined.sparkSession.read.parquet(path)
     tagged = tagging.tag_table(combined, "text_combined")
