@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lureline.functions import text as T
 from lureline.operators.ranking import medians, seeded_hash
+from lureline.shared import materialise
 
 UNIFIED = ["text_combined", "label", "source", "source_no", "row_no"]
 # columns that the fallback does not join into the text
@@ -87,15 +88,15 @@ def profile(df: DataFrame) -> DataFrame:
     """One row: text length mean, median and range, empty texts and missing labels with shares."""
     measured = df.select(F.length("text_combined").alias("n"), "label",
                          (F.col("text_combined").isNull() | is_blank(F.col("text_combined"))).alias("empty"))
-    # equal combinations are counted once; mean and median then read the small counted table
-    counted = measured.groupBy("n", "label", "empty").agg(F.count("*").alias("rows"))
+    # equal combinations are counted once; mean and median then read the small table that this writes
+    counted = materialise(measured.groupBy("n", "label", "empty").agg(F.count("*").alias("rows")), "profile")
     with_text = F.when(F.col("n").isNotNull(), F.col("rows"))
     base = counted.agg(
         F.sum("rows").alias("rows"), (F.sum(F.col("n") * with_text) / F.sum(with_text)).alias("mean_length"),
         F.min("n").alias("min_length"), F.max("n").alias("max_length"),
         F.coalesce(F.sum(F.when(F.col("empty"), F.col("rows"))), F.lit(0)).alias("empty_texts"),
         F.coalesce(F.sum(F.when(F.col("label").isNull(), F.col("rows"))), F.lit(0)).alias("missing_labels"))
-    middle = medians(df.select(F.lit("n").alias("column"), F.length("text_combined").alias("value")))
+    middle = medians(counted.select(F.lit("n").alias("column"), F.col("n").alias("value"), "rows"), count="rows")
     return base.select(
         "rows", "mean_length", middle.select("median").scalar().alias("median_length"), "min_length",
         "max_length", "empty_texts", (F.col("empty_texts") * 100.0 / F.col("rows")).alias("empty_pct"),

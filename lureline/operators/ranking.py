@@ -116,17 +116,20 @@ def middle_values(counted: DataFrame) -> DataFrame:
     return found.groupBy("_name").agg(((F.max("_v") + F.min("_v")) / 2).alias("median"))
 
 
-def medians(long: DataFrame, name: str = "column", value: str = "value") -> DataFrame:
+def medians(long: DataFrame, name: str = "column", value: str = "value", count: str | None = None) -> DataFrame:
     """Exact median per name of a (name, value) table; the mean of the two middle values.
 
+    With ``count`` a row stands for that many equal ones.
+
     A histogram of at most 65,537 ordered buckets per name says which buckets hold the two middle
     ranks. Only the values of those buckets are shuffled, equal ones counted first, and running
     totals find the exact ranks among them.
     """
-    clean = long.select(F.col(name).alias("_name"), F.col(value).cast("double").alias("_v"))
+    copies = (F.lit(1) if count is None else F.col(count)).cast("bigint")
+    clean = long.select(F.col(name).alias("_name"), F.col(value).cast("double").alias("_v"), copies.alias("_w"))
     clean = clean.filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
     clean = clean.withColumn("_b", bucket_of(F.col("_v")))
-    hit = middle_buckets(clean.groupBy("_name", "_b").agg(F.count("*").alias("_s")))
+    hit = middle_buckets(clean.groupBy("_name", "_b").agg(F.sum("_w").alias("_s")))
     inside = clean.join(F.broadcast(hit), ["_name", "_b"])  # at most two buckets per name
-    counted = inside.groupBy("_name", "_b", "_base", "_t", "_v").agg(F.count("*").alias("_n"))
+    counted = inside.groupBy("_name", "_b", "_base", "_t", "_v").agg(F.sum("_w").alias("_n"))
     return middle_values(counted).withColumnRenamed("_name", name)

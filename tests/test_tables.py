@@ -79,7 +79,8 @@ def test_hash_rank_with_null_group_and_medians(spark):
     values = {"near": [1.7e9 + rng.random() for _ in range(301)], "wide": [rng.choice([-1, 1]) * 10 ** rng.uniform(-9, 12) for _ in range(200)],
               "ties": [0.0] * 150 + [1.0] * 3}
     long = spark.createDataFrame([(n, float(v)) for n, vs in values.items() for v in vs], "column string, value double")
-    for r in R.medians(long).collect():
+    counted = long.groupBy("column", "value").agg(F.count("*").alias("rows"))
+    for r in [*R.medians(long).collect(), *R.medians(counted, count="rows").collect()]:
         assert r["median"] == pytest.approx(float(np.median(values[r["column"]])), rel=1e-12), r["column"]
 
 
