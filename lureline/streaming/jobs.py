@@ -17,9 +17,9 @@ from lureline.sources.sinks import FEEDBACK_SCHEMA
 
 
 def file_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files_per_trigger: int = 1000) -> DataFrame:
-    """New parquet files of a folder as they arrive."""
-    return (spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
+    """New parquet files of a folder as they arrive, and those of tables in it: a name that fits may be a file or a folder of them."""
+    # the braces make any pattern a glob, whose hits are listed anew for every batch and may be single files
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/{{{pattern}}}")
 
 
 def scored_messages(messages: DataFrame, trained: Trained, message: str = "message", html: str | None = None) -> DataFrame:

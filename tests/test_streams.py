@@ -38,3 +38,17 @@ def test_an_unfinished_table_is_not_read(spark):
     spark.range(2).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{path}/batch=4")
     assert J._batches(spark, path) == [3, 4]
     assert J.latest_counters(spark, path).count() == 1
+
+
+def test_a_table_in_a_folder_of_part_files_is_streamed_like_one_file(spark, tmp_path):
+    table = spark.range(100).select("id", (F.col("id") % 4 == 0).alias("is_phishing"))
+    table.repartition(3).write.parquet(str(tmp_path / "parts" / "t.parquet"))
+    table.coalesce(1).write.parquet(str(tmp_path / "written"))
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "written").glob("part-*")).rename(tmp_path / "one" / "t.parquet")
+    for folder in ("parts", "one"):
+        table.write.mode("overwrite").parquet(str(tmp_path / folder / "other.parquet"))
+        path, state = new_path(spark, "streamed"), new_path(spark, "streamed-state")
+        rows = J.file_stream(spark, str(tmp_path / folder), "id long, is_phishing boolean", "t.parquet")
+        J.run_to_end(lambda: J.append_stream(rows, path, state, once=True))
+        assert spark.read.parquet(path).agg(F.count("*"), F.sum("id")).first() == (100, 4950)
