@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
 
 from lureline.operators import models as M
 from lureline.operators import scoring as S
@@ -107,3 +108,25 @@ def test_curve_and_stacking_share_their_folds(spark, rows):
     assert {r[0]: round(r[1], 9) for r in whole} == {r.split: round(r.mean, 9) for r in curve if r.size == 1.0}
     out = M.out_of_fold(rows, {"naive_bayes": {}}, 4)
     assert out.count() == 160 and out.where("p_naive_bayes IS NULL").count() == 0
+
+
+def test_settings_that_give_one_model_are_fitted_once(spark, monkeypatch):
+    rows = spark.range(400).select("id", array_to_vector(F.array(*[(F.hash("id", F.lit(j)) % 100).cast("double") for j in range(4)])).alias("features"),
+                                   (F.hash("id", F.lit(0)) % 100 > 20).cast("int").alias("label"))
+    fits = []
+    fit = M.SplitTree._fit
+    monkeypatch.setattr(M.SplitTree, "_fit", lambda self, d: fits.append(d.rdd.getNumPartitions()) or fit(self, d))
+    grid = {"minSamplesSplit": [2, 5, 10], "minInstancesPerNode": [1, 2, 4]}
+    scores = M.tune("decision_tree", rows.repartition(16), grid, 2)[1].collect()
+    assert len(scores) == 9 and len(fits) == 5 * 2 + 1  # least parts of 1 to 5 rows
+    assert set(fits) == {1}  # small tables are fitted by one task
+    by = {r["settings"]: r["f1"] for r in scores}
+    assert by["minInstancesPerNode=1, minSamplesSplit=10"] == by["minInstancesPerNode=4, minSamplesSplit=10"]
+
+
+def test_partitions_of_a_fit_are_bounded_by_cores_and_rows(spark):
+    wide = spark.range(0, 100_000, 1, 300)
+    cores = spark.sparkContext.defaultParallelism
+    assert M.dealt(wide, 100_000).rdd.getNumPartitions() == min(cores, 12)
+    assert M.dealt(wide, 100_000, M.NET_TASK_ROWS).rdd.getNumPartitions() == cores
+    assert M.dealt(wide, 5).rdd.getNumPartitions() == 1
