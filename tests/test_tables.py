@@ -324,3 +324,58 @@ def test_neighbours_far_from_the_origin_and_on_ties(spark):
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(1, 1001)], "id long, features array<double>")
     got = N.nearest(query.withColumn("features", F.array(F.lit(1.0), F.lit(2.0))), same, 5, block_rows=100).orderBy("rank")
     assert [(r.neighbour, r.distance) for r in got.collect()] == [(i, 0.0) for i in range(1, 6)]
+
+
+def test_terms_are_counted_as_plain_python_counts_them(spark, monkeypatch):
+    from collections import Counter
+
+    rng = np.random.default_rng(1)
+    texts = [" ".join(rng.choice(["red", "fox", "the", "a", "ox", "élan", "x9"], rng.integers(0, 30))) for _ in range(250)]
+    texts += ["", None, "fox", "the a", "red fox", "fox  ox "]
+    df = spark.createDataFrame([(t,) for t in texts], "c string").repartition(3)
+    for chunk in (5, 1 << 20):
+        monkeypatch.setattr(P, "CHUNK_WORDS", chunk)
+        for low, high in ((1, 3), (2, 2), (1, 1), (3, 5)):
+            tf, dfs = Counter(), Counter()
+            for t in texts:
+                w = [x for x in (t or "").split(" ") if len(x) >= 2 and x != "the"]
+                grams = [" ".join(w[i:i + n]) for n in range(low, high + 1) for i in range(len(w) - n + 1)]
+                tf.update(grams)
+                dfs.update(set(grams))
+            got = {r.term: (r.tf, r.df) for r in P.term_statistics(df, "c", ["the"], low, high).collect()}
+            assert got == {t: (tf[t], dfs[t]) for t in tf}
+            listed = P.with_ngrams(df.where("c is not null"), "c", ["the"], low, high).select("_grams").collect()
+            assert Counter(g for r in listed for g in r[0]) == tf
+
+
+def test_a_text_is_cleaned_once_for_its_grams(spark):
+    df = spark.createDataFrame([("a Big Fox & ox",)], "t string").select(F.regexp_replace("t", "&", "-").alias("c"))
+    plan = P.with_ngrams(df, "c", ["the"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
+
+
+def test_vocabulary_of_frequent_ends_is_that_of_all_terms(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(60)]
+    share = 1 / np.arange(1, 61)
+    texts = [" ".join(rng.choice(words, rng.integers(0, 40), p=share / share.sum())) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "c string").repartition(3)
+    every = P.term_statistics(df, "c", ["w3"]).collect()
+    known, count, handed = [], P.term_statistics, []
+
+    def counted(*args):
+        known.append({n: len(t) for n, t in args[5].items()})
+        out = count(*args)
+        handed.append(out.count())
+        return out
+
+    monkeypatch.setattr(P, "term_statistics", counted)
+    for size, least, most in ((50, 5, 0.95), (200, 2, 0.2), (5000, 3, 1.0)):
+        best = sorted(((-r.tf, r.term, r.df) for r in every if least <= r.df <= most * 300))[:size]
+        got = P.tfidf_vocabulary(df, "c", ["w3"], size, (1, 3), least, most).collect()
+        assert sorted((-r.tf, r.term, r.df) for r in got) == best
+    assert sum(handed[:3]) < len(every) / 3  # most longer grams are never counted
+    assert known[2].keys() == {1, 2}
+    monkeypatch.setattr(P, "MOST_KNOWN", 3)
+    assert P.tfidf_vocabulary(df, "c", ["w3"], 50).count() == 50
+    assert known[-1] == {}
