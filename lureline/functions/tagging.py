@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lureline import fixed_values as V
 from lureline.functions import text as T
 from lureline.functions import urls as U
+from lureline.shared import once
 
 
 def confidence(features: dict[str, Column], weights: dict[str, float] | None = None) -> Column:
@@ -42,15 +43,15 @@ def tag_table(
 ) -> DataFrame:
     """Adds automated_tags, confidence_score, risk_level, text_features and url_features.
 
-    Row local: two projections, no shuffle. ``sentiment`` and ``misspelled`` name columns that
+    Row local, no shuffle; a text is brought to lower case once. ``sentiment`` and ``misspelled`` name columns that
     the lexicon operators added.
     """
     text = F.col(text_column)
     url = F.col(url_column) if url_column else F.lit(None).cast("string")
     mood = tuple(F.col(c) for c in sentiment) if sentiment else None
     wrong = F.col(misspelled) if misspelled else None
-    out = df.withColumns({
-        "text_features": F.when(F.length(text) > 0, T.text_features(text, mood, wrong)),
+    out = once(df, {"_low": F.lower(text)}).withColumns({
+        "text_features": F.when(F.length(text) > 0, T.text_features(text, mood, wrong, lowered=F.col("_low"))),
         "url_features": F.when(F.length(url) > 0, U.tagger_url_features(url)),
     })
     texts, links = F.col("text_features"), F.col("url_features")
@@ -60,7 +61,7 @@ def tag_table(
     out = out.withColumn("confidence_score", confidence(known))
     return out.withColumns({
         "automated_tags": tags(texts, links), "risk_level": level(F.col("confidence_score")),
-    })
+    }).drop("_low")
 
 
 def risk_distribution(tagged: DataFrame) -> DataFrame:

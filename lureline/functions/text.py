@@ -198,9 +198,12 @@ def text_features(
     sentiment: tuple[Column, Column, Column] | None = None,
     misspelled: Column | None = None,
     keywords: dict[str, list[str]] | None = None,
+    lowered: Column | None = None,
 ) -> Column:
     """The 13 text features of the mail tagger as a struct; all 0 for empty or null text.
 
+    ``lowered`` names a column that holds the text in lower case already; else each keyword may lower it again.
+
     ``sentiment`` is (compound, negative, positive) and ``misspelled`` a 0/1 column, both from
     the operators in ``lureline.operators.lexicon``; they count as 0 when left out.
     """
@@ -210,7 +213,7 @@ def text_features(
         "threat_score": V.THREAT_KEYWORDS, **(keywords or {}),
     }
     t = F.coalesce(c, F.lit(""))
-    low = F.lower(t)
+    low = F.lower(t) if lowered is None else F.coalesce(lowered, F.lit(""))
     compound, negative, positive = sentiment or (F.lit(0.0), F.lit(0.0), F.lit(0.0))
     values = {name: keyword_score(low, kw) for name, kw in lists.items()}
     values["sentiment_compound"] = F.coalesce(compound, F.lit(0.0))

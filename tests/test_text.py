@@ -121,3 +121,10 @@ def test_hosts_have_any_number_of_labels(spark):
     hostile = ["1." * 400_000, "1www." * 200_000, "a1." * 200_000 + "-", "com." * 200_000]
     got = column(spark, [long, *hostile], M.extract_urls)
     assert got[:4] == [["http://" + "a." * 20_000 + "com"], [], [], []] and len(got[4]) == 1
+
+
+def test_tagged_texts_are_lowered_once(spark):
+    df = spark.createDataFrame([(1, "URGENT: verify your bank account", "http://bit.ly/x")], "id int, t string, u string")
+    tagged = tagging.tag_table(df, "t", "u")
+    plan = tagged.select("automated_tags", "risk_level")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(t#") == 1 and tagged.columns[:3] == df.columns and "_low" not in tagged.columns
