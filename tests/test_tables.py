@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from lureline.functions import inference
@@ -122,6 +123,35 @@ def test_neighbours_against_brute_force(spark):
     assert two.groupBy("id").count().filter("count <> 363").count() == 0
 
 
+def test_a_query_is_sent_out_once_a_cell(spark, monkeypatch):
+    """Vectors without clusters: every cell is visited, whose rows go to one task at a time, not to one per 1,024 rows."""
+    v = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(np.random.default_rng(4).normal(size=(6000, 16)))], "id bigint, features array<double>")
+    sent, chunked = [], N._chunked
+
+    def counted(refs, visits, rows):
+        out = chunked(refs, visits, rows)
+        sent.append(out[1].count())
+        return out
+
+    monkeypatch.setattr(N, "_chunked", counted)
+    got = N.nearest(v.where("id % 10 = 0"), v, 3, same_table=True)
+    assert got.count() == 1800 and sum(sent) <= 600 * 5  # 6,000 rows make five cells
+
+
+def test_sparse_neighbours_are_those_of_arrays(spark):
+    rng = np.random.default_rng(8)
+    points = [[float(x) if rng.random() < 0.2 else 0.0 for x in rng.normal(0, 2, 30)] + [float(rng.integers(0, 40))] for _ in range(300)]
+    points[7], points[9], points[11] = points[5], [0.0] * 31, [1.0] * 31
+    rows = [(i, p, Vectors.dense(p) if i % 5 == 0 else Vectors.sparse(31, {j: x for j, x in enumerate(p) if x})) for i, p in enumerate(points)]
+    df = spark.createDataFrame(rows, ["id", "a", "v"])
+    dense, sparse = (N.nearest(df, df, 4, features=c, same_table=True, block_rows=16).collect() for c in ("a", "v"))
+    assert sorted(map(tuple, dense)) == sorted(map(tuple, sparse)) and len(dense) == 1200
+    some = df.withColumn("label", (F.col("id") % 3 == 0).cast("int"))
+    made = [P.smote(some, features=c).filter("synthetic").collect() for c in ("a", "v")]
+    key = lambda r: (r.id, r.features)
+    assert [key(r) for r in sorted(made[0], key=key)] == [key(r) for r in sorted(made[1], key=key)] and len(made[0]) == 100
+
+
 def test_hashed_neighbours_reach_the_recall(spark):
     """0.9 at 10 in 32 buckets a table; what is found has exact distances, and copies do not push each other out."""
     v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"))
@@ -201,6 +231,23 @@ def test_lookup_join_is_the_same_with_and_without_broadcast(spark):
     assert a == b and len(a) == 100
 
 
+def test_sentiment_by_a_large_lexicon(spark, monkeypatch):
+    """Frequent words meet their entries by broadcast, rare ones by a join without repeated lexicon rows; the sums agree."""
+    rng = random.Random(3)
+    texts = [(i, None if i == 5 else "" if i == 6 else " ".join(rng.choice(["good", "bad", "so", f"w{chr(97 + i % 26)}{'x' * (i % 9)}"]) for _ in range(i % 40)))
+             for i in range(300)]
+    df = spark.createDataFrame(texts, "id int, t string")
+    entries = [("good", 2.0), ("bad", -1.5)] + [(f"w{chr(97 + i)}{'x' * j}", float(i % 5 - 2)) for i in range(26) for j in range(9)]
+    lexicon = spark.createDataFrame(entries, "token string, valence double")
+    small = sorted(map(tuple, L.sentiment(df, "id", "t", lexicon).collect()))
+    monkeypatch.setattr(L, "is_small", lambda *_: False)
+    for frequent in (0, 2, 1000):
+        monkeypatch.setattr(L, "FREQUENT", frequent)
+        large = L.sentiment(df, "id", "t", lexicon)
+        assert sorted(map(tuple, large.collect())) == small and len(small) == 300
+        assert "_salt" not in large._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_sentiment_of_plain_words(spark):
     df = spark.createDataFrame([(1, "good good bad thing"), (2, None)], "id int, t string")
     lexicon = spark.createDataFrame([("good", 2.0), ("bad", -1.0)], "token string, valence double")
