@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lureline import fixed_values as V
+from lureline.shared import let
 
 # Unicode white space as a character class body; needs the (?U) flag, Java's plain \s is ASCII.
 SPACE = r"\s\x1c-\x1f"
@@ -40,7 +41,9 @@ def digit_class() -> str:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)^[{SPACE}]+|[{SPACE}]+$", "")
+    # most texts begin and end with a plain character, which needs no search over the whole text
+    plain = c.rlike(r"(?s)\A[!-~](?:.*[!-~])?\z")
+    return F.when(plain, c).otherwise(F.regexp_replace(c, rf"(?U)^[{SPACE}]+|[{SPACE}]+$", ""))
 
 
 def occurrences(c: Column, needle: str) -> Column:
@@ -189,8 +192,7 @@ def special_char_ratio(c: Column) -> Column:
 
 
 def sensitive_words(c: Column) -> Column:
-    lowered = F.lower(c)
-    return reduce(lambda a, b: a + b, [occurrences(lowered, t) for t in V.SENSITIVE_TERMS])
+    return let({"low": F.lower(c)}, lambda v: reduce(lambda a, b: a + b, [occurrences(v["low"], t) for t in V.SENSITIVE_TERMS]))
 
 
 def text_features(

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from lureline import fixed_values as V
 from lureline.functions import text as T
-from lureline.shared import once
+from lureline.shared import let, once
 
 # groups: scheme, authority, path, query
 URL_PARTS = (
     r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 )
 
+LEADING = "".join(map(chr, range(0x21)))
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 IPV4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
 
@@ -38,7 +39,10 @@ IP_LITERAL = f"^(?:{IPV4}|{_ipv6()})$"
 
 def normalise_for_parsing(u: Column) -> Column:
     """Leading blanks and controls go, tabs and line breaks go everywhere."""
-    return F.regexp_replace(F.regexp_replace(u, r"^[\x00-\x20]+", ""), r"[\t\r\n]+", "")
+    out = F.ltrim(u, F.lit(LEADING))
+    for c in "\t\r\n":
+        out = F.replace(out, F.lit(c), F.lit(""))
+    return out
 
 
 def part(u: Column, group: int) -> Column:
@@ -79,7 +83,8 @@ def parses(host: Column) -> Column:
     Brackets come as a pair and hold an IP literal, and no character may stand for a delimiter.
     """
     opened, closed = F.contains(host, F.lit("[")), F.contains(host, F.lit("]"))
-    return (opened == closed) & (~opened | host.rlike(BRACKETED)) & ~host.rlike(LOOK_ALIKES)
+    plain = ~host.rlike(r"[^\x00-\x7f]")  # the cheap test goes first, as all look-alikes are beyond ASCII
+    return (opened == closed) & (~opened | host.rlike(BRACKETED)) & (plain | ~host.rlike(LOOK_ALIKES))
 
 
 def hostname(host: Column) -> Column:
@@ -135,21 +140,23 @@ def is_ip(host: Column) -> Column:
 
 def words_in_subdomains(host: Column) -> Column:
     sub = F.regexp_extract(F.lower(host), r"(?s)^(.*)\.[^.]*\.[^.]*$", 1)
-    return flag(T.contains_any(sub, V.SUSPICIOUS_HOST_WORDS))
+    return flag(let({"sub": sub}, lambda v: T.contains_any(v["sub"], V.SUSPICIOUS_HOST_WORDS)))
 
 
 def words_in_path(p: Column) -> Column:
-    return flag(T.contains_any(F.lower(p), V.SUSPICIOUS_HOST_WORDS))
+    return flag(let({"low": F.lower(p)}, lambda v: T.contains_any(v["low"], V.SUSPICIOUS_HOST_WORDS)))
 
 
 def embedded_brand(host: Column) -> Column:
     """The first brand of the list found in the host decides; typo variants only without one."""
-    h = F.lower(host)
-    chain = F
-    for brand in V.BRANDS:
-        own = h.isin(f"{brand}.com", f"www.{brand}.com") | h.endswith(f".{brand}.com")
-        chain = chain.when(F.contains(h, F.lit(brand)), F.when(own, 0).otherwise(1))
-    return chain.otherwise(flag(T.contains_any(h, V.BRAND_TYPOS)))
+    def rule(v: Column) -> Column:
+        h, chain = v["low"], F
+        for brand in V.BRANDS:
+            own = h.isin(f"{brand}.com", f"www.{brand}.com") | h.endswith(f".{brand}.com")
+            chain = chain.when(F.contains(h, F.lit(brand)), F.when(own, 0).otherwise(1))
+        return chain.otherwise(flag(T.contains_any(h, V.BRAND_TYPOS)))
+
+    return let({"low": F.lower(host)}, rule)
 
 
 def subdomain_level_rt(level: Column) -> Column:
@@ -166,9 +173,10 @@ def with_url_parts(df: DataFrame, url: str, prefix: str = "_u_") -> DataFrame:
     """Adds the completed URL and its parsed parts once; the features below read them."""
     full = df.withColumn(f"{prefix}full", with_protocol(F.col(url)))
     u = F.col(f"{prefix}full")
-    return once(full, {
+    parsed = once(full, {
         f"{prefix}host": netloc(u), f"{prefix}path": path(u), f"{prefix}query": query(u),
     })
+    return once(parsed, {f"{prefix}fine": parses(F.col(f"{prefix}host"))})
 
 
 def url_features(prefix: str = "_u_") -> dict[str, Column]:
@@ -205,7 +213,7 @@ def url_features(prefix: str = "_u_") -> dict[str, Column]:
         "SubdomainLevelRT": subdomain_level_rt(level),
         "UrlLengthRT": url_length_rt(F.length(u)),
     }
-    return {n: F.when(parses(host), c).otherwise(0) for n, c in raw.items()}
+    return {n: F.when(F.col(f"{prefix}fine"), c).otherwise(0) for n, c in raw.items()}
 
 
 def tagger_url_features(u: Column, host_only: bool = False) -> Column:

@@ -43,9 +43,8 @@ def attributes(tag: Column) -> Column:
 def named(items: Column, name: str) -> Column:
     """Value of the first attribute of that name, without quotes; null when absent, '' when it has no value."""
     item = F.get(F.filter(items, lambda i: i.rlike(rf"(?i)^[\s/]*{name}(?:[\s=]|\z)")), F.lit(0))
-    raw = F.regexp_extract(item, r"(?s)^[^=]*=\s*(.*)$", 1)
-    quoted = raw.startswith('"') | raw.startswith("'")
-    return F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+    # a value that begins with a quote ends with it, see `_ATTRIBUTE`; without quotes it holds none
+    return F.regexp_extract(item, r"""(?s)^[^=]*=\s*["']?(.*?)["']?\z""", 1)
 
 
 def decoded(arrays: list[Column]) -> Column:
@@ -72,10 +71,12 @@ def _targets(elements: Column, name: str) -> Column:
 
 
 def _resolved(targets: Column, base: Column) -> Column:
-    """Each target with its scheme and the authority it leads to."""
-    return F.transform(targets, lambda t: F.struct(
-        t.alias("target"), U.scheme(t).alias("scheme"),
-        U.resolved_netloc(t, base).alias("host")))
+    """Each target with its scheme and the authority it leads to, parsed once."""
+    parsed = F.transform(targets, lambda t: F.struct(
+        t.alias("target"), U.scheme(t).alias("scheme"), U.netloc(t).alias("own")))
+    return F.transform(parsed, lambda p: F.struct(
+        p["target"].alias("target"), p["scheme"].alias("scheme"),
+        F.when((p["own"] != "") | (p["scheme"] != ""), p["own"]).otherwise(base).alias("host")))
 
 
 def _is_external(host: Column, base: Column) -> Column:
@@ -127,17 +128,18 @@ def with_page_elements(df: DataFrame, html: str = "html", url: str = "url") -> D
         pieces[name] = F.slice("_decoded", start, size)
         start = start + size
     pieces["_actions"] = F.transform(pieces["_actions"], T.strip)
+    pieces["_stripped"] = F.transform(pieces["_hrefs"], T.strip)
     out = once(out, pieces).drop("_decoded", "_sizes")
     null_href = V.NULL_HREFS
     return once(out, {
-        "_nulls": _size(F.col("_hrefs"), lambda h: T.strip(h).isin(null_href)),
-        "_links": _resolved(F.filter(F.transform("_hrefs", T.strip),
-                                     lambda h: ~h.isin(null_href)), base),
+        "_nulls": _size(F.col("_stripped"), lambda h: h.isin(null_href)),
+        "_links": _resolved(F.filter("_stripped", lambda h: ~h.isin(null_href)), base),
+        "_http_hosts": F.transform(F.filter("_hrefs", lambda h: h.startswith("http")), U.netloc),
         "_resources": _resolved(F.filter("_srcs", lambda s: s != ""), base),
         "_posts": _resolved(F.filter("_actions", lambda a: ~a.isin("", "#")
                                      & ~a.startswith("mailto:")), base),
         "_icon_href": F.coalesce(F.get("_icons", F.lit(0)), F.lit("")),
-    })
+    }).drop("_stripped")
 
 
 def absolute_url(target: Column, base_url: Column) -> Column:
@@ -252,8 +254,7 @@ def image_only_form() -> Column:
 def domain_mismatch() -> Column:
     """More than 60 % of all links start with http and lead elsewhere."""
     base, total = F.col("_base"), F.size("_hrefs")
-    away = _size(F.col("_hrefs"), lambda h: h.startswith("http")
-                 & _is_external(U.netloc(h), base))
+    away = _size(F.col("_http_hosts"), lambda h: _is_external(h, base))
     return U.flag((total > 0) & (away > total * 0.6))
 
 
@@ -266,7 +267,7 @@ def unparsable_target() -> Column:
             | F.exists("_links", lambda l: bad(l["host"]))
             | F.exists("_resources", lambda l: bad(l["host"]))
             | F.exists("_posts", lambda l: bad(l["host"]))
-            | F.exists("_hrefs", lambda h: h.startswith("http") & bad(U.netloc(h)))
+            | F.exists("_http_hosts", bad)
             | bad(U.netloc(F.col("_icon_href"))))
 
 

@@ -4,6 +4,7 @@ from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
+from lureline.functions import urls as U
 from lureline.operators import pages as P
 
 FORMS = [("https://x.com", '<form action="">', "relative", 1), ("https://x.com", '<form action="mailto:a@b.c">', "abnormal", 1),
@@ -88,3 +89,26 @@ def test_mixed_content_reads_pages_of_urls_only(spark):
     plain = [r.features for r in P.content_vector(df, "c", "kind").orderBy("id").collect()]
     assert got[0] == P.feature_vector(pages(spark, [("http://x.com", page)])).first().features != plain[0]
     assert got[1:] == plain[1:] and got[3] is None
+
+
+def planned(spark, df) -> str:
+    kept = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+    try:
+        return df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", kept)
+
+
+def test_hosts_and_attributes_are_judged_once(spark):
+    df = pages(spark, [("http://x.com", '<a href="x">x</a>')])
+    plan = planned(spark, P.feature_vector(df))
+    assert plan.count(U.LOOK_ALIKES) <= 8  # the page's URL, then one for each kind of target, not for each feature
+    assert plan.count(r"(?i)^[\s/]*href") <= 2  # links and linked files, not each use of the value
+
+
+def test_values_of_attributes(spark):
+    html = """<a href="it's'">a</a><a href='"a"'>b</a><a href="">c</a><a href>d</a><a href=>e</a><a HREF=\n"q\n">f</a>
+              <a href=a=b>g</a><a title="href=" href="k">h</a><a name=n>i</a>"""
+    got = P.with_page_elements(pages(spark, [("http://x.com", html)])).first()["_hrefs"]
+    assert got == ["it's'", '"a"', "", "", "", "q\n", "a=b", "k"]
