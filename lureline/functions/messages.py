@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lureline import fixed_values as V
 from lureline.functions import text as T
+from lureline.shared import let
 
 # A host by its characters: one label, then characters that continue it, back to the last dot that letters follow.
 # No dot without a letter or digit after it, no 64th character of a label. Java steps over single characters in a
@@ -28,28 +29,39 @@ def hosts(message: Column, prefix: str = "") -> Column:
 
 def extract_urls(message: Column) -> Column:
     """Links of a message, completed with http://, first appearance kept."""
-    m = T.strip(message)
-    found = F.concat(F.regexp_extract_all(m, F.lit(T.TEXT_URL), F.lit(0)), hosts(m, r"www\."), hosts(m))
+    none = F.array().cast("array<string>")
 
     def complete(u: Column) -> Column:
         known = u.startswith("http://") | u.startswith("https://")
         return F.when(known, u).otherwise(F.concat(F.lit("http://"), u))
 
-    return (
-        F.when(m.startswith("http://") | m.startswith("https://"), F.array(m))
-        .when(m.rlike(f"(?U)^{DOMAIN}$"), F.array(F.concat(F.lit("http://"), m)))
-        .otherwise(F.array_distinct(F.transform(found, lambda u: complete(T.strip(u)))))
-    )
+    def links(v: Column) -> Column:
+        m = v["stripped"]
+        # the searches are passed over where what they must hold is missing
+        dotted = m.rlike(rf"\.{V.TOP_LEVEL}")
+        found = F.concat(
+            F.when(~F.contains(m, F.lit("://")), none).otherwise(F.regexp_extract_all(m, F.lit(T.TEXT_URL), F.lit(0))),
+            F.when(~F.contains(m, F.lit("www.")) | ~dotted, none).otherwise(hosts(m, r"www\.")),
+            F.when(~dotted, none).otherwise(hosts(m)))
+        return (
+            F.when(m.startswith("http://") | m.startswith("https://"), F.array(m))
+            .when(m.rlike(f"(?U)^{DOMAIN}$"), F.array(F.concat(F.lit("http://"), m)))
+            .otherwise(F.array_distinct(F.transform(F.transform(found, T.strip), complete)))
+        )
+
+    return let({"stripped": T.strip(message)}, links)
 
 
 def is_mail(message: Column) -> Column:
-    low = F.lower(message)
-    hits = T.distinct_hits(low, V.MAIL_INDICATORS)
-    opening = T.contains_any(low, V.MAIL_OPENINGS)
-    closing = T.contains_any(low, V.MAIL_CLOSINGS)
-    linked = message.rlike(r"https?://|www\.")
-    return (hits >= 2) | ((F.length(message) > 150) & (opening | closing)) | (
-        opening & closing & linked)
+    def rule(v: Column) -> Column:
+        hits = T.distinct_hits(v["low"], V.MAIL_INDICATORS)
+        opening = T.contains_any(v["low"], V.MAIL_OPENINGS)
+        closing = T.contains_any(v["low"], V.MAIL_CLOSINGS)
+        linked = v["message"].rlike(r"https?://|www\.")
+        return (hits >= 2) | ((F.length(v["message"]) > 150) & (opening | closing)) | (
+            opening & closing & linked)
+
+    return let({"message": message, "low": F.lower(message)}, rule)
 
 
 def _mentions(low: Column, phrases: list[str], word_boundary: bool) -> Column:
@@ -63,31 +75,34 @@ def route_name(message: Column, urls: Column, word_boundary: bool = False) -> Co
 
     ``word_boundary`` asks for whole words, so that "this" is no greeting.
     """
-    low = T.strip(F.lower(message))
     linked = F.size(urls) > 0
-    return (
-        F.when(_mentions(low, V.GREETINGS, word_boundary), "greeting")
-        .when(_mentions(low, V.HELP_WORDS, word_boundary), "help")
+    return let({"low": T.strip(F.lower(message))}, lambda v: (
+        F.when(_mentions(v["low"], V.GREETINGS, word_boundary), "greeting")
+        .when(_mentions(v["low"], V.HELP_WORDS, word_boundary), "help")
         .when(is_mail(message), F.when(linked, "mail_url").otherwise("mail"))
         .when(linked, "url")
         .otherwise("unclear")
-    )
+    ))
 
 
 def route(message: Column, word_boundary: bool = False) -> Column:
     """Routing record: rule, whether to analyse, what to analyse, reply text."""
-    urls = extract_urls(message)
-    name = route_name(message, urls, word_boundary)
     texts = F.create_map(*[F.lit(x) for pair in V.ROUTE_TEXT.items() for x in pair])
-    link = name.isin("mail_url", "url")
-    return F.struct(
-        name.alias("route"),
-        name.isin("mail_url", "mail", "url").alias("requires_analysis"),
-        F.when(link, F.try_element_at(urls, F.lit(1))).when(name == "mail", message)
-        .alias("extracted_content"),
-        F.when(link, "url").when(name == "mail", "email").alias("content_type"),
-        F.element_at(texts, name).alias("message"),
-    )
+
+    def record(v: Column) -> Column:
+        name = v["name"]
+        link = name.isin("mail_url", "url")
+        return F.struct(
+            name.alias("route"),
+            name.isin("mail_url", "mail", "url").alias("requires_analysis"),
+            F.when(link, v["first"]).when(name == "mail", message)
+            .alias("extracted_content"),
+            F.when(link, "url").when(name == "mail", "email").alias("content_type"),
+            F.element_at(texts, name).alias("message"),
+        )
+
+    return let({"urls": extract_urls(message)}, lambda u: let({
+        "name": route_name(message, u["urls"], word_boundary), "first": F.try_element_at(u["urls"], F.lit(1))}, record))
 
 
 def display_name(feature: Column) -> Column:

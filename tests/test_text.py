@@ -128,3 +128,17 @@ def test_tagged_texts_are_lowered_once(spark):
     tagged = tagging.tag_table(df, "t", "u")
     plan = tagged.select("automated_tags", "risk_level")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lower(t#") == 1 and tagged.columns[:3] == df.columns and "_low" not in tagged.columns
+
+
+def test_a_message_is_lowered_and_stripped_once(spark):
+    df = spark.createDataFrame([(1, "Dear a.bc\u0085"), (2, " see www.q.io "), (3, None), (4, "no dot ://")], "i int, t string")
+    routed = df.select("i", M.route(F.col("t")).alias("r"), M.extract_urls(F.col("t")).alias("u"), T.strip(F.col("t")).alias("s"))
+    kept = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+    plan = routed._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.debug.maxToStringFields", kept)
+    assert plan.count("lower(") <= 4  # not once for each phrase that is looked for
+    got = {r.i: r for r in routed.collect()}
+    assert [got[i].s for i in (1, 2, 3, 4)] == ["Dear a.bc", "see www.q.io", None, "no dot ://"]
+    assert got[1].u == ["http://a.bc"] and got[2].u == ["http://www.q.io"] and got[3].u is None and got[4].u == []
+    assert [got[i].r.route for i in (1, 2, 3, 4)] == ["url", "url", "unclear", "unclear"]
