@@ -130,3 +130,18 @@ def test_partitions_of_a_fit_are_bounded_by_cores_and_rows(spark):
     assert M.dealt(wide, 100_000).rdd.getNumPartitions() == min(cores, 12)
     assert M.dealt(wide, 100_000, M.NET_TASK_ROWS).rdd.getNumPartitions() == cores
     assert M.dealt(wide, 5).rdd.getNumPartitions() == 1
+
+
+def test_a_fold_model_scores_its_rows_once(spark, rows, monkeypatch):
+    calls = []
+    score = M.Trained.score
+    monkeypatch.setattr(M.Trained, "score", lambda self, df, *names: calls.append(1) or score(self, df, *names))
+    got = {(r.fold, r.split, r.metric): r.value for r in M.cross_validate("naive_bayes", rows, 2).collect()}
+    assert len(calls) == 2 and len(got) == 2 * 2 * 5
+    folds = M.P.assign_folds(rows, "id", "label", 2, 42, "stratified").cache()
+    for f in range(2):
+        train = folds.filter(F.col("fold") != f)
+        fitted = M.fit("naive_bayes", train)
+        for split, part in (("train", train), ("test", folds.filter(F.col("fold") == f))):
+            m = M.evaluate(fitted, part, split).first()
+            assert all(abs(got[f, split, s] - m[s]) < 1e-9 for s in ("accuracy", "precision", "recall", "f1"))
