@@ -124,6 +124,21 @@ def test_settings_that_give_one_model_are_fitted_once(spark, monkeypatch):
     assert by["minInstancesPerNode=1, minSamplesSplit=10"] == by["minInstancesPerNode=4, minSamplesSplit=10"]
 
 
+def test_limits_that_a_tree_stays_within_are_fitted_once(spark, monkeypatch):
+    rows = spark.range(400).select("id", array_to_vector(F.array(*[(F.hash("id", F.lit(j)) % 100).cast("double") for j in range(4)])).alias("features"),
+                                   (F.hash("id", F.lit(0)) % 100 > 20).cast("int").alias("label")).withColumn(
+        "label", F.when(F.col("id") % 7 == 0, 1 - F.col("label")).otherwise(F.col("label")))
+    single = {d: M.tune("decision_tree", rows, {"maxDepth": [d]}, 2)[1].first()["f1"] for d in (2, 25, 28, 30)}
+    fits = []
+    fit = M.SplitTree._fit
+    monkeypatch.setattr(M.SplitTree, "_fit", lambda self, d: fits.append(self.value("maxDepth")) or fit(self, d))
+    scores = M.tune("decision_tree", rows, {"maxDepth": [2, 25, 28, 30]}, 2)[1].collect()
+    assert sorted(fits[:-1]) == [2, 2, 30, 30]  # two folds; the last fit is that of the best setting
+    assert {r["settings"]: r["f1"] for r in scores} == {f"maxDepth={d}": v for d, v in single.items()}
+    assert single[2] != single[30]
+    assert M._family(M.SplitForest(maxDepth=5)) != M._family(M.SplitForest(maxDepth=6))  # forests are never shared
+
+
 def test_partitions_of_a_fit_are_bounded_by_cores_and_rows(spark):
     wide = spark.range(0, 100_000, 1, 300)
     cores = spark.sparkContext.defaultParallelism
