@@ -75,6 +75,16 @@ def test_wrapped_models_are_tuned(spark, rows):
     assert len(M.FOREST_GRID) == 4 and np.prod([len(v) for v in M.FOREST_GRID.values()]) == 108
 
 
+def test_query_tunes_all_wrapped_models(spark, rows, monkeypatch):
+    from catalog import learn
+
+    tune = M.tune
+    monkeypatch.setattr(learn, "parts", lambda *_: (rows, rows, rows))
+    monkeypatch.setattr(M, "tune", lambda name, df, grid, k: tune(name, df, grid, 2))
+    got = [(r.model, r.settings.split("=")[0]) for r in learn.cv4_tune_wrapped_models(spark, "").collect()]
+    assert sorted(got) == sorted(2 * [("svm_linear", "regParam"), ("svm_rbf", "gamma"), ("naive_bayes", "smoothing"), ("knn", "k")])
+
+
 def test_split_size_bounds_what_is_split(spark, rows):
     free, bound = (M.fit("decision_tree", rows, minSamplesSplit=n).model for n in (2, 200))
     assert free.numNodes > 1 and bound.numNodes == 1  # no part of 160 rows has 100 beside another one
