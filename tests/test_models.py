@@ -78,11 +78,13 @@ def test_wrapped_models_are_tuned(spark, rows):
 def test_query_tunes_all_wrapped_models(spark, rows, monkeypatch):
     from catalog import learn
 
-    tune = M.tune
+    made = spark.createDataFrame([("", 0.5)], "settings string, f1 double")
+    grids = {}
     monkeypatch.setattr(learn, "parts", lambda *_: (rows, rows, rows))
-    monkeypatch.setattr(M, "tune", lambda name, df, grid, k: tune(name, df, grid, 2))
-    got = [(r.model, r.settings.split("=")[0]) for r in learn.cv4_tune_wrapped_models(spark, "").collect()]
-    assert sorted(got) == sorted(2 * [("svm_linear", "regParam"), ("svm_rbf", "gamma"), ("naive_bayes", "smoothing"), ("knn", "k")])
+    monkeypatch.setattr(M, "tune", lambda name, df, grid, k: grids.update({name: (grid, k)}) or (None, made))
+    got = {r.model for r in learn.cv4_tune_wrapped_models(spark, "").collect()}
+    assert got == grids.keys() == {"svm_linear", "svm_rbf", "naive_bayes", "knn"}
+    assert all(k == 5 and [len(v) for v in grid.values()] == [2] for grid, k in grids.values())
 
 
 def test_split_size_bounds_what_is_split(spark, rows):
@@ -149,6 +151,31 @@ def test_limits_that_a_tree_stays_within_are_fitted_once(spark, monkeypatch):
     assert M._family(M.SplitForest(maxDepth=5)) != M._family(M.SplitForest(maxDepth=6))  # forests are never shared
 
 
+def test_large_forests_are_grown_and_scored_in_parts(spark, rows, monkeypatch):
+    whole = M.fit("random_forest", rows, numTrees=7, maxDepth=4)
+    sizes = []
+    fit = M.SplitTree._fit
+    monkeypatch.setattr(M.SplitTree, "_fit", lambda self, d: sizes.append(self.value("numTrees")) or fit(self, d))
+    monkeypatch.setattr(M, "FOREST_NODES", 7 * 50)  # a tree of four levels has 31 nodes at most
+    assert M.importance(M.fit("random_forest", rows, numTrees=7, maxDepth=4)) == M.importance(whole) and sizes == [1, 7]
+    sizes.clear()
+    monkeypatch.setattr(M, "FOREST_NODES", 45)
+    parted = M.fit("random_forest", rows, numTrees=7, maxDepth=4)
+    assert sizes[0] == 1 and sum(sizes[1:]) == 7 and max(sizes[1:]) <= 4
+    assert abs(sum(M.importance(parted)) - 1) < 1e-9
+    votes = 0
+    for path in parted.model.paths:
+        part = M.C.RandomForestClassificationModel.load(path).transform(rows).orderBy("id").collect()
+        votes = votes + np.array([r.rawPrediction.toArray() for r in part])
+    path = new_path(spark, "parts")
+    M.save(parted, path)
+    for trained in (parted, M.load(spark, "random_forest", path)):
+        scored = trained.score(rows).orderBy("id").collect()
+        assert len(scored) == 160 and np.allclose([r.probability for r in scored], votes[:, 1] / 7)
+        assert [r.prediction for r in scored] == [int(v[1] > v[0]) for v in votes]
+        assert np.mean([r.prediction == r.label for r in scored]) > 0.85
+
+
 def test_partitions_of_a_fit_are_bounded_by_cores_and_rows(spark):
     wide = spark.range(0, 100_000, 1, 300)
     cores = spark.sparkContext.defaultParallelism
