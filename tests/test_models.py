@@ -151,31 +151,59 @@ def test_limits_that_a_tree_stays_within_are_fitted_once(spark, monkeypatch):
     assert M._family(M.SplitForest(maxDepth=5)) != M._family(M.SplitForest(maxDepth=6))  # forests are never shared
 
 
-def test_large_forests_are_grown_and_scored_in_parts(spark, rows, monkeypatch):
+@pytest.mark.parametrize("local", [True, False])
+def test_large_forests_are_tables_of_nodes(spark, rows, monkeypatch, local):
     whole = M.fit("random_forest", rows, numTrees=7, maxDepth=4)
-    sizes = []
-    fit = M.SplitTree._fit
-    monkeypatch.setattr(M.SplitTree, "_fit", lambda self, d: sizes.append(self.value("numTrees")) or fit(self, d))
     monkeypatch.setattr(M, "FOREST_NODES", 7 * 50)  # a tree of four levels has 31 nodes at most
-    assert M.importance(M.fit("random_forest", rows, numTrees=7, maxDepth=4)) == M.importance(whole) and sizes == [1, 7]
-    sizes.clear()
+    assert M.importance(M.fit("random_forest", rows, numTrees=7, maxDepth=4)) == M.importance(whole)
     monkeypatch.setattr(M, "FOREST_NODES", 45)
+    monkeypatch.setattr(M.T, "GROUP_NODES", 40)
+    if not local:
+        monkeypatch.setattr(M.T, "MOST_BYTES", 0)  # too large for a task
     parted = M.fit("random_forest", rows, numTrees=7, maxDepth=4)
-    assert sizes[0] == 1 and sum(sizes[1:]) == 7 and max(sizes[1:]) <= 4
-    assert abs(sum(M.importance(parted)) - 1) < 1e-9
-    votes = 0
-    for path in parted.model.paths:
-        part = M.C.RandomForestClassificationModel.load(path).transform(rows).orderBy("id").collect()
-        votes = votes + np.array([r.rawPrediction.toArray() for r in part])
+    nodes = parted.model.nodes
+    assert parted.model.getNumTrees == nodes.select("tree").distinct().count() == 7 and nodes.count() > 40
+    # the same trees as one MLlib model
+    plain = M.T.load(nodes, M.SplitForest(numTrees=7).passes(M.T.small_table(spark, 5)), True, new_path(spark, "plain"))
+    assert np.allclose(M.importance(parted), M.importance(M.Trained("plain", plain)))
+    wanted = {r.id: (round(r.probability, 9), r.prediction) for r in M.Trained("plain", plain).score(rows).collect()}
     path = new_path(spark, "parts")
     M.save(parted, path)
     for trained in (parted, M.load(spark, "random_forest", path)):
-        scored = trained.score(rows).orderBy("id").collect()
-        assert len(scored) == 160 and np.allclose([r.probability for r in scored], votes[:, 1] / 7)
-        assert [r.prediction for r in scored] == [int(v[1] > v[0]) for v in votes]
+        scored = trained.score(rows).collect()
+        assert len(scored) == 160 and {r.id: (round(r.probability, 9), r.prediction) for r in scored} == wanted
         assert np.mean([r.prediction == r.label for r in scored]) > 0.85
 
 
+def test_trees_of_large_tables_equal_those_of_mllib(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (3000, 5))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(0, 1, 3000) > 0.6).astype(int)
+    rows = spark.createDataFrame([(i, [float(v) for v in x[i]], int(y[i])) for i in range(3000)], "id bigint, a array<double>, label int").select(
+        "id", array_to_vector("a").alias("features"), "label").repartition(3).cache()
+
+    def shape(model):
+        return model.numNodes, model.depth, [round(v, 9) for v in model.featureImportances.toArray()], [
+            round(r[0][1], 9) for r in model.transform(rows).orderBy("id").select("probability").collect()]
+
+    settings = [{"maxBins": 16, "minInstancesPerNode": 25}, {"maxBins": 64, "minInstancesPerNode": 25}, {"maxDepth": 3, "minSamplesSplit": 60}]
+    passes = [shape(M.fit("decision_tree", rows, **s).model) for s in settings]
+    monkeypatch.setattr(M, "LOCAL_ROWS", 1000)
+    fitted = [M.fit("decision_tree", rows, **s).model for s in settings]
+    assert all(m.nodes.count() == m.numNodes for m in fitted) and [shape(m) for m in fitted] == passes
+    # a lower limit only cuts
+    deep = M.SplitTree(maxDepth=12)
+    ready = M._ready(rows)
+    whole = deep.fit(ready)
+    for limit in (5, 8):
+        low = M.SplitTree(maxDepth=limit)
+        assert whole.depth > limit and shape(low.under(whole, ready)) == shape(low.fit(ready))
+    scores = M.tune("decision_tree", rows, {"maxDepth": [2, 5, 12]}, 2)[1].collect()
+    monkeypatch.setattr(M, "LOCAL_ROWS", 10_000)
+    again = M.tune("decision_tree", rows, {"maxDepth": [2, 5, 12]}, 2)[1].collect()
+    assert [r.settings for r in scores] == [r.settings for r in again] and np.allclose([r.f1 for r in scores], [r.f1 for r in again], atol=0.02)
+
+
 def test_partitions_of_a_fit_are_bounded_by_cores_and_rows(spark):
     wide = spark.range(0, 100_000, 1, 300)
     cores = spark.sparkContext.defaultParallelism
