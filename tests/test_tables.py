@@ -426,3 +426,31 @@ def test_vocabulary_of_frequent_ends_is_that_of_all_terms(spark, monkeypatch):
     monkeypatch.setattr(P, "MOST_KNOWN", 3)
     assert P.tfidf_vocabulary(df, "c", ["w3"], 50).count() == 50
     assert known[-1] == {}
+
+
+def test_smote_asks_only_for_neighbours_of_copied_rows(spark, monkeypatch):
+    from lureline.operators import prep as P
+
+    asked, nearest = [], P.nearest
+    monkeypatch.setattr(P, "nearest", lambda q, r, *a, **o: asked.append((q.count(), r.count())) or nearest(q, r, *a, **o))
+    df = spark.range(70).selectExpr("id", "array(cast(id * id % 31 as double), cast(id as double)) AS features", "cast(id < 30 as int) AS label")
+    got = P.smote(df)
+    assert got.where("label = 1").count() == 40 and got.where("synthetic").count() == 10
+    assert asked == [(10, 30)]
+
+
+def test_blocks_beyond_the_limit_are_passed_over(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from lureline.operators import neighbors as N
+
+    n = 2000
+    place = np.random.default_rng(5).permutation(n)
+    values = pa.array([[float(v), 1.0] for v in place], pa.list_(pa.float64()))
+    chunk = N._Chunk([np.arange(n)], [values], [pa.array([[0, 2]] * n, pa.list_(pa.int32()))], 3)
+    made, block = [], chunk._block
+    monkeypatch.setattr(chunk, "_block", lambda start: made.append(start) or block(start))
+    at, near, away = chunk.best(np.array([[10.2, 0.0, 1.0]]), None, np.array([5.0]), 3)
+    assert [place[i] for i in near] == [10, 11, 9] and np.allclose(away, [0.2, 0.8, 1.2])
+    assert len(made) == 1
